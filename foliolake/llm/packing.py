@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import bpe
-from foliolake.llm.storage import table, written
+from foliolake.llm.storage import filled, restored, table, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -111,11 +111,10 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.array([*encoder.encode(text), end_id], dtype=np.uint32)
-                rows += [(None if pd.isna(doc_id) else int(doc_id), *p) for p in pieces_of(ids, capacity)]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32"})
+                rows += [(doc_id, *p) for p in pieces_of(ids, capacity)]
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32"})
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(filled(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN_SEQUENCES, per_task: int = PIECES_PER_TASK) -> DataFrame:
@@ -132,7 +131,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN_SEQUENCES
             yield batch.assign(sequence_id=np.array(sequences, dtype=np.int64) + base, offset=np.array(offsets, dtype=np.int64))
 
     dealt = pieces.repartition(tasks, "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
-    return dealt.mapInPandas(place, PLACED)
+    return dealt.mapInPandas(place, PLACED).withColumn("doc_id", restored())
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliolake.llm import decontamination
+from foliolake.llm.decontamination import op8_decontamination
 from foliolake.llm.packing import op3_best_fit_packing
 from foliolake.llm.simhash import op2_simhash_near_dedup
 from foliolake.llm.token_counts import op7_token_counts
@@ -15,7 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontamination.ORACLE_SQL,
+}

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stands for a null id inside Arrow functions, where a null would turn longs into doubles.
+NULL_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +48,13 @@ def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) ->
 def shuffle_width(spark: SparkSession) -> int:
     """The number of partitions that the session gives to a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filled(column: str = "doc_id") -> Column:
+    """An id column without nulls, for use inside Arrow functions."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID)).alias(column)
+
+
+def restored(column: str = "doc_id") -> Column:
+    """The id column of an Arrow function's result, with its nulls."""
+    return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)

@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake.llm import bpe
-from foliolake.llm.storage import shuffle_width, table, written
+from foliolake.llm.storage import filled, restored, shuffle_width, table, written
 
 END_ID = 0
 IDS_PER_SHARD = 1 << 21
 SAMPLE = 256
 _HEAD = struct.Struct("<4sIIIQQQQ")
-_NULL = -(1 << 63)
 
 IMAGES = "part int, shard int, n_ids long, image binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -146,7 +145,7 @@ def encode_shards(docs: DataFrame, end_id: int = END_ID, ids_per_shard: int = ID
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.array([*encoder.encode(text), end_id], dtype=np.uint32)
                 held.append(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
-                doc_ids.append(_NULL if pd.isna(doc_id) else int(doc_id))
+                doc_ids.append(int(doc_id))
                 lengths.append(len(ids))
                 size += len(ids)
                 if size >= ids_per_shard:
@@ -155,7 +154,7 @@ def encode_shards(docs: DataFrame, end_id: int = END_ID, ids_per_shard: int = ID
         if doc_ids:
             yield image()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(filled(), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id")
     return ranged.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInPandas(encode, IMAGES)
 
@@ -180,11 +179,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 starts = np.concatenate(([0], ends[:-1]))
                 raw = ids.astype("<u4")
                 crcs = [zlib.crc32(raw[a:b]) for a, b in zip(starts, ends, strict=True)]
-                out = pd.DataFrame({"part": np.int32(part), "shard": np.int32(shard), "doc_id": pd.array(doc_ids.copy(), dtype="Int64"), "start": starts, "n_tokens": ends - starts, "ids_crc32": np.array(crcs, dtype=np.int64)})
-                yield out.assign(doc_id=out["doc_id"].mask(out["doc_id"] == _NULL))
+                yield pd.DataFrame({"part": np.int32(part), "shard": np.int32(shard), "doc_id": doc_ids, "start": starts, "n_tokens": ends - starts, "ids_crc32": np.array(crcs, dtype=np.int64)})
 
     decoded = shards.select("part", "shard", "image").mapInPandas(decode, f"part int, shard int, {READ}")
-    return decoded.join(firsts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    return decoded.join(firsts, ["part", "shard"]).select(restored(), (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def export_shards(shards: DataFrame, uri: str) -> None:
