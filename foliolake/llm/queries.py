@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolake.llm import decontamination
+from foliolake.llm import decontamination, quality_rules
 from foliolake.llm.decontamination import op8_decontamination
 from foliolake.llm.packing import op3_best_fit_packing
+from foliolake.llm.quality_rules import op4_quality_rules
 from foliolake.llm.simhash import op2_simhash_near_dedup
 from foliolake.llm.token_counts import op7_token_counts
 from foliolake.llm.token_store import op10_token_files
@@ -16,11 +17,13 @@ from foliolake.llm.token_store import op10_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
 }
