@@ -39,7 +39,7 @@ WINDOW = 10
 #: Upper case becomes lower case; what is no part of a word becomes a space.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Words of a segment, at most (and one document).
-SEGMENT_WORDS = 4_000_000
+SEGMENT_WORDS = 2_000_000
 
 INDEX = "segment long, term long, n long, places binary, doc_ids binary, firsts binary, lengths binary"
 HITS = "doc_id long, n_words long, n_hit long, items array<string>"
