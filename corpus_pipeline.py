@@ -27,40 +27,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import decontamination, packing, quality_rules, secret_scan, simhash
-from foliolake.llm.storage import table, written
-
-#: Names that a stage needs for its decisions don't clash with columns of the input.
-_ID = "_row_id"
-
-
-def _with_rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept`` (doc_id)."""
-    return docs.join(kept.select(F.col("doc_id").alias(_ID)).distinct(), F.col("doc_id").eqNullSafe(F.col(_ID)), "left_semi")
+from foliolake.llm.storage import table, without_ids, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep. Of rows that repeat a doc_id all stay if one is kept."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    return _with_rows_kept(docs, judged.filter("kept"))
+    rejected = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept")
+    return without_ids(docs, rejected.select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the smallest doc_id."""
-    found = written(simhash.near_duplicates(docs), "groups")
-    kept = _with_rows_kept(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    repeated = written(kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null"), "repeated")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    named = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or(first).alias("stays"), F.count("*").alias("n"))
+    named = written(named, "groups")
+    kept = without_ids(docs, named.filter("not stays").select("doc_id"))
+    repeated = named.filter("stays and n > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
-    again = F.col("doc_id").eqNullSafe(F.col(_ID))
-    ids = repeated.select(F.col("doc_id").alias(_ID))
-    return kept.join(ids, again, "left_anti").unionByName(kept.join(ids, again, "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without_ids(kept, repeated).unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark window. A row goes if any row with its doc_id is contaminated."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias(_ID)).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(_ID)), "left_anti")
+    return without_ids(docs, found.filter("contaminated").select("doc_id"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,18 @@ def filled(column: str = "doc_id") -> Column:
 def restored(column: str = "doc_id") -> Column:
     """The id column of an Arrow function's result, with its nulls."""
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
+
+
+#: Ids of at most this number (some tens of MB as a hash table) are broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose id isn't among ``ids`` (one column); a null id is an id like any other.
+
+    Ids are few beside rows with whole texts. They are written and counted first,
+    and the texts are left where they are unless there are too many ids.
+    """
+    gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= limit else gone
+    return rows.join(side, F.col(column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
