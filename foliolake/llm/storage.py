@@ -70,6 +70,6 @@ def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id", limit:
     Ids are few beside rows with whole texts. They are written and counted first,
     and the texts are left where they are unless there are too many ids.
     """
-    gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).distinct(), "gone")
+    gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("gone")).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= limit else gone
-    return rows.join(side, F.col(column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.join(side, rows[column].cast("long").eqNullSafe(side["gone"]), "left_anti")
