@@ -34,7 +34,7 @@ def d4(spark, d):
     return views.select(*PK, op.trim_diff(F.col("original"), F.col("final")).alias("x")).select(*PK, "x.start", "x.old", "x.new")
 
 
-@query("d5_tracked_replacements", """SELECT package_id, idx, k, step, op, left(t, 120) AS text, row_number() OVER (PARTITION BY package_id ORDER BY idx, k, step) - 1 AS w_id
+@query("d5_tracked_replacements", """SELECT package_id, idx, k, CAST(step AS BIGINT) AS step, op, left(t, 120) AS text, row_number() OVER (PARTITION BY package_id ORDER BY idx, k, step) - 1 AS w_id
 FROM (SELECT package_id, idx, k, unnest([0, 1]) AS step, unnest(['delete', 'insert']) AS op, unnest([text, concat('<', text, '>')]) AS t FROM leaf WHERE k % 13 = 6)""")
 def d5(spark, d):
     return op.track_replacements(b.leaves(spark, d), F.col("k") % 13 == 6, F.concat(F.lit("<"), "text", F.lit(">")))
@@ -123,7 +123,7 @@ def d13_delete_column(spark, d):
     return tables.delete_column(b.cell_rows(spark, d), 2)
 
 
-@query("d14_merge_cells", """SELECT table_index, row_index, CASE WHEN keep THEN [c[1], c[2], c[4]] ELSE c END AS cells, CAST(CASE WHEN keep THEN 2 ELSE 1 END AS INTEGER) AS grid_span, CASE WHEN NOT keep THEN 'merge-would-discard-content' END AS code
+@query("d14_merge_cells", """SELECT table_index, row_index, CASE WHEN keep THEN [c[1], c[2], c[4]] ELSE c END AS cells, CAST(CASE WHEN keep THEN 2 ELSE 1 END AS BIGINT) AS grid_span, CASE WHEN NOT keep THEN 'merge-would-discard-content' END AS code
 FROM (SELECT *, c[3] = '' AS keep FROM (SELECT table_index, row_index, [cells[1], cells[2], CASE WHEN cells[3] = '0' THEN '' ELSE cells[3] END, cells[4]] AS c FROM cell_row))""")
 def d14_merge(spark, d):
     blank = F.transform("cells", lambda c, i: F.when((i == 2) & (c == "0"), "").otherwise(c))

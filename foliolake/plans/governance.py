@@ -94,7 +94,7 @@ _LIMITS = {"package-chars": ("chars", 4000), "paragraphs": ("paragraphs", 15), "
 
 
 @query("f10_resource_limits", """WITH s AS (SELECT package_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS paragraphs, CAST(max(length(text)) AS BIGINT) AS longest, count(*) - count(DISTINCT text) AS duplicates FROM paragraph GROUP BY ALL)
-SELECT package_id, dimension, actual, most FROM (SELECT package_id, unnest(['package-chars', 'paragraphs', 'longest-text', 'duplicates']) AS dimension, unnest([chars, paragraphs, longest, duplicates]) AS actual, unnest([4000, 15, 600, 0]) AS most FROM s) WHERE actual > most""")
+SELECT package_id, dimension, actual, CAST(most AS BIGINT) AS most FROM (SELECT package_id, unnest(['package-chars', 'paragraphs', 'longest-text', 'duplicates']) AS dimension, unnest([chars, paragraphs, longest, duplicates]) AS actual, unnest([4000, 15, 600, 0]) AS most FROM s) WHERE actual > most""")
 def f10(spark, d):
     n = F.length("text")
     stats = b.paragraphs(spark, d).groupBy("package_id").agg(F.sum(n).alias("chars"), F.count("*").alias("paragraphs"), F.max(n).cast("long").alias("longest"), (F.count("*") - F.count_distinct("text")).alias("duplicates"))
@@ -110,7 +110,7 @@ def v16(spark, d):
     return longest.select("longest", profiles.alias("p")).groupBy("p.profile").agg(F.count("*").alias("packages"), F.count_if(F.col("longest") <= F.col("p.most")).alias("passed"))
 
 
-@query("f13_contract_ranges", """SELECT p_partkey AS engine, low, high, low <= 30 AND high >= 10 AS compatible, greatest(low, 10) AS from_version, least(high, 30) AS to_version FROM (SELECT p_partkey, p_size AS low, p_size + p_partkey % 7 AS high FROM part)""")
+@query("f13_contract_ranges", """SELECT p_partkey AS engine, CAST(low AS BIGINT) AS low, high, low <= 30 AND high >= 10 AS compatible, CAST(greatest(low, 10) AS BIGINT) AS from_version, least(high, 30) AS to_version FROM (SELECT p_partkey, p_size AS low, p_size + p_partkey % 7 AS high FROM part)""")
 def f13(spark, d):
     rows = b.read(spark, d, "part").select(F.col("p_partkey").alias("engine"), F.col("p_size").alias("low"), (F.col("p_size") + F.col("p_partkey") % 7).alias("high"))
     return rows.select("*", ((F.col("low") <= 30) & (F.col("high") >= 10)).alias("compatible"), F.greatest("low", F.lit(10)).alias("from_version"), F.least("high", F.lit(30).cast("long")).alias("to_version"))
