@@ -1,0 +1,40 @@
+"""Token-bucket throttling of each client's requests."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+CAPACITY, PER_SECOND = 5.0, 1 / 600
+ALLOWED = "event_id long, client_id long, allowed boolean, tokens double"
+
+
+def step(tokens: float, last: float | None, now: float, capacity: float = CAPACITY, per_second: float = PER_SECOND) -> tuple[bool, float]:
+    """Whether a request at ``now`` is allowed, and what the bucket holds after it."""
+    tokens = capacity if last is None else min(capacity, tokens + (now - last) * per_second)
+    return (True, tokens - 1) if tokens >= 1 else (False, tokens)
+
+
+def throttled(requests: DataFrame) -> DataFrame:
+    """allowed and tokens left for each request (event_id, client_id, seconds).
+
+    A task reads its clients one after the other, in time order, and holds one
+    bucket at a time, however many requests a client made.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, tokens, last = None, 0.0, None
+        for batch in batches:
+            allowed, left = np.zeros(len(batch), bool), np.zeros(len(batch))
+            for k, (who, now) in enumerate(zip(batch["client_id"], batch["seconds"], strict=True)):
+                if who != client:
+                    client, last = who, None
+                allowed[k], tokens = step(tokens, last, now)
+                left[k], last = tokens, now
+            yield batch[["event_id", "client_id"]].assign(allowed=allowed, tokens=left)
+
+    dealt = requests.select("event_id", "client_id", "seconds").repartition("client_id")
+    return dealt.sortWithinPartitions("client_id", "seconds", "event_id").mapInPandas(run, ALLOWED)

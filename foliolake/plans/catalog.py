@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliolake.plans import edits, flagship, governance, inventory, joins, registry
+from foliolake.plans import edits, flagship, governance, inventory, joins, registry, sources
 
-PLANS = (flagship, inventory, joins, edits, governance)
+PLANS = (flagship, inventory, joins, edits, governance, sources)
 QUERIES = registry.QUERIES
 ORACLE_SQL = registry.ORACLE_SQL

@@ -10,6 +10,8 @@ labels, and chains of generations from a customer's orders.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ CATALOG = [
     ("é", "e", "mapped", False), ("è", "e", "mapped", False), ("ê", "e", "mapped", False), ("ç", "c", "mapped", False),
     ("ñ", "n", "mapped", False), ("ó", "o", "manual", False), ("í", "i", "manual", False), ("á", "a", "unsupported", False),
 ]
+CATALOG_SHA256 = "49cf2a5a005ef0e71e32351e977523b0a2f15a6962c9e540662d895b6b3c3b18"
 CATALOG_SCHEMA = "source string, target string, classification string, reversible boolean"
 
 
@@ -182,3 +185,16 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATALOG, CATALOG_SCHEMA)
+
+
+def catalog_digest() -> str:
+    """The digest that a catalog file carries of its own entries."""
+    rows = [f"{source}|{target}|{kind}|{str(back).lower()}" for source, target, kind, back in CATALOG]
+    return hashlib.sha256("\n".join(rows).encode()).hexdigest()
+
+
+def checked_catalog(spark: SparkSession, digest: str = CATALOG_SHA256) -> DataFrame:
+    """The catalog, if its entries have the digest that they should have."""
+    if catalog_digest() != digest:
+        raise ValueError("the catalog's entries don't match its digest")
+    return catalog(spark)
