@@ -173,7 +173,7 @@ def d17(spark, d):
 
 @query("a7_cell_groups", """SELECT table_index, col_index, count(*) AS cells, min(row_index) AS first_row, max(row_index) AS last_row, string_agg(text, ',' ORDER BY row_index) AS texts FROM cell GROUP BY ALL""")
 def a7(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("row_index", "text")))
+    rows = F.sort_array(F.collect_list(F.struct("row_index", "text")))
     return b.cells(spark, d).groupBy("table_index", "col_index").agg(F.count("*").alias("cells"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"), F.array_join(F.transform(rows, lambda r: r["text"]), ",").alias("texts"))
 
 

@@ -121,12 +121,12 @@ def u5(spark, d):
     wanted = F.array(*[F.lit(x) for x in ("tables", "moves", "edits", "comments")])
     has = lambda *x: F.array(*[F.lit(v) for v in x])
     offered = F.when(F.col("c_mktsegment") == "BUILDING", has("edits", "tables")).when(F.col("c_mktsegment") == "MACHINERY", has("comments")).otherwise(has("edits", "moves", "comments"))
-    return b.read(spark, d, "customer").select(F.col("c_custkey").alias("client"), F.array_sort(F.array_except(wanted, offered)).alias("missing"))
+    return b.read(spark, d, "customer").select(F.col("c_custkey").alias("client"), F.sort_array(F.array_except(wanted, offered)).alias("missing"))
 
 
 @query("a6_anchors_by_comment", "SELECT id, list(concat(paragraph_id, ':', kind) ORDER BY ordinal) AS anchors FROM comment_anchor GROUP BY id")
 def a6(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", F.concat_ws(":", "paragraph_id", "kind").alias("at"))))
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", F.concat_ws(":", "paragraph_id", "kind").alias("at"))))
     return b.comment_anchors(spark, d).groupBy("id").agg(F.transform(rows, lambda r: r["at"]).alias("anchors"))
 
 
@@ -240,7 +240,7 @@ def o5(spark, d):
     stats = b.paragraphs(spark, d).groupBy("package_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("paragraphs"), (F.count("*") - F.count_distinct("text")).alias("duplicates"))
     ranked = [(F.col("chars") == 0, "empty"), (F.col("paragraphs") > 20, "too-many-paragraphs"), (F.col("duplicates") > 0, "duplicate-paragraphs")]
     reasons = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(k).alias("priority"), F.lit(name).alias("reason"))) for k, (holds, name) in enumerate(ranked)]))
-    first = F.get(F.array_sort(reasons), F.lit(0))["reason"]
+    first = F.get(F.sort_array(reasons), F.lit(0))["reason"]
     return stats.select("package_id", first.alias("reason"), first.isNull().alias("ready"))
 
 

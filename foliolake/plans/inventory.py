@@ -142,14 +142,14 @@ def a19(spark, d):
 @query("a20_skeleton", "SELECT package_id, string_agg(concat(CASE WHEN closing THEN '/' ELSE '' END, name), '>' ORDER BY idx) AS skeleton FROM tag GROUP BY ALL")
 def a20(spark, d):
     token = F.concat(F.when(F.col("closing"), "/").otherwise(""), "name").alias("token")
-    rows = F.array_sort(F.collect_list(F.struct("idx", token)))
+    rows = F.sort_array(F.collect_list(F.struct("idx", token)))
     return b.tags(spark, d).groupBy("package_id").agg(F.array_join(F.transform(rows, lambda r: r["token"]), ">").alias("skeleton"))
 
 
 @query("a21_semantic_signature", """SELECT package_id, sha256(coalesce(string_agg(text, ' ' ORDER BY idx, k) FILTER (in_final), '')) AS text_sha256, CAST(sum(CASE WHEN in_final THEN length(text) ELSE 0 END) AS BIGINT) AS chars,
 count(*) FILTER (kind = 'insert') AS inserts, count(*) FILTER (kind = 'delete') AS deletes, count(DISTINCT idx) AS paragraphs FROM segment GROUP BY ALL""")
 def a21(spark, d):
-    rows = F.array_sort(F.collect_list(F.when(F.col("in_final"), F.struct("idx", "k", "text"))))
+    rows = F.sort_array(F.collect_list(F.when(F.col("in_final"), F.struct("idx", "k", "text"))))
     joined = F.array_join(F.transform(rows, lambda r: r["text"]), " ")
     return b.segments(spark, d).groupBy("package_id").agg(
         keys.sha(joined).alias("text_sha256"),

@@ -17,7 +17,7 @@ FULL JOIN (SELECT id, count(*) AS n, string_agg(concat(paragraph_id, ':', kind),
 
 def comments(spark, d):
     """Definitions with their anchors; anchors without a definition stay, with empty fields."""
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", F.concat_ws(":", "paragraph_id", "kind").alias("at"))))
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", F.concat_ws(":", "paragraph_id", "kind").alias("at"))))
     anchored = b.comment_anchors(spark, d).groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.transform(rows, lambda r: r["at"]), ",").alias("kinds"))
     both = b.comment_definitions(spark, d).join(anchored, "id", "full_outer")
     return both.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("author", "text")], F.coalesce("n", F.lit(0)).alias("anchors"), F.coalesce("kinds", F.lit("")).alias("anchor_list"))

@@ -47,7 +47,7 @@ def s16(spark, d):
 @query("s13_edit_markup", "SELECT package_id, string_agg(concat('[[', paragraph_id, ']]', chr(10), text), chr(10) ORDER BY idx) AS markup FROM paragraph GROUP BY package_id")
 def s13(spark, d):
     block = F.concat(F.lit("[["), "paragraph_id", F.lit("]]\n"), "text").alias("block")
-    rows = F.array_sort(F.collect_list(F.struct("idx", block)))
+    rows = F.sort_array(F.collect_list(F.struct("idx", block)))
     return b.paragraphs(spark, d).groupBy("package_id").agg(F.array_join(F.transform(rows, lambda r: r["block"]), "\n").alias("markup"))
 
 
@@ -145,7 +145,7 @@ def f8(spark, d):
     rows = b.segments(spark, d).select("style_id", b.style_class(F.col("text")).alias("class"))
     features = F.create_map(F.lit("face"), F.when(F.col("class") == "digit", "mono").otherwise("serif"), F.lit("caps"), F.when(F.col("class") == "upper", "true"), F.lit("rsid"), F.col("class"))
     allowed = F.map_filter(features, lambda name, value: name.isin("face", "caps") & value.isNotNull())
-    pairs = F.array_sort(F.transform(F.map_entries(allowed), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    pairs = F.sort_array(F.transform(F.map_entries(allowed), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return rows.groupBy("style_id", F.array_join(pairs, ",").alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -161,5 +161,5 @@ def w5(spark, d):
     at = F.explode(F.array(F.struct(F.lit("c1").alias("comment"), F.lit(10).alias("s"), F.lit(50).alias("e")), F.struct(F.lit("c2").alias("comment"), F.lit(30).alias("s"), F.lit(80).alias("e"))))
     noted = b.paragraphs(spark, d).filter(F.length("text") > 80).select(*PK, at.alias("c")).select(*PK, "c.comment", F.col("c.s").alias("start"), F.col("c.e").alias("end"))
     found = ranges.containing(b.leaves(spark, d).select(*PK, "k", F.col("start").alias("position")), noted, PK)
-    rows = F.array_sort(F.collect_list(F.struct("start", "comment")))
+    rows = F.sort_array(F.collect_list(F.struct("start", "comment")))
     return found.groupBy(*PK, "k").agg(F.array_join(F.transform(rows, lambda r: r["comment"]), ",").alias("open"))

@@ -40,8 +40,8 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = packages(spark, sf_dir).select("package_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
-    return lines.select("package_id", F.lit(PART).alias("part"), "idx", F.concat(F.lit("P"), F.col("idx")).alias("paragraph_id"), "text")
+    lines = packages(spark, sf_dir).select("package_id", "source", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    return lines.select("package_id", F.lit(PART).alias("part"), "idx", F.concat(F.lit("P"), F.col("idx")).alias("paragraph_id"), "text", "source")
 
 
 def leaf_order() -> Window:
@@ -50,7 +50,7 @@ def leaf_order() -> Window:
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text runs with their offsets in the paragraph: a running sum of lengths and of the spaces between."""
-    words = paragraphs(spark, sf_dir).select("package_id", "idx", "paragraph_id", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    words = paragraphs(spark, sf_dir).select("package_id", "idx", "paragraph_id", "source", F.posexplode(F.split("text", " ")).alias("k", "text"))
     before = F.sum(F.length("text") + 1).over(leaf_order().rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce(before, F.lit(0))
     return words.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
@@ -81,8 +81,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).filter("revision is not null")
-    authored = rows.join(packages(spark, sf_dir).select("package_id", F.col("source").alias("author")), "package_id")
-    return authored.select("package_id", "idx", "paragraph_id", "k", "start", "end", "kind", "w_id", "revision", "author", "text")
+    return rows.select("package_id", "idx", "paragraph_id", "k", "start", "end", "kind", "w_id", "revision", F.col("source").alias("author"), "text")
 
 
 def nested_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
