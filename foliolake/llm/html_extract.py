@@ -62,9 +62,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _CLASS_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies
     consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup
-    promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored
-    subscribe subscription teaser toolbar widget""".split()
+    login promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored
+    subscribe subscription teaser toolbar topbar widget""".split()
 )
+#: Class names with one of these say how a container is laid out, not what it is.
+_LAYOUT_WORDS = frozenset("has no with without layout wrapper".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
@@ -100,7 +102,12 @@ def _is_boilerplate(tag: str, raw: str, in_region: bool) -> bool:
         return True
     if tag in ("html", "body"):
         return False
-    return not _CLASS_WORDS.isdisjoint(_NOT_WORD.split(f"{at.get('class', '')} {at.get('id', '')}"))
+    named = _CLASS_WORDS if in_region else _CLASS_WORDS | {"header"}
+    for name in f"{at.get('class', '')} {at.get('id', '')}".split():
+        words = set(_NOT_WORD.split(name))
+        if words & named and not words & _LAYOUT_WORDS:
+            return True
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -17,16 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="foliolake-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path under the folder that the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is absent (tests on one machine) a local temporary
     folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="foliolake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{root.rstrip('/')}/foliolake/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -27,6 +27,8 @@ LONG = "It is the story of a house in the town and of all that was there for the
         (f"<body><div class='cookie-notice'>{LONG}</div><div><p>{LONG}</p><p>Yes.</p></div><div id=comments><p>{LONG}</p></div></body>", f"{LONG} Yes."),
         (f"<main><p>{LONG}</p><aside>{LONG}</aside><form><input value='>'>Go</form><script>if (a < b) '</main>';</script><p>End.</p></main>", f"{LONG} End."),
         (f"<article><p>{LONG}</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><section class=comments><p>{LONG}</p></section></article>", None),
+        (f"<body class='has-sidebar'><div class='layout-no-ads'><div id=header>{LONG}</div><div class='site-header'>{LONG}</div><div class=content><p>{LONG}</p></div><div class='right-sidebar'>{LONG}</div></div>", LONG),
+        (f"<main><header><h1>Head</h1></header><p>{LONG}</p><div class=related-posts><p>{LONG}</p></div></main><div role=alert>{LONG}</div>", f"Head {LONG}"),
         ("<article><p>Cut off <a href='x", "Cut off <a href='x"),
         (f"<article><p>{LONG}</p><!-- <p>not this</p> --><style>p{{}}</style><p hidden>nor this</p></article>", LONG),
     ],
