@@ -53,8 +53,8 @@ def s13(spark, d):
 
 @query("s14_parsed_markup", "SELECT package_id, paragraph_id, text FROM paragraph")
 def s14(spark, d):
-    blocks = F.explode(F.slice(F.split("markup", r"(?:^|\n)\[\[(?=P[0-9]+\]\]\n)"), 2, 1_000_000)).alias("block")
-    return s13(spark, d).select("package_id", blocks).select("package_id", F.regexp_extract("block", r"^(P[0-9]+)\]\]\n", 1).alias("paragraph_id"), F.regexp_replace("block", r"^P[0-9]+\]\]\n", "").alias("text"))
+    blocks = F.explode(F.split("markup", r"(?:^|\n)\[\[(?=P[0-9]+\]\]\n)")).alias("block")
+    return s13(spark, d).select("package_id", blocks).filter("block <> ''").select("package_id", F.regexp_extract("block", r"^(P[0-9]+)\]\]\n", 1).alias("paragraph_id"), F.regexp_replace("block", r"^P[0-9]+\]\]\n", "").alias("text"))
 
 
 @query("x10_grapheme_clusters", "SELECT package_id, CAST(length_grapheme(text) AS BIGINT) AS clusters FROM package")
