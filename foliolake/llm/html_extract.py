@@ -41,15 +41,14 @@ SHORT_CHARS, LONG_CHARS = 60, 140
 
 # Frequent words of the languages of the corpus.
 _STOP = frozenset(
-    """a about after all an and any are as at be been but by can could do for from had has have he her his how i if in
-    into is it its may more no not of on one or other our out she so some such than that the their them then there
-    these they this to up was we were what when which who will with would you your
-    als am an auf aus bei bin bis da das dass dem den der des die du durch ein eine einem einen einer es für hat ich
-    ihr im in ist mit nach nicht noch nur oder sein sich sie sind so über um und uns von vor war wie wir zu zum zur
-    au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus
-    pour qu que qui sa se ses son sont sur un une vous
-    al como con de del el ella en entre era es esta este la las lo los mi más muy no o para pero por que se ser si
-    sin sobre son su sus también un una y ya""".split()
+    """a about all and any are as at be been but by can for from had has have he her his if in into is it its more not of
+    on one or our out she so some than that the their them there they this to up was we were what when which who will
+    with would you
+    als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im ist mit
+    nach nicht noch oder sich sie sind über um und von war wie zu zum zur
+    au aux avec ce cette dans de des du elle en est et il la le les leur mais ne nous ou par pas plus pour qu que qui
+    sa se ses son sont sur un une vous
+    al como con del el entre era esta las lo los más no o para pero por ser si sin su sus también y""".split()
 )
 _SKIPPED = frozenset("script style noscript template iframe object svg math head select option textarea button canvas audio video map datalist".split())
 _BOILERPLATE = frozenset("nav footer aside form dialog menu fieldset".split())
