@@ -15,20 +15,19 @@ RISKY = ("ambiguous", "manual", "unsupported")
 def candidates(paragraphs: DataFrame, catalog: DataFrame, pattern: str) -> DataFrame:
     """Each catalogued character of each paragraph with its offset, context, ids and fingerprint.
 
-    A text cut at the characters gives their offsets as a running sum of the
-    pieces' lengths, so only what is found is spread to rows and shuffled.
+    ``pattern`` matches the catalog's characters, one at a time. A text cut at
+    them gives their offsets by a running sum over the pieces, inside the row;
+    only what is found is then dealt by package, to be numbered.
     """
-    pieces, chars = F.split("text", pattern), F.regexp_extract_all("text", F.lit(pattern), 0)
-    found = paragraphs.filter(F.col("text").rlike(pattern)).select("package_id", "idx", "paragraph_id", "text", F.posexplode(F.arrays_zip(pieces.alias("piece"), chars.alias("source"))).alias("n", "hit"))
-    found = found.filter("hit.source is not null").select("package_id", "idx", "paragraph_id", "n", "hit.source", F.length("hit.piece").alias("gap"), "text")
-    order = Window.partitionBy(*PK).orderBy("n")
-    offset = F.sum("gap").over(order) + F.col("n")
-    placed = found.withColumn("visible_offset", offset)
-    placed = placed.withColumn("around", context(F.col("text"), F.col("visible_offset"))).drop("text", "gap")
-    known = placed.join(F.broadcast(catalog), "source")
-    in_paragraph = F.row_number().over(order)
+    start = F.struct(F.array().cast("array<int>").alias("offsets"), F.lit(0).alias("at"))
+    add = lambda acc, piece: F.struct(F.array_append(acc["offsets"], acc["at"] + F.length(piece)).alias("offsets"), (acc["at"] + F.length(piece) + 1).alias("at"))
+    offsets = F.aggregate(F.split("text", pattern), start, add, lambda acc: acc["offsets"])
+    hits = F.arrays_zip(offsets.alias("offset"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("source"))
+    found = paragraphs.filter(F.col("text").rlike(pattern)).select("package_id", "idx", "paragraph_id", "text", F.posexplode(hits).alias("n", "hit")).filter("hit.source is not null")
+    offset = F.col("hit.offset")
+    placed = found.select(*PK, "paragraph_id", "n", "hit.source", offset.cast("long").alias("visible_offset"), context(F.col("text"), offset).alias("context"))
     in_package = F.row_number().over(Window.partitionBy("package_id").orderBy("idx", "n"))
-    return known.select(
+    return placed.join(F.broadcast(catalog), "source").select(
         *PK,
         "paragraph_id",
         "visible_offset",
@@ -37,8 +36,8 @@ def candidates(paragraphs: DataFrame, catalog: DataFrame, pattern: str) -> DataF
         "target",
         "classification",
         "reversible",
-        F.col("around").alias("context"),
-        F.concat("paragraph_id", F.lit("-V"), F.lpad(in_paragraph.cast("string"), 4, "0")).alias("occurrence_id"),
+        "context",
+        F.concat("paragraph_id", F.lit("-V"), F.lpad((F.col("n") + 1).cast("string"), 4, "0")).alias("occurrence_id"),
         F.concat(F.lit("C"), F.lpad(in_package.cast("string"), 5, "0")).alias("candidate_id"),
     )
 

@@ -37,9 +37,10 @@ def owner_ranges(spark, d):
     order = Window.partitionBy("package_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0))
     placed = b.paragraphs(spark, d).select("package_id", "idx", "paragraph_id", first.alias("first"), F.length("text").alias("n"))
-    bodies = placed.select("package_id", F.col("paragraph_id").alias("owner"), F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
-    box = F.concat(F.lit("B"), F.col("idx"), F.lit(".P0")).alias("owner")
-    return placed, bodies.unionByName(placed.filter("n >= 40").select("package_id", box, (F.col("first") + 10).alias("start"), (F.col("first") + 30).alias("end")))
+    body = F.struct(F.col("paragraph_id").alias("owner"), F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
+    box = F.struct(F.concat(F.lit("B"), F.col("idx"), F.lit(".P0")).alias("owner"), (F.col("first") + 10).alias("start"), (F.col("first") + 30).alias("end"))
+    both = F.explode(F.array_compact(F.array(body, F.when(F.col("n") >= 40, box)))).alias("o")
+    return placed, placed.select("package_id", both).select("package_id", "o.*")
 
 
 def _points(spark, d, placed):
