@@ -7,15 +7,15 @@ the last stage return the columns of ``documents``; the last returns the packed
 pieces.
 
 - quality rules: rows that the rules reject go.
-- near duplicates: of each group the row with the smallest doc_id stays; of rows
-  that repeat that doc_id one stays.
+- near duplicates: of each group one row stays, that with the smallest doc_id.
 - decontamination: rows with a word inside a benchmark window go.
 - secrets: findings in the text are replaced by a mark; n_chars follows.
 - packing: every document that is left is tokenized and packed.
 
-Rows with a null doc_id can't be told apart, so a stage gives them one verdict:
-quality rules and near duplicates keep all of them if they keep one,
-decontamination drops all if one is contaminated. Null texts count as empty.
+The first three judge every row by itself: they write their input once with a
+unique row key and drop rows by that key, so rows that share a doc_id, or have
+none, don't share a verdict. Among near duplicates a null doc_id comes last, and
+of rows that repeat a doc_id any one is first. Null texts count as empty.
 Extra columns pass through all stages but the last. An empty table stays empty.
 """
 
@@ -27,33 +27,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import decontamination, packing, quality_rules, secret_scan, simhash
-from foliolake.llm.storage import table, without_ids, written
+from foliolake.llm.storage import keyed, table, without_ids, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep. Of rows that repeat a doc_id all stay if one is kept."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept")
-    return without_ids(docs, rejected.select("doc_id"))
+    """Rows that the quality rules keep."""
+    rows, key = keyed(docs)
+    judged = quality_rules.judge(rows, table(spark, sf_dir, "labels"), carried=(key,))
+    return without_ids(rows, judged.filter("not kept").select(key), key).drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the smallest doc_id."""
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    named = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or(first).alias("stays"), F.count("*").alias("n"))
-    named = written(named, "groups")
-    kept = without_ids(docs, named.filter("not stays").select("doc_id"))
-    repeated = named.filter("stays and n > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without_ids(kept, repeated).unionByName(once)
+    rows, key = keyed(docs)
+    return without_ids(rows, simhash.copies(rows, key), key).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a benchmark window. A row goes if any row with its doc_id is contaminated."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.filter("contaminated").select("doc_id"))
+    """Rows without a benchmark window."""
+    rows, key = keyed(docs)
+    found = decontamination.contamination(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without_ids(rows, found.filter("contaminated").select("doc_id"), key).drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

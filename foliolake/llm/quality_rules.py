@@ -152,10 +152,10 @@ def thresholds(levelled: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     return counted.groupBy("stratum").agg((F.coalesce(first_unsafe, F.lit(LEVELS + 1)) - 1).alias("safe_level"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept for every row of ``docs``."""
-    measured = base_metrics(docs.select("doc_id", "lang", "text"))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+def judge(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carried``, the base counts, base_failed and kept for every row of ``docs``."""
+    measured = base_metrics(docs.select("doc_id", *carried, "lang", "text"))
+    columns = ["doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     levelled = written(measured.select(*columns, stratum(F.col("lang")).alias("stratum"), survived_level().alias("level")), "rule-levels")
     safe = thresholds(levelled.select("doc_id", "stratum", "level"), labels)
     verdict = ~F.col("base_failed") & (F.col("level") >= F.coalesce("safe_level", F.lit(0)))

@@ -58,15 +58,16 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(spans)))
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, ids: Column | None = None) -> DataFrame:
+    """doc_id (or ``ids`` in its place) and fp, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def signed(texts: pd.Series) -> pd.Series:
         values = np.array([fingerprint(t, words_per_shingle) for t in texts], dtype=np.uint64)
         return pd.Series(values.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), signed("text").alias("fp"))
+    ids = F.col("doc_id").cast("long") if ids is None else ids
+    return docs.select(ids.alias("doc_id"), signed("text").alias("fp"))
 
 
 def covering_masks() -> list[int]:
@@ -147,5 +148,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def copies(docs: DataFrame, key: str) -> DataFrame:
+    """``key`` (unique) of every row of ``docs`` but the first of each component, by doc_id, nulls last, then key."""
+    order = F.struct(F.col("doc_id").isNull().alias("without_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"))
+    found = components(written(fingerprints(docs, ids=order), "prints"))
+    return found.filter(F.col("doc_id.key") != F.col("component_id.key")).select(F.col("doc_id.key").alias(key))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -63,6 +63,17 @@ def restored(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
+def keyed(rows: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` as a Parquet table with a unique row key (a long), and the key's name, which no column of ``rows`` has.
+
+    The key is written, so that it stays the same however often the table is read.
+    """
+    key = "row_key"
+    while key in map(str.lower, rows.columns):
+        key += "_"
+    return written(rows.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 #: Ids of at most this number (some tens of MB as a hash table) are broadcast; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

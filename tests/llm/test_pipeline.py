@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from foliolake.llm import bpe, secret_scan
 from foliolake.llm.storage import table, without_ids, written
@@ -59,3 +61,22 @@ def test_ids_beyond_the_bound_are_joined_by_a_shuffle(spark, odd):
     gone = spark.createDataFrame([(4,), (None,)], "doc_id long")
     few, many = without_ids(odd, gone), without_ids(odd, gone, limit=0)
     assert sorted(r.doc_id for r in few.collect()) == sorted(r.doc_id for r in many.collect()) == [1, 2, 3, 5, 6, 2**60 + 1]
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, tiny):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)) for _ in range(6)]
+    item = table(spark, tiny, "benchmark").filter("length(text) > 100").first().text
+    rows = [(None, texts[1]), (None, texts[2]), (None, texts[2]), (None, "too short"), (7, texts[3]), (7, texts[4]), (7, "too short"), (7, item), (None, item + " ."), (3, texts[4]), (9, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row_key long").repartition(3)
+    left = lambda stage: sorted((r.doc_id or 0, r.text) for r in stage(spark, docs, tiny).collect())
+    plain = [(i or 0, t) for i, t in rows]
+    assert left(corpus_pipeline.quality) == sorted(r for r in plain if r[1] != "too short")
+    groups = brute_components([(k, brute_fingerprint(t)) for k, (_, t) in enumerate(rows)])
+    first = {root: min((i is None, i or 0, k) for k, (i, _) in enumerate(rows) if groups[k] == root)[2] for root in set(groups.values())}
+    once = left(corpus_pipeline.near_duplicates)
+    assert len(once) == len(first) and [i for i, _ in once] == sorted(rows[k][0] or 0 for k in first.values())
+    assert {brute_fingerprint(t) for _, t in once} <= {brute_fingerprint(rows[k][1]) for k in first.values()}
+    hits = brute([(k, t) for k, (_, t) in enumerate(rows)], [(r.item_id, r.text) for r in table(spark, tiny, "benchmark").collect()])
+    assert left(corpus_pipeline.decontaminate) == sorted(r for k, r in enumerate(plain) if not hits[k][4])
+    assert hits[7][4] and hits[8][4] and not hits[5][4]
