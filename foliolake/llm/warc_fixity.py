@@ -18,8 +18,8 @@ give empty trees and an empty audit. Extra columns are dropped.
 
 from __future__ import annotations
 
-import gzip
-import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,26 +33,75 @@ RECORDS_PER_FILE = 4096
 #: Bits of rot, cuts and losses in the replica that the registered query audits: by the first hex digits of a digest of the record's name.
 ROTTEN, CUT, LOST = "00", "01", "02"
 
-RAW = "path string, record_offset long, record_length long, uri string, record binary"
+RAW = "path string, record_offset long, record_length long, uri string, record binary, error string"
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_NEXT = re.compile(rb"\nWARC/")
+
+
+def _plain(raw: bytes) -> tuple[bytes, list[tuple[int, str]]]:
+    """The bytes of all gzip members, and (place in them, error) of damaged ones; reading goes on at the next member."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw, []
+    out, errors, at = bytearray(), [], 0
+    while at >= 0 and at < len(raw):
+        member = zlib.decompressobj(31)
+        try:
+            for k in range(at, len(raw), 1 << 16):
+                out += member.decompress(raw[k : k + (1 << 16)])
+                if member.eof:
+                    at = min(k + (1 << 16), len(raw)) - len(member.unused_data)
+                    break
+            else:
+                raise zlib.error("cut off")
+        except zlib.error as e:
+            errors.append((len(out), f"gzip: {e}"))
+            at = raw.find(b"\x1f\x8b\x08", at + 1)
+    return bytes(out), errors
+
+
+def _records(raw: bytes, damaged: list[int]) -> Iterator[tuple[int, int, str | None, str | None]]:
+    """Start, end, uri and error of every record; a bad one ends at the next line that starts with ``WARC/``, or at a damaged place."""
+    start = 0
+    while start < len(raw):
+        limit = min((at for at in damaged if at > start), default=len(raw))
+        head = _HEAD_END.search(raw, start, limit)
+        fields = {}
+        for line in raw[start : head.start() if head else limit].split(b"\n")[1:]:
+            key, _, value = line.partition(b":")
+            fields[key.strip().lower()] = value.strip()
+        uri = fields[b"warc-target-uri"].decode("utf-8", "replace") if b"warc-target-uri" in fields else None
+        size, error = fields.get(b"content-length", b""), None
+        if not raw.startswith(b"WARC/", start):
+            uri, error = None, "no record"
+        elif not head or not size.isdigit():
+            error = "no Content-Length"
+        else:
+            end = head.end() + int(size) + 4
+            if end > limit or raw[end - 4 : end] != b"\r\n\r\n":
+                error = "wrong Content-Length"
+        if error:
+            found = _NEXT.search(raw, start, limit)
+            end = found.end() - 5 if found else limit
+        yield start, end, uri, error
+        start = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .warc and .warc.gz files: path, record_offset and record_length (of the plain bytes), uri, record."""
+    """Records of .warc and .warc.gz files: path, record_offset and record_length (of the plain bytes), uri, record, error.
+
+    What is no whole record is a row with an error, up to the next line that
+    starts with ``WARC/``; a damaged gzip member is a row of length 0. A file is
+    read by one task, so it must have less than 2 GB.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                stream = io.BytesIO(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
-                rows = []
-                while (start := stream.tell(), stream.readline())[1].startswith(b"WARC/"):
-                    fields = {}
-                    while (line := stream.readline().strip()) :
-                        key, _, value = line.partition(b":")
-                        fields[key.strip().lower()] = value.strip().decode("utf-8", "replace")
-                    stream.seek(int(fields.get(b"content-length", 0)) + 4, io.SEEK_CUR)
-                    size = min(stream.tell(), len(stream.getbuffer())) - start
-                    rows.append((name, start, size, fields.get(b"warc-target-uri"), stream.getvalue()[start : start + size]))
-                yield pd.DataFrame(rows, columns=["path", "record_offset", "record_length", "uri", "record"])
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                raw, errors = _plain(content)
+                rows = [(name, start, end - start, uri, raw[start:end], error) for start, end, uri, error in _records(raw, [at for at, _ in errors])]
+                rows += [(name, at, 0, None, b"", error) for at, error in errors]
+                yield pd.DataFrame(rows, columns=["path", "record_offset", "record_length", "uri", "record", "error"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, RAW)
 

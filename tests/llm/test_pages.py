@@ -91,3 +91,17 @@ def test_warc_files_are_read_back(spark, tmp_path):
     rows = warc_fixity.read_warc(spark, str(tmp_path)).orderBy("path", "record_offset").collect()
     assert [r.uri for r in rows] == ["http://a", "http://b"] * 2
     assert b"".join(bytes(r.record) for r in rows[:2]) == raw and rows[1].record_offset == rows[0].record_length
+
+
+def test_warc_reading_goes_on_after_damage(spark, tmp_path):
+    record = lambda k, size=5: f"WARC/1.1\r\nWARC-Target-URI: u{k}\r\nContent-Length: {size}\r\n\r\nbody{k}\r\n\r\n".encode()
+    parts = [record(0), record(1, 3), record(2, 50), record(3, "x"), record(5), b"XARC/1.1\r\nrot\r\n\r\n", record(4)]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    rows = sorted(warc_fixity.read_warc(spark, str(tmp_path / "a.warc")).collect(), key=lambda r: r.record_offset)
+    assert [bytes(r.record) for r in rows] == parts
+    assert [(r.uri, r.error is None) for r in rows] == [("u0", True), ("u1", False), ("u2", False), ("u3", False), ("u5", True), (None, False), ("u4", True)]
+    members = [gzip.compress(record(k)) for k in range(3)]
+    members[1] = members[1][:12] + b"\xff\xff\xff\xff" + members[1][16:]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    rows = warc_fixity.read_warc(spark, str(tmp_path / "b.warc.gz")).collect()
+    assert {r.uri for r in rows if r.error is None} == {"u0", "u2"} and any((r.error or "").startswith("gzip") for r in rows)
