@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="foliolake-")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the one that the cluster shares (``spark.checkpoint.dir``).
+
+    Where that isn't set, one machine (a ``local`` master, as in tests) uses a
+    temporary folder; a cluster has no folder that all see, and that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder()
+    return f"{root.rstrip('/')}/foliolake/{spark.conf.get('spark.app.id')}"
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliolake-")
-    return f"{root.rstrip('/')}/foliolake/{purpose}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes all that this application wrote to the shared folder; call it when its results have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def publish(df: DataFrame, path: str) -> DataFrame:
