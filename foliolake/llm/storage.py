@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside Arrow functions, where a null would turn longs into doubles.
+from foliolake.sources.shared import scratch as scratch_dir
+
+#: Stands for a null id inside pandas functions, where a null would turn longs into doubles.
 NULL_ID = -(1 << 63)
 
 
@@ -18,19 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="foliolake-")
-
-
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a local temporary
-    folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/foliolake/{purpose}-{uuid.uuid4().hex}"
+def plain(texts: pa.Array) -> Iterator[str]:
+    """The texts of an Arrow array one by one, nulls as empty ones; a batch never stands twice in memory."""
+    return (text.as_py() or "" for text in texts)
 
 
 def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
