@@ -2,28 +2,34 @@
 
 Index. Each batch of documents is a segment with its own positional postings:
 one row for each (segment, term), with the term's places in the segment's word
-stream, delta-coded. Documents follow each other in the stream with one place
-left free between them, so no run of places crosses documents. The index is a
-Parquet table in the shared folder; building it needs no shuffle.
-
-Search. A phrase's terms are ordered by their frequency in the whole index. The
-postings of the phrases' terms and the phrases whose rarest term occurs in a
-segment meet by segment: postings are intersected, shifted by their offsets,
-from the rarest term on, until no place is left. A segment's share is bounded by
-its documents, so neither a frequent word nor a passage that many documents
-share gathers in one task, and no phrase is broadcast.
-
-Terms are XXH64 hashes of words. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
-after A-Z are lower-cased. Null and empty texts have no words and no hits; items
-without words have no window. Repeated items count once by item_id; a null
-item_id is listed as ``null``. Rows that repeat a doc_id are searched and
-returned each. Empty tables give an empty result or one without hits. Extra
-columns are dropped.
+stream, delta-coded. Documents follow each other in the stream, each with its
+first place and its length. The index is a Parquet table in the shared folder;
+building it needs no shuffle.
+
+Search. Items are cut into phrases (windows). A phrase's rarest term in the whole
+index says which segments to look at: an item's words are sent once to each
+segment that holds the rarest term of one of its phrases, and meet there the
+postings of the items' terms. In a segment the postings of a phrase are
+intersected, shifted by their offsets, from its rarest term there on, until no
+place is left. What a segment gets is bounded by its documents and by the items
+that may occur in it, each once; neither a frequent word nor a passage that many
+documents share gathers in one task, and nothing is broadcast.
+
+A phrase occurs at a base place b of a document if each of its terms stands there
+at most ``slack`` places from b plus its offset, inside the document. Words are
+hit where such a term stands. A slack of 0 asks for the exact phrase.
+
+Terms are XXH64 hashes of words, so "exact" is up to their collisions. Words are
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Null and empty
+texts have no words and no hits; items without words have no window. Rows that
+repeat an item_id are one item; items without an id are one item too, which
+counts but has no id to list. Rows that repeat a doc_id are searched and returned
+each. Empty tables give an empty result or one without hits. Extra columns are
+dropped.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +45,7 @@ WINDOW = 10
 #: Upper case becomes lower case; what is no part of a word becomes a space.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Words of a segment, at most (and one document).
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 
 INDEX = "segment long, term long, n long, places binary, doc_ids binary, firsts binary, lengths binary"
 HITS = "doc_id long, n_words long, n_hit long, items array<string>"
@@ -60,10 +66,10 @@ def _segment(segment: int, doc_ids: list, streams: list[np.ndarray], vocabulary:
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     firsts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])) if len(lengths) else lengths
     ids = np.concatenate(streams)
-    at = np.arange(len(ids), dtype=np.int64) + np.repeat(np.arange(len(lengths)), lengths)
+    at = (np.arange(len(ids), dtype=np.int64) + np.repeat(np.arange(len(lengths)), lengths)).astype(np.uint32)
     order = np.argsort(ids, kind="stable")
     counts = np.bincount(ids, minlength=len(vocabulary))
-    places = at[order].astype(np.uint32)
+    places = at[order]
     deltas = np.diff(places, prepend=np.uint32(0))
     heads = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
     if len(ids):
@@ -92,7 +98,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                streams.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
+                streams.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
                 doc_ids.append(doc_id)
                 held += len(words) + 1
                 if held >= segment_words:
@@ -104,95 +110,137 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
     return written(docs.select(filled(), "text").mapInArrow(build, INDEX), "term-index")
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """phrase, item, place, term for every window of every item; a phrase is one window."""
+def item_terms(items: DataFrame) -> DataFrame:
+    """number, item, terms of every row of ``items`` (item_id, text) that has words, written; numbers are unique."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for item, text in zip(batch["item"], batch["text"], strict=True):
-                terms = [term_of(w) for w in words_of(text)]
-                for k in range(max(len(terms) - window + 1, 1) if terms else 0):
-                    run = terms[k : k + window]
-                    phrase = term_of(np.array(run, dtype="<i8").tobytes() + item.encode())
-                    rows += [(phrase, item, place, term) for place, term in enumerate(run)]
-            yield pd.DataFrame(rows, columns=["phrase", "item", "place", "term"]).astype({"phrase": "int64", "place": "int32", "term": "int64"})
-
-    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.mapInPandas(cut, "phrase long, item string, place int, term long").distinct()
-
-
-def _places(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, "<u4"), dtype=np.int64)
-
-
-def _found(starts: np.ndarray, places: np.ndarray, shift: int, slack: int = 0) -> np.ndarray:
-    """Those starts after which, ``shift`` places on (or up to ``slack`` places off), one of ``places`` follows."""
-    at = np.searchsorted(places, starts + shift - slack)
-    inside = at < len(places)
-    starts, at = starts[inside], at[inside]
-    return starts[places[at] <= starts + shift + slack]
-
-
-def _search(postings: pd.DataFrame, phrases: pd.DataFrame, slack: int = 0) -> pd.DataFrame:
-    """The hits in one segment: postings are its index rows, phrases have terms and places, rarest first."""
-    of_documents = postings["doc_ids"].notna()
-    about = postings[of_documents]
-    if about.empty:
-        return pd.DataFrame({"doc_id": [], "n_words": [], "n_hit": [], "items": []})
-    doc_ids, firsts, lengths = (np.frombuffer(about[c].iloc[0], "<i8") for c in ("doc_ids", "firsts", "lengths"))
-    rows = postings[~of_documents]
-    by_term = {int(t): raw for t, raw in zip(rows["term"], rows["places"], strict=True)}
-    decoded: dict[int, np.ndarray] = {}
-    edges = np.zeros(int((lengths + 1).sum()) + 1, dtype=np.int32)
-    hit_items: dict[int, set[str]] = {}
-    for item, terms, places in zip(phrases["item"], phrases["terms"], phrases["places"], strict=True):
-        if any(t not in by_term for t in terms):
-            continue
-        for t in terms:
-            if t not in decoded:
-                decoded[t] = _places(by_term[t])
-        starts = decoded[terms[0]] - places[0]
-        for t, place in zip(terms[1:], places[1:], strict=True):
-            starts = _found(starts, decoded[t], int(place), slack)
-            if not len(starts):
+    @F.arrow_udf("array<long>")
+    def terms(texts: pa.Array) -> pa.Array:
+        return pa.array([[term_of(w) for w in words_of(t.as_py())] for t in texts], pa.list_(pa.int64()))
+
+    rows = items.select(F.monotonically_increasing_id().alias("number"), F.col("item_id").cast("string").alias("item"), terms("text").alias("terms"))
+    return written(rows.filter(F.size("terms") > 0), "items")
+
+
+def phrases(terms: list[int], window: int) -> Iterator[list[int]]:
+    """The windows of an item's words; an item of fewer words is one."""
+    return (terms[k : k + window] for k in range(max(len(terms) - window, 0) + 1))
+
+
+class Segment:
+    """The postings that one segment has of the terms asked for, and its documents."""
+
+    def __init__(self, postings: pd.DataFrame):
+        of_documents = postings["doc_ids"].notna()
+        about = postings[of_documents]
+        self.doc_ids, self.firsts, self.lengths = (np.frombuffer(b"".join(about[c]), "<i8") for c in ("doc_ids", "firsts", "lengths"))
+        rows = postings[~of_documents]
+        self._raw = {int(t): raw for t, raw in zip(rows["term"], rows["places"], strict=True)}
+        self._places: dict[int, np.ndarray] = {}
+
+    def __contains__(self, term: int) -> bool:
+        return term in self._raw
+
+    def count(self, term: int) -> int:
+        return len(self._raw[term])
+
+    def places(self, term: int) -> np.ndarray:
+        if term not in self._places:
+            self._places[term] = np.cumsum(np.frombuffer(self._raw[term], "<u4"), dtype=np.int64)
+        return self._places[term]
+
+    def occurrences(self, phrase: list[int], slack: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The documents (by place) in which a phrase occurs, and the places that its terms then take."""
+        order = sorted(range(len(phrase)), key=lambda offset: self.count(phrase[offset]))
+        rarest = self.places(phrase[order[0]])
+        documents = np.searchsorted(self.firsts, rarest, side="right") - 1
+        bases = rarest - order[0]
+        if slack:  # every base from which the rarest term is near enough
+            bases = (bases[:, None] + np.arange(-slack, slack + 1)).ravel()
+            documents = np.repeat(documents, 2 * slack + 1)
+        reach = []
+        for offset in order:
+            if not len(bases):
                 break
-        if len(starts):
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + len(terms), -1)
-            for doc in np.unique(np.searchsorted(firsts, starts, side="right") - 1):
-                hit_items.setdefault(int(doc), set()).add(item)
-    covered = np.concatenate(([0], np.cumsum(np.cumsum(edges[:-1]) > 0)))
-    n_hit = covered[np.minimum(firsts + lengths, len(covered) - 1)] - covered[firsts]
-    return pd.DataFrame({"doc_id": doc_ids, "n_words": lengths, "n_hit": n_hit.astype(np.int64), "items": [sorted(hit_items.get(k, ())) for k in range(len(doc_ids))]})
+            places = self.places(phrase[offset])
+            low = np.searchsorted(places, np.maximum(bases + offset - slack, self.firsts[documents]))
+            high = np.searchsorted(places, np.minimum(bases + offset + slack, self.firsts[documents] + self.lengths[documents] - 1), side="right")
+            there = low < high
+            bases, documents = bases[there], documents[there]
+            reach = [(p, a[there], b[there]) for p, a, b in reach] + [(places, low[there], high[there])]
+        return np.unique(documents), [_between(*r) for r in reach] if len(bases) else []
+
+    def hits(self, items: pd.DataFrame, window: int, slack: int = 0) -> pd.DataFrame:
+        """doc_id, n_words, n_hit, items of every document."""
+        hit = np.zeros(int(self.firsts[-1] + self.lengths[-1]) if len(self.firsts) else 0, dtype=bool)
+        found: dict[int, set[str | None]] = {}
+        seen: set[tuple[str | None, bytes]] = set()
+        for item, terms in zip(items["item"], items["terms"], strict=True):
+            terms = [int(t) for t in terms]
+            known = [t in self for t in terms]
+            for k, phrase in enumerate(phrases(terms, window)):
+                if not all(known[k : k + len(phrase)]):
+                    continue
+                key = (item, np.array(phrase, dtype="<i8").tobytes())
+                if key in seen:
+                    continue
+                seen.add(key)
+                documents, taken = self.occurrences(phrase, slack)
+                for places in taken:
+                    hit[places] = True
+                if taken:
+                    for document in documents:
+                        found.setdefault(int(document), set()).add(item)
+        covered = np.concatenate(([0], np.cumsum(hit)))
+        n_hit = covered[self.firsts + self.lengths] - covered[self.firsts]
+        listed = [sorted(found.get(k, ()), key=lambda item: (item is None, item or "")) for k in range(len(self.doc_ids))]
+        return pd.DataFrame({"doc_id": self.doc_ids, "n_words": self.lengths, "n_hit": n_hit.astype(np.int64), "items": listed})
+
+
+def _between(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All of places[a:b] for the pairs of low and high."""
+    edges = np.zeros(len(places) + 1, dtype=np.int64)
+    np.add.at(edges, low, 1)
+    np.add.at(edges, high, -1)
+    return places[np.cumsum(edges[:-1]) > 0]
+
+
+def _search(postings: pd.DataFrame, items: pd.DataFrame, window: int, slack: int) -> pd.DataFrame:
+    """The hits in one segment. A null item comes as a missing value of any kind."""
+    return Segment(postings).hits(items.assign(item=[None if pd.isna(i) else i for i in items["item"]]), window, slack)
+
+
+def _asked(items: DataFrame, postings: DataFrame, window: int) -> DataFrame:
+    """in_segment, item, terms: an item for each segment that holds the rarest term of one of its phrases."""
+    frequency = postings.groupBy("term").agg(F.sum("n").alias("df"))
+    offsets = F.sequence(F.lit(0), F.greatest(F.size("terms") - window, F.lit(0)))
+    cut = items.select("number", F.posexplode(F.transform(offsets, lambda k: F.slice("terms", k + 1, F.lit(window)))).alias("phrase", "terms"))
+    ranked = cut.select("number", "phrase", F.explode("terms").alias("term")).join(frequency, "term", "left")
+    # a term without postings has no frequency, and a phrase with such a term is nowhere
+    rarest = ranked.groupBy("number", "phrase").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_and(F.col("df").isNotNull()).alias("known"))
+    routed = rarest.filter("known").select("number", "term").distinct()
+    where = postings.select("segment", "term").join(routed, "term").select(F.col("segment").alias("in_segment"), "number").distinct()
+    return where.join(items, "number").select("in_segment", "item", "terms")
 
 
-def search(index: DataFrame, windows: DataFrame, slack: int = 0) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 0) -> DataFrame:
     """doc_id, n_words, n_hit, items for every indexed document.
 
-    ``slack`` 0 asks for exact phrases; above that, each term may stand up to so
-    many places away from where the phrase has it (proximity).
+    ``items`` are as ``item_terms`` gives them. ``slack`` 0 asks for exact
+    phrases; above that, each term may stand up to so many places away from where
+    the phrase has it (proximity).
     """
-    terms = windows.select("term").distinct()
-    postings = index.filter("term is not null").join(terms, "term", "left_semi").select("segment", "term", "n", "places")
-    frequency = postings.groupBy("term").agg(F.sum("n").alias("df"))
-    ranked = windows.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    phrases = (
-        ranked.groupBy("phrase", "item")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "place", "term"))).alias("by_df"))  # at most a window's words
-        .filter(F.col("by_df")[0]["df"] > 0)
-        .select("item", F.col("by_df.term").alias("terms"), F.col("by_df.place").alias("places"), F.col("by_df")[0]["term"].alias("term"))
-    )
-    asked = postings.select("segment", "term").join(phrases, "term").select(F.col("segment").alias("in_segment"), "item", "terms", "places")
+    wanted = items.select(F.explode("terms").alias("term")).distinct()
+    postings = index.filter("term is not null").join(wanted, "term", "left_semi").select("segment", "term", "n", "places")
     documents = index.filter("term is null").select("segment", F.lit(0).cast("long").alias("term"), "n", "places", "doc_ids", "firsts", "lengths")
     rows = postings.unionByName(documents, allowMissingColumns=True)
-    look = lambda left, right: _search(left, right, slack)
+    asked = _asked(items, postings.select("segment", "term", "n"), window)
+    look = lambda left, right: _search(left, right, window, slack)
     return rows.groupBy("segment").cogroup(asked.groupBy("in_segment")).applyInPandas(look, HITS).withColumn("doc_id", restored())
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    hits = search(build_index(docs), written(item_windows(items, window), "windows"))
+    hits = search(build_index(docs), item_terms(items), window)
     return hits.select(
         "doc_id",
         "n_words",

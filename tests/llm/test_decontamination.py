@@ -50,7 +50,7 @@ def test_equals_brute_force(spark):
 def test_small_segments_give_the_same(spark, tiny):
     from foliolake.llm.storage import table
 
-    docs, items = table(spark, tiny, "documents"), op.item_windows(table(spark, tiny, "benchmark"))
+    docs, items = table(spark, tiny, "documents"), op.item_terms(table(spark, tiny, "benchmark"))
     whole = {(r.doc_id, r.n_hit, tuple(r["items"])) for r in op.search(op.build_index(docs), items).collect()}
     parts = {(r.doc_id, r.n_hit, tuple(r["items"])) for r in op.search(op.build_index(docs, segment_words=500), items).collect()}
     assert whole == parts
@@ -58,11 +58,56 @@ def test_small_segments_give_the_same(spark, tiny):
 
 def test_proximity_allows_slack(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha of beta then gamma"), (3, "gamma far away from any of the others alpha")], "doc_id long, text string")
-    phrase = op.item_windows(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string"))
-    hits = lambda slack: {r.doc_id for r in op.search(op.build_index(docs), phrase, slack).collect() if r.n_hit}
+    phrase = op.item_terms(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string"))
+    hits = lambda slack: {r.doc_id for r in op.search(op.build_index(docs), phrase, slack=slack).collect() if r.n_hit}
     assert hits(0) == {1} and hits(2) == {1, 2}
 
 
+def brute_proximity(docs, items, window, slack):
+    out = {}
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, item_text in items:
+            t = words(item_text)
+            for k in range(max(len(t) - window, 0) + 1) if t else ():
+                phrase = t[k : k + window]
+                for base in range(-len(phrase) - slack, len(w) + slack + 1):
+                    near = [[p for p in range(max(0, base + o - slack), min(len(w), base + o + slack + 1)) if w[p] == x] for o, x in enumerate(phrase)]
+                    if all(near):
+                        found.add(str(item))
+                        hit |= {p for ps in near for p in ps}
+        out[doc_id] = (len(w), len(hit), sorted(found))
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(9)
+    draw = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    docs = [(k, draw(rng.randrange(12))) for k in range(120)] + [(500, "a b"), (501, "c d"), (502, "b a"), (503, "x y")]
+    items = [(1, "b c"), (2, "a b"), (3, draw(4)), (4, draw(7)), (5, "g"), (6, "a a")]
+    index = op.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2))
+    terms = op.item_terms(spark.createDataFrame(items, "item_id long, text string"))
+    for slack in range(4):
+        rows = op.search(index, terms, window=3, slack=slack).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in rows} == brute_proximity(docs, items, 3, slack)
+
+
+def test_an_item_is_sent_to_a_segment_once(spark):
+    docs = spark.createDataFrame([(k, f"rare{k % 3} one two three four five six seven eight nine ten eleven rare{k % 3}") for k in range(9)], "doc_id long, text string").coalesce(1)
+    items = op.item_terms(spark.createDataFrame([(1, "rare0 one two three four five six seven eight nine ten eleven rare0"), (2, "rare7 one two")], "item_id long, text string"))
+    postings = op.build_index(docs, segment_words=13).filter("term is not null").select("segment", "term", "n")
+    asked = op._asked(items, postings, op.WINDOW).collect()
+    assert len(asked) == len({(r.in_segment, r.item) for r in asked}) == 9 and {r.item for r in asked} == {"1"}
+
+
+def test_items_without_an_id_and_one_named_null_are_two(spark):
+    items = spark.createDataFrame([(None, "alpha beta"), ("null", "gamma delta"), (None, "beta gamma")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "gamma delta"), (3, "alpha beta")], "doc_id long, text string")
+    rows = {r.doc_id: (r.n_items, r.items_sha256, r.n_hit) for r in op.contamination(docs, items).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == {1: (2, sha("null"), 4), 2: (1, sha("null"), 2), 3: (1, sha(""), 2)}
+
+
 def test_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "one word after another makes a line one word after another"), (None, "a row without an id")], "item_id long, text string")
     rows = op.contamination(odd, items).collect()
