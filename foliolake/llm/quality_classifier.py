@@ -5,13 +5,14 @@ repetition of words, runs and lines, word lengths, frequent words. For pairs of
 a good and a bad labelled document, the logistic loss of the weighted feature
 difference is minimized (Newton's method, ridge penalty); the weighted features
 are then a quality scale, up to a shift. Scores between 0 and 1 come from a
-logistic fit of the labels on that scale, on the training rows. A cut by score
-or by score quantile (``above_quantile``) follows.
+logistic fit of the labels on that scale, on the training rows. Two verdicts
+follow: ``predicted`` by the score itself, and ``above_quantile`` by the quantile
+of all scores that ``QUANTILE`` of the rows lie under.
 
-Labels of at most ``TRAIN_ROWS`` documents, by hash of doc_id, are learned from,
-each with ``PAIRS_EACH`` random partners for a document of the rarer class;
-features of every document are computed where it is, without a shuffle. Neither
-labels nor lang, source or doc_id are features.
+At most ``TRAIN_ROWS`` labelled rows, by hash of doc_id and text, are learned
+from, however many rows share an id, with ``PAIRS_EACH`` random partners for a
+document of the rarer class; features of every document are computed where it is,
+without a shuffle. Neither labels nor lang, source or doc_id are features.
 
 Null and empty texts have features of zeros and get a score like any other. With
 no labels of either class every score is the share of good ones, or 0.5. Null
@@ -26,17 +27,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm.storage import filled, restored, table
+from foliolake.llm.storage import plain, table, written
 
 TRAIN_ROWS = 20_000
 PAIRS_EACH = 16
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
+QUANTILE = 0.3
 SEED = 11
 
 _SYMBOLS = b"#*$%&|<>!?.,;:\"'()[]{}=+/_-@^~\\`"
@@ -56,7 +58,7 @@ def features(text: str) -> np.ndarray:
     pairs = Counter(zip(words, words[1:], strict=False))
     lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
     upper = sum(w.isupper() for w in words)
-    alone = sum(not any(map(str.isalnum, w)) for w in tally) and sum(c for w, c in tally.items() if not any(map(str.isalnum, w)))
+    alone = sum(c for w, c in tally.items() if not any(map(str.isalnum, w)))
     shares = [counts[c] / n for c in _SYMBOLS]
     shares += [counts[48:58].sum() / n, counts[65:91].sum() / n, counts[97:123].sum() / n, counts[128:].sum() / n, counts[10] / n, counts[32] / n]
     symbols = sum(counts[c] for c in b"#*$%&|<>!=+@^~")
@@ -130,19 +132,25 @@ def _fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS
 
 
+def _measured(batch: pa.RecordBatch) -> np.ndarray:
+    """The feature rows of a batch's texts."""
+    return np.stack([features(t) for t in plain(batch.column("text"))]) if batch.num_rows else np.zeros((0, len(features(""))))
+
+
 def _featured(docs: DataFrame) -> DataFrame:
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[["quality"]].assign(features=[features(t) for t in batch["text"]])
+            yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("quality"), pa.array(list(_measured(batch)), pa.list_(pa.float64()))], names=["turn", "quality", "features"])
 
-    return docs.select("quality", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(measure, "quality int, features array<double>")
+    return docs.select("turn", "quality", "text").mapInArrow(measure, "turn long, quality int, features array<double>")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """The model learned from labels outside the held-out fold; at most ``train_rows`` of them."""
+    """The model learned from labels outside the held-out fold; at most ``train_rows`` rows come to the driver."""
     known = labels.filter(F.col("quality").isNotNull() & (_fold() != HELD_OUT)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_rows)
-    sample = _featured(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).toPandas()
+    turn = F.xxhash64("doc_id", "text", F.lit(SEED)).alias("turn")
+    sample = _featured(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(turn, "quality", "text")).orderBy("turn", "quality").limit(train_rows).toPandas()
     if sample.empty:
         return bradley_terry(np.zeros((0, len(features("")))), np.zeros(0))
     rows, quality = np.stack(sample["features"].to_list()), sample["quality"].to_numpy()
@@ -153,21 +161,23 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.stack([features(t) for t in batch["text"]]) if len(batch) else np.zeros((0, len(model.mean)))
-            yield batch[["doc_id"]].assign(score=model.scores(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(_measured(batch)), pa.float64())], names=["doc_id", "score"])
 
-    rated = docs.select(filled(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rate, "doc_id long, score double").withColumn("doc_id", restored())
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double")
     return rated.select("doc_id", F.coalesce(_fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def above_quantile(scored: DataFrame, share: float) -> DataFrame:
-    """The rows whose score is above the quantile that ``share`` of all rows lie under."""
-    cut = scored.agg(F.percentile_approx("score", share, 10_000).alias("cut"))
-    return scored.join(F.broadcast(cut), F.col("score") > F.col("cut")).drop("cut")
+def with_quantile(scored: DataFrame, share: float = QUANTILE) -> DataFrame:
+    """``scored`` with above_quantile: whether the score is above the quantile that ``share`` of all rows lie under.
+
+    The quantile is Spark's, to 1 in 10,000 of the rows; pass a written table, as it is read twice.
+    """
+    cut = scored.agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    return scored.withColumn("above_quantile", F.coalesce(F.col("score") > F.lit(cut), F.lit(False)))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    return with_quantile(written(score(docs, fitted(docs, table(spark, sf_dir, "labels"))), "scores"))

@@ -100,4 +100,39 @@ def test_classifier_of_odd_rows(spark, odd, empty):
     assert quality_classifier.score(empty, model).count() == 0
     alone = quality_classifier.fitted(odd, labels.limit(0))
     assert {r.score for r in quality_classifier.score(odd, alone).collect()} == {0.5}
-    assert quality_classifier.above_quantile(quality_classifier.score(odd, model), 0.5).count() < len(rows)
+    assert quality_classifier.with_quantile(quality_classifier.score(empty, model)).count() == 0
+
+
+def test_quantile_threshold_keeps_its_share(spark):
+    scored = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") / 1000).alias("score"))
+    kept = quality_classifier.with_quantile(scored, 0.3).filter("above_quantile")
+    assert kept.count() == pytest.approx(700, abs=2) and kept.agg(F.min("score")).first()[0] >= 0.299
+
+
+def test_rows_that_come_to_the_driver_are_bounded(spark, monkeypatch):
+    rows = [(1, f"good text number {k}") for k in range(3000)] + [(2, "#### $$$$ %%%%")] * 3000
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "bradley_terry", lambda x, y: seen.append(len(x)))
+    quality_classifier.fitted(docs, labels, train_rows=500)
+    assert seen == [500]
+
+
+def test_levels_above_zero_reject_as_the_sql_does(spark, tiny, against_sql, tmp_path):
+    """Labels planted so that every language has enough good documents for a level."""
+    folder = tiny.replace("sf0.001", "sf0.01")
+    docs = table(spark, folder, "documents")
+    for k in range(4):
+        copies = docs.withColumn("doc_id", F.col("doc_id") + 1_000_000 * k)
+        copies.coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    spark.read.parquet(f"{tmp_path}/d").coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    rows = table(spark, str(tmp_path), "documents")
+    levelled = quality_rules.base_metrics(rows).select("doc_id", "base_failed", quality_rules.survived_level().alias("level"))
+    labels = levelled.select("doc_id", (~F.col("base_failed") & (F.col("level") >= 12)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels.coalesce(1).write.parquet(f"{tmp_path}/l")
+    next((tmp_path / "l").glob("*.parquet")).rename(tmp_path / "labels.parquet")
+    against_sql(spark, quality_rules.op4_quality_rules, quality_rules.ORACLE_SQL, str(tmp_path))
+    judged = quality_rules.judge(rows, table(spark, str(tmp_path), "labels")).join(rows.select("doc_id", "lang"), "doc_id")
+    rejected = {r.lang: r.n for r in judged.filter("not kept and not base_failed").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert set(rejected) == {r.lang for r in rows.select("lang").distinct().collect()} and min(rejected.values()) > 0
