@@ -1,25 +1,30 @@
 """Main text of web pages by two passes of block rules.
 
-Markup is read once, tolerantly: comments, scripts and styles are skipped,
-block-level tags end a block, inline tags don't. A block knows the containers
-around it, its words, its characters and how many of these stand in links.
-
-First pass: containers that never hold the article (menus, page headers and
-footers, sidebars, notices, adverts, forms, reader comments), known by tag,
-role or class words, make a block boilerplate. Inside ``article`` or ``main``,
-a block is content unless it is mostly links, but short ones stay open. On a
-page without either, long blocks with many stop words are content, long ones
-with many links or few stop words are not, and short or middling ones stay open.
-
-Second pass: an open block takes the label of the nearest neighbour that the
-first pass decided by density, in the same region (the one before, on a tie);
-blocks in boilerplate containers are passed over. An open block inside an article without decided neighbours
-there is content; elsewhere it isn't. If a page with an ``article`` or ``main``
-has no content in it, all its blocks are judged as if there were none.
+Markup is read once, from front to back and tolerantly: comments, scripts and
+styles are skipped, block-level tags end a block, inline tags don't. A block
+knows its words, its characters, how many of these stand in links, and the
+containers around it.
+
+First pass. A block's support is its share of stop words; an ``article`` or
+``main`` around it counts as ``INSIDE_SHARE`` more, and standing outside of a
+page's ``article`` or ``main`` as ``OUTSIDE_SHARE`` less. By support, length and link density a
+block is content (long, well supported), boilerplate (mostly links; or long and
+badly supported, on a page where other blocks are well supported) or open: short
+blocks and those in between. Containers that never hold the article (menus, page
+headers and footers, sidebars, notices, adverts, forms, reader comments), known
+by tag, role or class words, make a block boilerplate, whatever its words.
+
+Second pass. An open block takes the label of the nearest block of its section
+that the first pass decided by density, on a tie the one before, or, if it is a
+heading, the one after; blocks in
+boilerplate containers decide nothing for their neighbours. A section without a
+decided block is content, but for what stands outside of a page's ``article`` or
+``main``. If all blocks in these are boilerplate, they count for nothing and the
+page is judged again.
 
 Null and empty pages give an empty text. Broken markup is read as far as it
-goes. Repeated rows stay; an empty table gives an empty result. Extra columns
-are dropped.
+goes; the time for a page is in proportion to its length. Repeated rows stay; an
+empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,19 +32,23 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm.storage import table
+from foliolake.llm.storage import plain, table
 
 LINK_DENSITY = 0.5
-STOP_LOW, STOP_HIGH = 0.1, 0.2
+STOP_LOW, STOP_HIGH = 0.05, 0.2
+INSIDE_SHARE, OUTSIDE_SHARE = 0.15, 1.0
 SHORT_CHARS, LONG_CHARS = 60, 140
 
-# Frequent words of the languages of the corpus.
+# Stop words of the corpus's languages (English, German, French, Spanish). They are the closed word
+# classes of school grammars: articles, the commonest prepositions, conjunctions and pronouns, and forms of "be" and
+# "have". Other frequent words aren't listed, so that the list stays under 200 entries.
 _STOP = frozenset(
     """a about all and any are as at be been but by can for from had has have he her his if in into is it its more not of
     on one or our out she so some than that the their them there they this to up was we were what when which who will
@@ -50,13 +59,14 @@ _STOP = frozenset(
     sa se ses son sont sur un une vous
     al como con del el entre era esta las lo los más no o para pero por ser si sin su sus también y""".split()
 )
-_SKIPPED = frozenset("script style noscript template iframe object svg math head select option textarea button canvas audio video map datalist".split())
-_BOILERPLATE = frozenset("nav footer aside form dialog menu fieldset".split())
+_SKIPPED = frozenset("script style noscript template iframe object svg math title select option textarea button canvas audio video map datalist".split())
+_BOILERPLATE = frozenset("head nav footer aside form dialog menu fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _REGION = frozenset(["article", "main"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _CLASS_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies
@@ -66,8 +76,9 @@ _CLASS_WORDS = frozenset(
 )
 #: Class names with one of these say how a container is laid out, not what it is.
 _LAYOUT_WORDS = frozenset("has no with without layout wrapper".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile("""["'>]""")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,12 +91,72 @@ class Block:
     boilerplate: bool
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
+    heading: bool = False
     label: str = "open"
 
     @functools.cached_property
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    @functools.cached_property
+    def stop_share(self) -> float:
+        words = _WORD.findall(self.text.lower())
+        return sum(w in _STOP for w in words) / max(1, len(words))
+
+    @functools.cached_property
+    def mostly_links(self) -> bool:
+        return self.link_chars > 0 and self.link_chars > LINK_DENSITY * len("".join(self.text.split()))
+
+
+class _Markup:
+    """Finds the tags of a page, front to back.
+
+    A ``>`` inside a quoted value doesn't end a tag. Once a tag's quotes leave no
+    such end, the page's quotes aren't trusted any more, and the next ``>`` is
+    the end; so every character is looked at a fixed number of times.
+    """
+
+    def __init__(self, page: str):
+        self._page, self._quotes, self._last_end = page, True, page.rfind(">")
+        self._last = {quote: page.rfind(quote) for quote in "\"'"}
+        self._absent: set[str] = set()
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag, or of a comment or declaration, which have no name."""
+        page = self._page
+        while 0 <= (start := page.find("<", at)) < self._last_end:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", False, ""
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "", False, ""
+            closing = page.startswith("/", start + 1)
+            if name := _NAME.match(page, start + 1 + closing):
+                end = self._end(name.end())
+                return (start, end + 1, name[0].lower(), closing, page[name.end() : end]) if end >= 0 else None
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends here."""
+        look = at
+        while self._quotes and (found := _QUOTE_OR_END.search(self._page, look)):
+            if found[0] == ">":
+                return found.start()
+            # a quote that no other follows is a character like any other
+            look = self._page.find(found[0], found.end()) + 1 if found.start() < self._last[found[0]] else found.end()
+        self._quotes = False
+        return self._page.find(">", at)
+
+    def after(self, at: int, tag: str) -> int:
+        """The place after an element's end tag, or the page's end. An end tag that isn't there is looked for once."""
+        if tag not in self._absent:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self._page, at)
+            if end:
+                return end.end()
+            self._absent.add(tag)
+        return len(self._page)
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
@@ -112,9 +183,10 @@ def _is_boilerplate(tag: str, raw: str, in_region: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that have any text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # container, boilerplate, region
+    stack: list[tuple[str, bool, int]] = []  # container; boilerplate and region before it
+    opened: Counter[str] = Counter()
     boilerplate, region, regions, links, at = False, 0, 0, 0, 0
-    current = Block(0, False)
+    current, markup = Block(0, False), _Markup(page)
 
     def cut() -> None:
         nonlocal current
@@ -129,12 +201,20 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 current.link_chars += len("".join(plain.split()))
 
-    while found := _TOKEN.search(page, at):
-        text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
-        closing = bool(found[1] or found[4])
-        attributes = found[3] or found[6] or ""
+    def leave(tag: str) -> None:
+        """Closes the innermost container of this name, and what is open inside it."""
+        nonlocal boilerplate, region, links
+        while opened[tag]:
+            name, boilerplate, region = stack.pop()
+            opened[name] -= 1
+            if name == tag:
+                links = 0
+                return
+
+    while found := markup.next(at):
+        start, end, tag, closing, attributes = found
+        text(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "a":
@@ -143,28 +223,28 @@ def blocks_of(page: str) -> list[Block]:
             current.parts.append(" ")
         if tag in _INLINE:
             if tag not in ("a", "br") and not closing and tag not in _VOID and attributes and _is_boilerplate(tag, attributes, region > 0):
-                at = _after(page, at, tag)
+                at = markup.after(at, tag)
             continue
         if tag in _SKIPPED:
             if not closing and not attributes.endswith("/"):
-                at = _after(page, at, tag)
+                at = markup.after(at, tag)
                 cut()
             continue
         if closing:
-            kept = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if kept is not None:
-                boilerplate, region = stack[kept][1], stack[kept][2]
-                del stack[kept:]
-                links = 0
+            leave(tag)
             cut()
             continue
+        if opened["head"] and tag not in _VOID:
+            leave("head")  # whose end tag may be left out
         if tag not in _VOID and tag not in ("p", "li", "dt", "dd") and not attributes.endswith("/"):
             stack.append((tag, boilerplate, region))
+            opened[tag] += 1
             boilerplate = boilerplate or _is_boilerplate(tag, attributes, region > 0)
             if tag in _REGION and not region and not boilerplate:
                 regions += 1
                 region = regions
             cut()
+            current.heading = tag in _HEADINGS
         else:
             cut()
             if attributes and _is_boilerplate(tag, attributes, region > 0):
@@ -174,28 +254,21 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def _after(page: str, at: int, tag: str) -> int:
-    """The place after the element's end tag, or the page's end."""
-    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-    return end.end() if end else len(page)
-
-
-def _first_pass(block: Block, by_region: bool) -> str:
-    text = block.text
-    if block.boilerplate or (by_region and not block.region):
-        return "boilerplate"
-    dense = block.link_chars > 0 and block.link_chars > LINK_DENSITY * len("".join(text.split()))
-    if by_region:
-        return "boilerplate" if dense and len(text) >= SHORT_CHARS else "open" if dense or len(text) < SHORT_CHARS else "content"
-    if dense:
-        return "boilerplate"
-    words = _WORD.findall(text.lower())
-    stops = sum(w in _STOP for w in words) / max(1, len(words))
-    if len(text) < SHORT_CHARS:
-        return "open"
-    if stops >= STOP_HIGH and len(text) >= LONG_CHARS:
-        return "content"
-    return "open" if stops >= STOP_LOW else "boilerplate"
+def _first_pass(blocks: list[Block], by_region: bool) -> None:
+    """Labels what container, link density, length and stop words decide."""
+    share = lambda block: block.stop_share + (INSIDE_SHARE if block.region else -OUTSIDE_SHARE) * by_region
+    for block in blocks:
+        if block.boilerplate:
+            block.label = "boilerplate"
+        elif block.mostly_links:
+            # a short line of links inside an article may be part of it
+            block.label = "open" if by_region and block.region and len(block.text) < SHORT_CHARS else "boilerplate"
+        else:
+            block.label = "content" if len(block.text) >= LONG_CHARS and share(block) >= STOP_HIGH else "open"
+    supported = any(block.label == "content" for block in blocks)
+    for block in blocks:
+        if block.label == "open" and supported and len(block.text) >= LONG_CHARS and share(block) < STOP_LOW:
+            block.label = "boilerplate"
 
 
 def _nearest(blocks: list[Block], order: range, by_region: bool) -> list[tuple[int, str] | None]:
@@ -204,30 +277,30 @@ def _nearest(blocks: list[Block], order: range, by_region: bool) -> list[tuple[i
     last: dict[int, tuple[int, str]] = {}
     for k in order:
         block = blocks[k]
-        region = block.region if by_region else 0
-        if region in last:
-            out[k] = (abs(k - last[region][0]), last[region][1])
+        section = block.region if by_region else 0
+        if section in last:
+            out[k] = (abs(k - last[section][0]), last[section][1])
         if block.label != "open" and not block.boilerplate:
-            last[region] = (k, block.label)
+            last[section] = (k, block.label)
     return out
 
 
 def _second_pass(blocks: list[Block], by_region: bool) -> None:
+    """Open blocks take the label of their nearest decided neighbour."""
     before = _nearest(blocks, range(len(blocks)), by_region)
     after = _nearest(blocks, range(len(blocks) - 1, -1, -1), by_region)
-    default = "content" if by_region else "boilerplate"
-    near = [min((x for x in pair if x), key=lambda x: x[0], default=(0, default))[1] for pair in zip(before, after, strict=True)]
-    for block, label in zip(blocks, near, strict=True):
+    for block, near, ahead in zip(blocks, before, after, strict=True):
         if block.label == "open":
-            block.label = label
+            default = "boilerplate" if by_region and not block.region else "content"
+            pair = (ahead, near) if block.heading else (near, ahead)
+            block.label = min((x for x in pair if x), key=lambda x: x[0], default=(0, default))[1]
 
 
 def extract(page: str | None) -> str:
     """The main text of a whole page: content blocks, in order, joined by one space."""
     blocks = blocks_of(page or "")
     for by_region in [True, False] if any(b.region for b in blocks) else [False]:
-        for block in blocks:
-            block.label = _first_pass(block, by_region)
+        _first_pass(blocks, by_region)
         _second_pass(blocks, by_region)
         if text := " ".join(b.text for b in blocks if b.label == "content"):
             return text
@@ -237,11 +310,11 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
 
-    @F.pandas_udf("string")
-    def main_text(raw: pd.Series) -> pd.Series:
-        return raw.map(extract, na_action=None).astype(object) if len(raw) else raw
+    @F.arrow_udf("string")
+    def main_text(raw: pa.Array) -> pa.Array:
+        return pa.array([extract(page) for page in plain(raw)], pa.string())
 
-    read = pages.select("page_id", "url", main_text(F.coalesce("html", F.lit(""))).alias("text"))
+    read = pages.select("page_id", "url", main_text("html").alias("text"))
     return read.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,44 @@ def test_query_returns_whole_articles(spark, tiny):
         assert r.n_chars == len(r.text)
 
 
+def test_density_and_neighbours_decide_without_article_tags(spark, tiny):
+    pages = [r.html for r in table(spark, tiny.replace("sf0.001", "sf0.01"), "pages").collect()]
+    plain = [re.sub(r"<(/?)article\b", r"<\1div", page) for page in pages]
+    same = sum(html_extract.extract(a) == html_extract.extract(b) for a, b in zip(pages, plain, strict=True))
+    assert same >= 0.98 * len(pages)
+
+
+LINKS = "".join(f"<a href=/{k}>Section number {k} of the site</a> " for k in range(12))
+LISTED = "Lorem Dolor Amet Consectetur Adipiscing Elit Tempor Incididunt Labore Dolore Magna Aliqua Minim Veniam Nostrud Exercitation Ullamco Laboris Nisi"
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<div>{LINKS}</div><div><h1>Title</h1><p>{LONG}</p><p>Yes.</p></div><div>{LISTED}</div><div>Contact</div>", f"Title {LONG} Yes."),
+        (f"<div><p>{LONG}</p><p>{LISTED[:130]}</p><p>{LONG}</p></div>", f"{LONG} {LISTED[:130]} {LONG}"),
+        (f"<p>Intro</p><p>{LINKS}</p><p>After links</p><p>near</p><p>{LONG}</p>", f"near {LONG}"),
+        (f"<article><p>{LONG}</p></article><div>{LONG}</div><div>Share this</div>", LONG),
+        ("<article></article><div><p>Only this.</p></div>", "Only this."),
+        (f"<head><meta charset=utf-8><title>T</title><body><p>{LONG}</p></body>", LONG),
+        (f"<p>{LISTED}</p>", LISTED),
+    ],
+)
+def test_block_rules(page, expected):
+    assert html_extract.extract(page) == expected
+
+
+@pytest.mark.parametrize("page", ["<div " * 80_000, "<div " * 80_000 + ">", '<b ">" ' * 60_000, "<div>" * 40_000 + "</x>" * 40_000, "<a b='x\">" * 40_000, "<script>" * 50_000, "<!--" * 100_000, "</" * 200_000, '<x y="' * 60_000, "<a<" * 130_000 + ">"])
+def test_broken_markup_takes_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 2
+
+
+def test_quoted_ends_of_tags():
+    assert html_extract.extract('<p title="a > b" lang=\'x>y\'>One</p><p title="5>Two</p>') == "One Two"
+
+
 def test_extraction_of_odd_rows(spark):
     frame = spark.createDataFrame([(1, None, None), (1, "u", ""), (2, "u", "<p>" * 5000 + "x"), (None, "u", "<article>" + "<p>word</p>" * 20_000)], "page_id long, url string, html string")
     rows = html_extract.extract_pages(frame.withColumn("text", F.lit(1))).collect()
@@ -79,10 +118,45 @@ def test_audit_finds_exactly_the_damage(spark):
 def test_fixity_of_odd_rows(spark):
     frame = spark.createDataFrame([(1, None, None), (1, "u", "x"), (1, "u", "x"), (None, "u", "ü" * 1000), (-5, "v", "")], "page_id long, url string, html string").withColumn("record", F.lit(1))
     rows = warc_fixity.audit_pages(frame).collect()
-    assert len(rows) == 5 and {r.warc_file for r in rows} == {-1, 0}
+    assert len(rows) == 5 and sorted(r.record_no for r in rows) == list(range(5)) and {r.warc_file for r in rows} == {0}
+    assert [r.page_id for r in sorted(rows, key=lambda r: r.record_no)] == [None, -5, 1, 1, 1]
     assert warc_fixity.audit_pages(frame.limit(0)).count() == 0
 
 
+def test_pages_without_an_id_fill_files_like_others(spark, against_sql, tmp_path):
+    n = 2 * warc_fixity.RECORDS_PER_FILE + 10
+    pages = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("html"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/p")
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    against_sql(spark, warc_fixity.op1_warc_fixity, warc_fixity.ORACLE_SQL, str(tmp_path))
+
+
+def test_archives_are_audited_file_by_file(spark, tmp_path):
+    record = lambda k, body: f"WARC/1.1\r\nWARC-Target-URI: u{k}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    for side in ("ours", "theirs"):
+        (tmp_path / side).mkdir()
+        for name in "ab":
+            rows = [record(k, "rot!" if (side, name, k) == ("theirs", "b", 33) else "body") for k in range(40)]
+            (tmp_path / side / f"{name}.warc.gz").write_bytes(b"".join(map(gzip.compress, rows)))
+    trees = []
+    for side in ("ours", "theirs"):
+        leaves = warc_fixity.leaves_of(warc_fixity.read_warc(spark, str(tmp_path / side)))
+        trees.append(warc_fixity.merkle_tree(written(leaves.withColumn("file", F.element_at(F.split("file", "/"), -1)), "leaves")))
+    assert [(r.file, r.node, r.status) for r in warc_fixity.audit(*trees).collect()] == [("b.warc.gz", 33, "corrupt")]
+
+
+def test_large_files_are_read_in_pieces(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(warc_fixity, "MOST_RECORD", 1 << 20)
+    record = lambda k, n: f"WARC/1.1\r\nWARC-Target-URI: u{k}\r\nContent-Length: {n}\r\n\r\n".encode() + b"x" * n + b"\r\n\r\n"
+    raw = b"".join(record(k, n) for k, n in enumerate([10, 700_000, 3_000_000, 0, 900_000]))
+    (tmp_path / "a.warc").write_bytes(raw)
+    rows = list(warc_fixity._records(warc_fixity.PlainBytes(fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc")))))
+    assert b"".join(r[1] for r in rows) == raw and max(len(r[1]) for r in rows) < 3 << 20
+    assert [r[2] for r in rows if not r[3]] == ["u0", "u1", "u3", "u4"]
+
+
 def test_warc_files_are_read_back(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>ä</p>"), (2, "http://b", "")], "page_id long, url string, html string")
     raw = "".join(r.record for r in pages.select(warc_fixity.render(F.col("page_id"), F.col("url"), F.col("html")).alias("record")).collect()).encode()
