@@ -26,12 +26,12 @@ dropped.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm.storage import table, written
+from foliolake.llm.storage import plain, table, written
 
 BITS = 64
 SEED = 42
@@ -61,10 +61,10 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, ids: Column | None = None) -> DataFrame:
     """doc_id (or ``ids`` in its place) and fp, the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def signed(texts: pd.Series) -> pd.Series:
-        values = np.array([fingerprint(t, words_per_shingle) for t in texts], dtype=np.uint64)
-        return pd.Series(values.view(np.int64))
+    @F.arrow_udf("long")
+    def signed(texts: pa.Array) -> pa.Array:
+        values = np.fromiter((fingerprint(t, words_per_shingle) for t in plain(texts)), np.uint64, len(texts))
+        return pa.array(values.view(np.int64))
 
     ids = F.col("doc_id").cast("long") if ids is None else ids
     return docs.select(ids.alias("doc_id"), signed("text").alias("fp"))
@@ -149,8 +149,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, key: str) -> DataFrame:
-    """``key`` (unique) of every row of ``docs`` but the first of each component, by doc_id, nulls last, then key."""
-    order = F.struct(F.col("doc_id").isNull().alias("without_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"))
+    """``key`` (unique) of every row of ``docs`` but the first of each component.
+
+    The order is by doc_id, nulls last, then the text's digest, so that the same
+    text stays however the rows are dealt, then key.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("without_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col(key).alias("key"))
     found = components(written(fingerprints(docs, ids=order), "prints"))
     return found.filter(F.col("doc_id.key") != F.col("component_id.key")).select(F.col("doc_id.key").alias(key))
 

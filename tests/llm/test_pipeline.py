@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from foliolake.llm import bpe, secret_scan
 from foliolake.llm.storage import table, without_ids, written
@@ -38,7 +41,8 @@ def test_each_stage_against_brute_force(spark, tiny):
                 assert found or r.text == before[d].text or "[SECRET]" in r.text
                 assert r.n_chars == len(r.text)
         else:
-            _check_packing(out.collect(), {d: [*bpe.encoder().encode(r.text), 2] for d, r in before.items()})
+            library = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
+            _check_packing(out.collect(), {d: [*library.encode(r.text, add_special_tokens=False).ids, 2] for d, r in before.items()})
         docs = out
 
 
@@ -54,7 +58,20 @@ def test_odd_rows_pass_every_stage(spark, odd, empty, tiny):
             assert docs.columns == odd.columns
         assert none.count() == 0
     assert {r.doc_id for r in docs.collect()} >= {None, 1, 4, 5, 6, 2**60 + 1}
-    assert corpus_pipeline.quality(spark, odd, tiny).columns == odd.columns
+
+
+def test_odd_rows_pass_the_quality_stage(spark, odd, empty, tiny):
+    kept = corpus_pipeline.quality(spark, odd.withColumn("text", F.when(F.col("doc_id") == 6, F.concat(F.lit("these are "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.concat(F.lit("w"), k)), " "))).otherwise(F.col("text"))), tiny)
+    assert kept.columns == odd.columns and [r.doc_id for r in kept.collect()] == [6]
+    assert corpus_pipeline.quality(spark, empty, tiny).count() == 0
+
+
+def test_the_row_that_stays_does_not_depend_on_how_rows_are_dealt(spark, tiny):
+    words = [f"word{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join(words).title(), "\t".join(words)]  # one fingerprint
+    docs = spark.createDataFrame([(3, t) for t in texts], "doc_id long, text string")
+    left = {tuple(r.text for r in corpus_pipeline.near_duplicates(spark, docs.orderBy(F.rand(k)).repartition(k + 1), tiny).collect()) for k in range(3)}
+    assert len(left) == 1 and len(left.pop()) == 1
 
 
 def test_ids_beyond_the_bound_are_joined_by_a_shuffle(spark, odd):
