@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The line ends that split lines (CR LF first).
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 EMU_PER_PIXEL = 9525
+#: Words whose places are summed one by one; longer texts are summed by blocks of so many.
+_BLOCK = 128
+# The parts of a grapheme cluster. A character, CR LF or pair of regional indicators goes on with marks
+# and with zero-width joiners and what follows them.
+_UNIT = "(?:\\r\\n|[\\x{1F1E6}-\\x{1F1FF}]{2}|(?s:.))"
+GRAPHEME = f"{_UNIT}(?:\\p{{M}}|\\u200D+{_UNIT}?)*"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_starts(words: Column) -> Column:
+    """The places of words in the text that they make, joined by one character, as an array of longs.
+
+    A running sum inside the row: within blocks of words, then over the blocks.
+    """
+    zero = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("bigint").alias("at"))
+    grown = lambda acc, size: F.struct(F.array_append(acc["starts"], acc["at"]).alias("starts"), (acc["at"] + size).alias("at"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / _BLOCK).cast("int")), lambda n: F.slice(words, n * _BLOCK + 1, F.lit(_BLOCK)))
+    summed = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda acc, word: grown(acc, F.length(word).cast("bigint") + 1)))
+    bases = lambda s: F.aggregate(s, zero, lambda acc, block: grown(acc, block["at"]), lambda acc: acc["starts"])
+    shifted = lambda s: F.flatten(F.zip_with(s, bases(s), lambda block, base: F.transform(block["starts"], lambda at: at + base)))
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(let(summed, shifted))
+
+
+def graphemes(text: Column) -> Column:
+    """The grapheme clusters of a text."""
+    return F.regexp_extract_all(text, F.lit(GRAPHEME), 0)
 
 
 def sub(text: Column, start: Column, end: Column) -> Column:

@@ -1,45 +1,158 @@
-"""Text diffs and grapheme clusters: what no built-in function expresses."""
+"""Word diffs between two texts of a row, as hunks.
+
+Common starts and ends are cut off by column functions. What is left goes to a
+small function: it matches words that occur once on both sides, as far as they
+keep their order, and goes on in the gaps between, first with words, then with
+runs of words; gaps without such an anchor are compared in full where they are
+short, and are one replacement else. So its time is in proportion to the words
+times their logarithm, whatever the texts.
+"""
 
 from __future__ import annotations
 
-import difflib
+import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliolake.functions.text import let
+from foliolake.operators.ranges import containing
+
 HUNKS = "package_id long, idx long, hunk long, op string, start long, end long, new_start long, new_end long, old string, new string"
+#: Product of the sizes of a gap's sides up to which it is compared in full.
+FULL = 4096
+RUNS = (1, 2, 4)
+
+
+def _anchors(a: list[str], b: list[str], run: int) -> list[tuple[int, int]]:
+    """Places of runs of words that occur once in each side, the longest series that keeps its order in both."""
+    of = lambda words: [tuple(words[i : i + run]) for i in range(len(words) - run + 1)]
+    left, right = of(a), of(b)
+    once = {w for w, n in Counter(left).items() if n == 1} & {w for w, n in Counter(right).items() if n == 1}
+    place = {w: j for j, w in enumerate(right) if w in once}
+    pairs = [(i, place[w]) for i, w in enumerate(left) if w in once]
+    ends: list[int] = []  # smallest end of a series of each length
+    last: list[int] = []
+    before: list[int | None] = []
+    for n, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(ends, j)
+        before.append(last[at - 1] if at else None)
+        ends[at : at + 1], last[at : at + 1] = [j], [n]
+    out, n = [], last[-1] if last else None
+    while n is not None:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _full(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
 
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of equal words, rising on both sides."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        left, right = a[a0:a1], b[b0:b1]
+        found = next((f for run in RUNS if (f := _anchors(left, right, run))), None)
+        if found:
+            edges = [(-1, -1), *found, (len(left), len(right))]
+            out += [(a0 + i, b0 + j) for i, j in found]
+            todo += [(a0 + i + 1, a0 + k, b0 + j + 1, b0 + m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
+        elif len(left) * len(right) <= FULL:
+            out += [(a0 + i, b0 + j) for i, j in _full(left, right)]
+    return sorted(out)
 
-def graphemes(text: Column) -> Column:
-    """The grapheme clusters of each text."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        import regex
+def hunks(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(op, start, end, new_start, new_end) of each maximal change."""
+    i = j = 0
+    for k, m in [*matched(a, b), (len(a), len(b))]:
+        if k > i or m > j:
+            yield "insert" if k == i else "delete" if m == j else "replace", i, k, j, m
+        i, j = k + 1, m + 1
 
-        clusters = regex.compile(r"\X")
-        return texts.fillna("").map(clusters.findall)
 
-    return cut(text)
+def _trimmed(a: Column, b: Column) -> Column:
+    """head and the middles of two arrays without their common start and end."""
+
+    def common(x: Column, y: Column) -> Column:
+        same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+        return let(F.array_position(same, False), lambda first: F.when(first == 0, F.least(F.size(x), F.size(y))).otherwise(first - 1))
+
+    left = lambda x, head: F.slice(x, head + 1, F.size(x))
+    whole = lambda x, y, head: let(common(F.reverse(x), F.reverse(y)), lambda tail: F.struct(head.alias("head"), F.slice(x, 1, F.size(x) - tail).alias("a"), F.slice(y, 1, F.size(y) - tail).alias("b")))
+    return let(common(a, b), lambda head: let(left(a, head), lambda x: let(left(b, head), lambda y: whole(x, y, head))))
 
 
 def word_hunks(views: DataFrame, before: str, after: str) -> DataFrame:
-    """Hunks that turn one text of a row into the other, over words, by longest matching blocks."""
+    """Hunks that turn one text of a row into the other, over words."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                a, b = row.before.split(" "), row.after.split(" ")
-                codes = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-                changes = [c for c in codes if c[0] != "equal"]
-                out += [(row.package_id, row.idx, n, op, i, j, k, m, " ".join(a[i:j]), " ".join(b[k:m])) for n, (op, i, j, k, m) in enumerate(changes)]
+                a, b = list(row.a), list(row.b)
+                out += [(row.package_id, row.idx, n, op, row.head + i, row.head + j, row.head + k, row.head + m, " ".join(a[i:j]), " ".join(b[k:m])) for n, (op, i, j, k, m) in enumerate(hunks(a, b))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in HUNKS.split(", ")], dtype=object)
 
-    rows = views.filter(F.col(before) != F.col(after)).select("package_id", "idx", F.col(before).alias("before"), F.col(after).alias("after"))
-    return rows.mapInPandas(compare, HUNKS)
+    differing = views.filter(F.col(before) != F.col(after))
+    trimmed = let(F.split(before, " "), lambda a: let(F.split(after, " "), lambda b: _trimmed(a, b)))
+    return differing.select("package_id", "idx", trimmed.alias("t")).select("package_id", "idx", "t.head", "t.a", "t.b").mapInPandas(compare, HUNKS)
+
+
+def hunk_records(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Hunks with their ranges in characters and the styles of the words that they replace.
+
+    ``words`` are those of the text before: package_id, idx, place (from 0), text,
+    style_id. A hunk beside no word (an insertion) has no styles.
+    """
+    spans = found.select("package_id", "idx", "hunk", "start", "end")
+    styles = containing(words.select("package_id", "idx", "place", "style_id"), spans, ["package_id", "idx"], "place", "start", "end", bucket=64)
+    sets = styles.groupBy("package_id", "idx", "hunk").agg(F.sort_array(F.collect_set("style_id")).alias("source_styles"))
+    return found.join(sets, ["package_id", "idx", "hunk"], "left").withColumn("source_styles", F.coalesce("source_styles", F.array().cast("array<string>")))
+
+
+def rebuilt(views: DataFrame, found: DataFrame, before: str) -> DataFrame:
+    """package_id, idx, rebuilt (what hunks make of the text before), grown (words more than before) of rows with hunks."""
+    step = F.struct("start", "end", "new_start", "new_end", "new")
+    listed = found.groupBy("package_id", "idx").agg(F.sort_array(F.collect_list(step)).alias("hunks"), F.sum(F.col("new_end") - F.col("new_start") - F.col("end") + F.col("start")).alias("grown"))
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    words = F.split(before, " ")
+    none = F.array().cast("array<string>")
+    new = lambda h: F.when(h["new_end"] > h["new_start"], F.split(h["new"], " ")).otherwise(none)
+    kept = lambda a, z: F.slice(F.col("words"), (a + 1).cast("int"), (z - a).cast("int"))
+    fold = F.aggregate("hunks", zero, lambda acc, h: F.struct(F.concat(acc["out"], kept(acc["at"], h["start"]), new(h)).alias("out"), h["end"].alias("at")), lambda acc: F.concat(acc["out"], kept(acc["at"], F.size("words"))))
+    rows = views.withColumn("words", words).join(listed, ["package_id", "idx"])
+    return rows.select("package_id", "idx", F.array_join(fold, " ").alias("rebuilt"), "grown")
 
 
 def apply_hunks(text: str, hunks: list[tuple[int, int, str]]) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolake.functions.text import occurrences, replace_at
+from foliolake.functions.keys import fingerprint12
+from foliolake.functions.text import let, occurrences, replace_at
 
 PK = ["package_id", "idx"]
 
@@ -25,21 +26,44 @@ def batch_edit(text: Column, edits: list[tuple[str, str]]) -> Column:
     return F.aggregate(pairs, text, lambda t, e: F.replace(t, e["old"], e["new"]))
 
 
+def survives(accept: bool, chosen: Column | None = None) -> Column:
+    """Whether a segment is left after its revision is settled (all are, or where ``chosen``)."""
+    gone = F.col("kind").isin(*(("delete", "move_from") if accept else ("insert", "move_to")))
+    settled = F.col("kind").isNotNull() if chosen is None else F.coalesce(chosen, F.lit(False))
+    return ~F.coalesce(gone & settled, F.lit(False))
+
+
 def settle(segments: DataFrame, accept: bool, chosen: Column | None = None) -> DataFrame:
     """Settles revisions (all, or where ``chosen``): what the decision removes goes, the rest becomes plain text."""
-    gone = F.col("kind").isin(*(("delete", "move_from") if accept else ("insert", "move_to")))
     settled = F.col("kind").isNotNull() if chosen is None else F.coalesce(chosen, F.lit(False))
-    kept = segments.filter(~F.coalesce(gone & settled, F.lit(False)))
+    kept = segments.filter(survives(accept, chosen))
     clear = lambda c: F.when(~F.coalesce(settled, F.lit(False)), F.col(c)).alias(c)
     return kept.select(*[clear(c) if c in ("kind", "revision", "w_id") else c for c in segments.columns])
 
 
-def track_replacements(leaves: DataFrame, chosen: Column, new: Column) -> DataFrame:
-    """A replacement as a deletion and, after it, an insertion; texts are recorded up to 120 characters."""
+def track_replacements(leaves: DataFrame, chosen: Column, new: Column, recorded: int = 120) -> DataFrame:
+    """A replacement as a deletion and, after it, an insertion; texts are recorded up to so many characters."""
     parts = F.array(F.struct(F.lit(0).alias("step"), F.lit("delete").alias("op"), F.col("text").alias("t")), F.struct(F.lit(1).alias("step"), F.lit("insert").alias("op"), new.alias("t")))
     rows = leaves.filter(chosen).select(*PK, "k", F.explode(parts).alias("p"))
     order = Window.partitionBy("package_id").orderBy("idx", "k", "step")
-    return rows.select(*PK, "k", "p.step", "p.op", F.left("p.t", F.lit(120)).alias("text")).withColumn("w_id", (F.row_number().over(order) - 1).cast("long"))
+    return rows.select(*PK, "k", "p.step", "p.op", F.left("p.t", F.lit(recorded)).alias("text")).withColumn("w_id", (F.row_number().over(order) - 1).cast("long"))
+
+
+def commit(base: DataFrame, drafts: DataFrame) -> DataFrame:
+    """The next version of paragraphs (package_id, idx, text): drafts (package_id, idx, draft, base_fingerprint) take effect.
+
+    A draft made of a text that has changed since is refused; its paragraph stays
+    as it is, and ``code`` says so.
+    """
+    both = base.select(*PK, "text").join(drafts.select(*PK, "draft", "base_fingerprint"), PK, "left")
+    stale = F.col("base_fingerprint") != fingerprint12(F.col("text"))
+    code = F.when(F.col("draft").isNotNull(), F.when(stale, "stale-draft").otherwise("committed"))
+    return both.select(*PK, F.when(code == "committed", F.col("draft")).otherwise(F.col("text")).alias("text"), code.alias("code"))
+
+
+def revert(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Paragraphs as they were in ``base``, whatever was done to them since; new ones go, deleted ones come back."""
+    return base.select(*PK, "text").join(rows.select(*PK, F.col("text").alias("edited")), PK, "left").select(*PK, "text", (~F.col("edited").eqNullSafe(F.col("text"))).alias("reverted"))
 
 
 def renumber(rows: DataFrame, partition: list[str], order: list, name: str) -> DataFrame:
@@ -55,14 +79,21 @@ def insert_and_delete_paragraphs(paragraphs: DataFrame, insert_after: Column, te
 
 
 def trim_diff(before: Column, after: Column) -> Column:
-    """start, old, new: what is left of two texts without their common start and end."""
+    """start, old, new: what is left of two texts without their common start and end. Equal texts are not looked into."""
 
     def common(a: Column, b: Column) -> Column:
-        same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.when(a == b, F.length(a)).otherwise(F.array_position(same, False) - 1)
-
-    head = common(before, after)
-    rest = lambda t: F.substring(t, head + 1, F.length(t))
-    tail = common(F.reverse(rest(before)), F.reverse(rest(after)))
-    middle = lambda t: F.substring(t, head + 1, F.length(t) - head - tail)
-    return F.struct(head.cast("long").alias("start"), middle(before).alias("old"), middle(after).alias("new"))
+        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return let(F.array_position(same, False), lambda first: F.when(first == 0, F.size(same)).otherwise(first - 1))
+
+    def rest(a: Column, b: Column, head: Column) -> Column:
+        left = lambda x: F.reverse(F.slice(x, head + 1, F.size(x)))
+        return let(common(left(a), left(b)), lambda tail: parts(a, b, head, tail))
+
+    def parts(a: Column, b: Column, head: Column, tail: Column) -> Column:
+        middle = lambda t, x: F.substring(t, head + 1, F.size(x) - head - tail)
+        return F.struct(head.cast("long").alias("start"), middle(before, a).alias("old"), middle(after, b).alias("new"))
+
+    chars = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
+    same = F.struct(F.length(before).cast("long").alias("start"), F.lit("").alias("old"), F.lit("").alias("new"))
+    differing = let(chars(before), lambda a: let(chars(after), lambda b: let(common(a, b), lambda head: rest(a, b, head))))
+    return F.when(before == after, same).otherwise(differing)

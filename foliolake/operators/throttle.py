@@ -1,7 +1,8 @@
-"""Token-bucket throttling of each client's requests."""
+"""Token-bucket throttling of each client's requests, with a bounded number of buckets for each listener."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 CAPACITY, PER_SECOND = 5.0, 1 / 600
+MOST_CLIENTS = 1024
 ALLOWED = "event_id long, client_id long, allowed boolean, tokens double"
 
 
@@ -18,23 +20,27 @@ def step(tokens: float, last: float | None, now: float, capacity: float = CAPACI
     return (True, tokens - 1) if tokens >= 1 else (False, tokens)
 
 
-def throttled(requests: DataFrame) -> DataFrame:
-    """allowed and tokens left for each request (event_id, client_id, seconds).
+def throttled(requests: DataFrame, most_clients: int = MOST_CLIENTS) -> DataFrame:
+    """allowed and tokens left for each request (event_id, client_id, listener, seconds).
 
-    A task reads its clients one after the other, in time order, and holds one
-    bucket at a time, however many requests a client made.
+    A task reads its listeners one after the other, in time order. A listener
+    keeps the buckets of its ``most_clients`` latest clients; one that it has
+    forgotten begins with a full bucket.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, tokens, last = None, 0.0, None
+        listener, buckets = None, OrderedDict()
         for batch in batches:
             allowed, left = np.zeros(len(batch), bool), np.zeros(len(batch))
-            for k, (who, now) in enumerate(zip(batch["client_id"], batch["seconds"], strict=True)):
-                if who != client:
-                    client, last = who, None
-                allowed[k], tokens = step(tokens, last, now)
-                left[k], last = tokens, now
+            for k, (where, who, now) in enumerate(zip(batch["listener"], batch["client_id"], batch["seconds"], strict=True)):
+                if where != listener:
+                    listener, buckets = where, OrderedDict()
+                tokens, last = buckets.pop(who, (0.0, None))
+                allowed[k], left[k] = step(tokens, last, now)
+                buckets[who] = left[k], now
+                if len(buckets) > most_clients:
+                    buckets.popitem(last=False)
             yield batch[["event_id", "client_id"]].assign(allowed=allowed, tokens=left)
 
-    dealt = requests.select("event_id", "client_id", "seconds").repartition("client_id")
-    return dealt.sortWithinPartitions("client_id", "seconds", "event_id").mapInPandas(run, ALLOWED)
+    dealt = requests.select("event_id", "client_id", "listener", "seconds").repartition("listener")
+    return dealt.sortWithinPartitions("listener", "seconds", "event_id").mapInPandas(run, ALLOWED)

@@ -96,12 +96,6 @@ def d11(spark, d):
     return again.select(*PK, "k", F.lit("new-insert-after-deletion").alias("operation"), "text", (F.col("top") + number).alias("w_id"))
 
 
-@query("d12_comments_deleted", "SELECT id, count(*) AS anchors FROM comment_anchor WHERE id NOT IN (SELECT id FROM comment_def WHERE author = 'system') GROUP BY id")
-def d12(spark, d):
-    gone = b.comment_definitions(spark, d).filter("author = 'system'").select("id")
-    return b.comment_anchors(spark, d).join(gone, "id", "left_anti").groupBy("id").agg(F.count("*").alias("anchors"))
-
-
 @query("d13_insert_row", """SELECT table_index, row_number() OVER (PARTITION BY table_index ORDER BY row_index, sub) - 1 AS new_row, cells FROM (SELECT table_index, row_index, 0 AS sub, cells FROM cell_row
 UNION ALL SELECT table_index, row_index, 1, ['', '', '', ''] FROM cell_row WHERE row_index = 0)""")
 def d13_insert_row(spark, d):
@@ -160,6 +154,23 @@ def d16(spark, d):
     return rows.select(*PK, F.left("text", F.lit(60)).alias("before"), F.left("draft", F.lit(60)).alias("after"))
 
 
+@query("d16_committed_drafts", """SELECT package_id, idx, CASE WHEN drafted AND NOT stale THEN concat('* ', text) ELSE text END AS text, CASE WHEN drafted THEN CASE WHEN stale THEN 'stale-draft' ELSE 'committed' END END AS code
+FROM (SELECT *, idx % 3 = 1 AS drafted, left(sha256(CASE WHEN package_id % 4 = 0 THEN concat(text, '~') ELSE text END), 12) <> left(sha256(text), 12) AS stale FROM paragraph)""")
+def d16_commit(spark, d):
+    """Drafts take effect unless the text that they were made of has changed since."""
+    rows = b.paragraphs(spark, d)
+    base = keys.fingerprint12(F.when(F.col("package_id") % 4 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text")))
+    drafts = rows.filter("idx % 3 = 1").select(*PK, F.concat(F.lit("* "), "text").alias("draft"), base.alias("base_fingerprint"))
+    return op.commit(rows, drafts)
+
+
+@query("d16_reverted_drafts", "SELECT package_id, idx, text, idx % 3 = 1 AS reverted FROM paragraph")
+def d16_revert(spark, d):
+    rows = b.paragraphs(spark, d)
+    drafted = rows.withColumn("text", F.when(F.col("idx") % 3 == 1, F.concat(F.lit("* "), "text")).otherwise(F.col("text")))
+    return op.revert(drafted, rows)
+
+
 @query("d17_settlement", """SELECT r.package_id, count(*) AS revisions, bool_and(code IS NULL) AS settled, min(code) AS first_code, count(*) FILTER (operation = 'unwrap') AS unwrapped, count(*) FILTER (operation = 'remove') AS removed FROM (SELECT v.package_id,
 CASE WHEN d.decision = 'defer' THEN 'deferred' WHEN k % 97 = 0 THEN 'fingerprint-mismatch' END AS code, CASE WHEN (d.decision = 'approved') = (kind IN ('insert', 'move_to')) THEN 'unwrap' ELSE 'remove' END AS operation
 FROM revision_row v JOIN decision d USING (package_id)) r GROUP BY r.package_id""")

@@ -18,25 +18,25 @@ arg_max(style_id, weight * 1000000000 - first_at) AS base_style, sha256(string_a
 def package_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per package: paragraphs, leaves, editable characters, the style with most characters, digest of the canonical text.
 
-    Leaves are dealt by package once; both groupings, by style and then by
-    package, are done where the rows then are.
+    Leaves are counted by style where they are; a package has a row for each style
+    when it is dealt. The canonical text is the text with its lines joined by
+    spaces, so its digest needs no leaves.
     """
-    rows = b.segments(spark, sf_dir).repartition("package_id")
+    leaves = b.segments(spark, sf_dir)
     editable = F.col("in_final") & ~F.col("text").rlike("[0-9]")
-    styles = rows.groupBy("package_id", "style_id").agg(
+    styles = leaves.groupBy("package_id", "style_id").agg(
         F.max("idx").alias("last"),
         F.count("*").alias("leaves"),
         F.sum(F.when(editable, F.length("text")).otherwise(0)).alias("editable_chars"),
         F.sum(F.length("text")).alias("weight"),
         F.min(F.struct("idx", "k")).alias("first"),
-        F.collect_list(F.struct("idx", "k", "text")).alias("words"),
     )
-    ordered = F.sort_array(F.flatten(F.collect_list("words")))
     rank = F.struct("weight", -F.col("first.idx"), -F.col("first.k"))
-    return styles.groupBy("package_id").agg(
+    counted = styles.groupBy("package_id").agg(
         (F.max("last") + 1).cast("long").alias("paragraphs"),
         F.sum("leaves").alias("leaves"),
         F.sum("editable_chars").alias("editable_chars"),
         F.max_by("style_id", rank).alias("base_style"),
-        keys.sha(F.array_join(F.transform(ordered, lambda r: r["text"]), " ")).alias("text_sha256"),
     )
+    digests = b.packages(spark, sf_dir).select("package_id", keys.sha(F.translate("text", "\n", " ")).alias("text_sha256"))
+    return counted.join(digests, "package_id")

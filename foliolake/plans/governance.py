@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import keys
-from foliolake.operators import audit, compare, inventory, review
+from foliolake.operators import audit, compare, edits, inventory, ranking, review, tables
 from foliolake.plans.joins import OUTPUT, output_manifest
 from foliolake.plans.registry import query
 from foliolake.sources import bindings as b
@@ -90,26 +90,6 @@ def f7(spark, d):
     return b.review_events(spark, d).select("event_id", review.validation_error().alias("error"))
 
 
-_LIMITS = {"package-chars": ("chars", 4000), "paragraphs": ("paragraphs", 15), "longest-text": ("longest", 600), "duplicates": ("duplicates", 0)}
-
-
-@query("f10_resource_limits", """WITH s AS (SELECT package_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS paragraphs, CAST(max(length(text)) AS BIGINT) AS longest, count(*) - count(DISTINCT text) AS duplicates FROM paragraph GROUP BY ALL)
-SELECT package_id, dimension, actual, CAST(most AS BIGINT) AS most FROM (SELECT package_id, unnest(['package-chars', 'paragraphs', 'longest-text', 'duplicates']) AS dimension, unnest([chars, paragraphs, longest, duplicates]) AS actual, unnest([4000, 15, 600, 0]) AS most FROM s) WHERE actual > most""")
-def f10(spark, d):
-    n = F.length("text")
-    stats = b.paragraphs(spark, d).groupBy("package_id").agg(F.sum(n).alias("chars"), F.count("*").alias("paragraphs"), F.max(n).cast("long").alias("longest"), (F.count("*") - F.count_distinct("text")).alias("duplicates"))
-    checks = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(c).alias("actual"), F.lit(most).alias("most")) for name, (c, most) in _LIMITS.items()]))
-    return stats.select("package_id", checks.alias("c")).select("package_id", "c.*").filter("actual > most")
-
-
-@query("v16_profile_checks", """WITH s AS (SELECT package_id, max(length(text)) AS longest FROM paragraph GROUP BY ALL), c AS (SELECT package_id, unnest(['S', 'L', 'X']) AS profile, unnest([200, 600, 2000]) AS most, longest FROM s)
-SELECT profile, count(*) AS packages, count(*) FILTER (longest <= most) AS passed FROM c GROUP BY profile""")
-def v16(spark, d):
-    longest = b.paragraphs(spark, d).groupBy("package_id").agg(F.max(F.length("text")).alias("longest"))
-    profiles = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(m).alias("most")) for p, m in (("S", 200), ("L", 600), ("X", 2000))]))
-    return longest.select("longest", profiles.alias("p")).groupBy("p.profile").agg(F.count("*").alias("packages"), F.count_if(F.col("longest") <= F.col("p.most")).alias("passed"))
-
-
 @query("f13_contract_ranges", """SELECT p_partkey AS engine, CAST(low AS BIGINT) AS low, high, low <= 30 AND high >= 10 AS compatible, CAST(greatest(low, 10) AS BIGINT) AS from_version, least(high, 30) AS to_version FROM (SELECT p_partkey, p_size AS low, p_size + p_partkey % 7 AS high FROM part)""")
 def f13(spark, d):
     rows = b.read(spark, d, "part").select(F.col("p_partkey").alias("engine"), F.col("p_size").alias("low"), (F.col("p_size") + F.col("p_partkey") % 7).alias("high"))
@@ -146,10 +126,17 @@ def a14(spark, d):
     return b.generations(spark, d).groupBy("workdir").agg(F.bool_and(F.col("status") == "F").alias("passed"), F.count_if(F.col("status") == "P").alias("not_run"))
 
 
-@query("a15_check_summary", "SELECT workdir, count(*) FILTER (status = 'F') AS passed, count(*) FILTER (status <> 'F') AS failed, coalesce(list(generation ORDER BY generation) FILTER (status <> 'F'), []) AS failures FROM generation_row GROUP BY workdir")
+@query("a15_check_summary", "SELECT workdir, count(*) FILTER (status = 'F') AS passed, count(*) FILTER (status <> 'F') AS failed, min(generation) FILTER (status <> 'F') AS first_failure, max(generation) FILTER (status <> 'F') AS last_failure FROM generation_row GROUP BY workdir")
 def a15(spark, d):
     bad = F.col("status") != "F"
-    return b.generations(spark, d).groupBy("workdir").agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.sort_array(F.collect_list(F.when(bad, F.col("generation")))).alias("failures"))
+    failure = F.when(bad, F.col("generation"))
+    return b.generations(spark, d).groupBy("workdir").agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.min(failure).alias("first_failure"), F.max(failure).alias("last_failure"))
+
+
+@query("a15_failures", "SELECT workdir, generation, status FROM generation_row WHERE status <> 'F'")
+def a15_failures(spark, d):
+    """The failure list itself: a row for each, as a group may have any number."""
+    return b.generations(spark, d).filter("status <> 'F'").select("workdir", "generation", "status")
 
 
 @query("a16_state_counts", "SELECT type, status, count(*) AS n FROM review_event GROUP BY ALL")
@@ -157,15 +144,17 @@ def a16(spark, d):
     return b.review_events(spark, d).groupBy("type", "status").agg(F.count("*").alias("n"))
 
 
-@query("a22_semantic_root", "SELECT workdir, sha256(string_agg(concat(generation, ':', status), ',' ORDER BY concat(generation, ':', status))) AS root FROM generation_row GROUP BY workdir")
+@query("a22_semantic_root", """SELECT workdir, sha256(concat(count(*), ':', sum(CAST(concat('0x', left(sha256(concat(generation, ':', status)), 15)) AS HUGEINT)))) AS root FROM generation_row GROUP BY workdir""")
 def a22(spark, d):
-    row = F.concat_ws(":", F.col("generation").cast("string"), "status")
-    return b.generations(spark, d).groupBy("workdir").agg(keys.sha(F.array_join(F.sort_array(F.collect_list(row)), ",")).alias("root"))
+    """One digest over a folder's checks, whatever their order and number: digests of checks are summed."""
+    return b.generations(spark, d).groupBy("workdir").agg(keys.digest_of_any_order(F.col("generation").cast("string"), F.col("status")).alias("root"))
 
 
-@query("a27_median_p95", "SELECT type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, count(*) AS runs FROM review_event GROUP BY type")
+@query("a27_median_p95", "SELECT type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, count(value) AS runs FROM review_event GROUP BY type")
 def a27(spark, d):
-    return b.review_events(spark, d).groupBy("type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("median"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.count("*").alias("runs"))
+    rows = b.review_events(spark, d).select("type", "value")
+    runs = rows.groupBy("type").agg(F.count("value").alias("runs"))
+    return ranking.percentiles(rows, "type", "value", {"median": 0.5, "p95": 0.95}).join(runs, "type")
 
 
 @query("w8_latest_draft", """SELECT client_id, paragraph_id, event_id, created_at AS updated_at, first_created_at FROM (SELECT *, min(created_at) OVER p AS first_created_at, row_number() OVER (PARTITION BY client_id, paragraph_id ORDER BY created_at DESC, event_id DESC) AS r
@@ -226,9 +215,11 @@ def o1(spark, d):
     return b.review_events(spark, d).select("client_id", "event_id", F.row_number().over(Window.partitionBy("client_id").orderBy("created_at", "event_id")).alias("place"))
 
 
-@query("o3_comments_by_string_id", "SELECT author, list(id ORDER BY id) AS ids FROM comment_def GROUP BY author")
+@query("o3_comments_by_string_id", "SELECT author, id, row_number() OVER (PARTITION BY author ORDER BY id) - 1 AS place FROM comment_def")
 def o3(spark, d):
-    return b.comment_definitions(spark, d).groupBy("author").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """Each author's comments in the order of their ids as strings; an author may have any number."""
+    found = ranking.ranked_within(b.comment_definitions(spark, d).select("author", "id"), "author", ["id"])
+    return found.select("author", "id", F.col("rank").alias("place"))
 
 
 _REASON = "CASE WHEN chars = 0 THEN 'empty' WHEN paragraphs > 20 THEN 'too-many-paragraphs' WHEN duplicates > 0 THEN 'duplicate-paragraphs' END"
@@ -244,18 +235,6 @@ def o5(spark, d):
     return stats.select("package_id", first.alias("reason"), first.isNull().alias("ready"))
 
 
-@query("v4_readiness", f"WITH {_STATS} SELECT coalesce({_REASON}, 'ready') AS state, count(*) AS packages FROM st GROUP BY 1")
-def v4(spark, d):
-    return o5(spark, d).groupBy(F.coalesce("reason", F.lit("ready")).alias("state")).agg(F.count("*").alias("packages"))
-
-
-@query("v5_package_violations", f"""WITH {_STATS} SELECT package_id, rule FROM (SELECT package_id, unnest([CASE WHEN chars = 0 THEN 'empty' END, CASE WHEN paragraphs > 20 THEN 'too-many-paragraphs' END, CASE WHEN duplicates > 0 THEN 'duplicate-paragraphs' END]) AS rule FROM st) WHERE rule IS NOT NULL""")
-def v5(spark, d):
-    stats = b.paragraphs(spark, d).groupBy("package_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("paragraphs"), (F.count("*") - F.count_distinct("text")).alias("duplicates"))
-    rules = F.array(F.when(F.col("chars") == 0, "empty"), F.when(F.col("paragraphs") > 20, "too-many-paragraphs"), F.when(F.col("duplicates") > 0, "duplicate-paragraphs"))
-    return stats.select("package_id", F.explode(F.array_compact(rules)).alias("rule"))
-
-
 @query("o6_sorted_diagnostics", """SELECT source, list(DISTINCT concat(lang, ':', CASE WHEN length(text) > 3000 THEN 'long' ELSE 'short' END) ORDER BY concat(lang, ':', CASE WHEN length(text) > 3000 THEN 'long' ELSE 'short' END)) AS diagnostics FROM package GROUP BY source""")
 def o6(spark, d):
     code = F.concat_ws(":", "lang", F.when(F.length("text") > 3000, "long").otherwise("short"))
@@ -308,7 +287,7 @@ def x18(spark, d):
     return rows.select("package_id", "track", "pending", mode.alias("mode"))
 
 
-@query("x19_edit_state", """SELECT package_id, CASE WHEN a AND c THEN 'clean' WHEN a THEN 'dirty' WHEN c THEN 'stale-clean' ELSE 'conflict' END AS state FROM (SELECT package_id, package_id % 3 <> 0 AS a, package_id % 5 <> 0 AS c FROM package)""")
+@query("x19_edit_state", """SELECT package_id, CASE WHEN a AND c THEN 'clean' WHEN a THEN 'dirty' WHEN c THEN 'stale-clean' ELSE 'conflict' END AS state FROM (SELECT package_id, sha256(text) = sha256(CASE WHEN package_id % 3 = 0 THEN concat(text, '+') ELSE text END) AS a, sha256(text) = sha256(CASE WHEN package_id % 5 = 0 THEN concat(text, '-') ELSE text END) AS c FROM package)""")
 def x19(spark, d):
     text = F.col("text")
     rows = b.packages(spark, d).select(
@@ -362,7 +341,7 @@ def v1(spark, d):
     return both.select("package_id", there.alias("openable"), (there & F.col("old").isNotNull()).alias("parts_match"), F.coalesce(F.col("old") == F.col("source_sha256"), F.lit(False)).alias("identical"))
 
 
-@query("v2_verify_edited", """SELECT package_id, idx, edited <> text AS changed, length(edited) = length(text) AS same_length, true AS exact FROM (SELECT *, CASE WHEN (length(text) - length(replace(text, 'er', ''))) // 2 = 1 THEN replace(text, 'er', '<>') ELSE text END AS edited FROM paragraph)""")
+@query("v2_verify_edited", """SELECT package_id, idx, edited <> text AS changed, length(edited) = length(text) AS same_length, edited = CASE WHEN len(string_split(text, 'er')) = 2 THEN array_to_string(string_split(text, 'er'), '<>') ELSE text END AS exact FROM (SELECT *, CASE WHEN (length(text) - length(replace(text, 'er', ''))) // 2 = 1 THEN replace(text, 'er', '<>') ELSE text END AS edited FROM paragraph)""")
 def v2(spark, d):
     # the edit is computed anew by cutting at the literal, and not by the operator it checks
     from foliolake.operators.edits import island_edit
@@ -387,29 +366,49 @@ def v9(spark, d):
     return b.packages(spark, d).select("package_id", text.contains("Licensed").alias("text_visible_contains"), (~text.contains("AKIA")).alias("text_absent"), occurrences(text, "the").cast("long").alias("text_count"), F.size(F.split(text, "\n")).cast("long").alias("paragraph_count"))
 
 
-@query("v10_metamorphic", """SELECT package_id, count(*) AS paragraphs, true AS accept_is_final, true AS reject_is_original FROM (SELECT DISTINCT package_id, idx FROM segment) GROUP BY package_id""")
-def v10(spark, d):
-    from foliolake.operators.edits import settle
-
-    rows = b.segments(spark, d)
-    views = inventory.views(rows)
-    text = lambda name, accept: settle(rows, accept).groupBy(*PK).agg(inventory.ordered_text().alias(name))
-    both = views.join(text("accepted", True), PK, "left").join(text("rejected", False), PK, "left")
-    same = lambda a, c: F.bool_and(F.coalesce(a, F.lit("")) == F.col(c))
-    return both.groupBy("package_id").agg(F.count("*").alias("paragraphs"), same("accepted", "final").alias("accept_is_final"), same("rejected", "original").alias("reject_is_original"))
-
-
-@query("v12_interop_gate", """SELECT o_orderpriority AS consumer, count(*) AS cells, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'P') AS not_run, bool_and(o_orderstatus = 'F') AS gate FROM orders GROUP BY 1""")
-def v12(spark, d):
-    ok = F.col("o_orderstatus") == "F"
-    return b.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("consumer")).agg(F.count("*").alias("cells"), F.count_if(ok).alias("passed"), F.count_if(F.col("o_orderstatus") == "P").alias("not_run"), F.bool_and(ok).alias("gate"))
+_M_TEXT = "coalesce(string_agg(text, ' ' ORDER BY k) FILTER ({0}), '')"
+_M10 = f"""WITH t AS (SELECT package_id, idx, {_M_TEXT.format("in_final")} AS final, {_M_TEXT.format("in_original")} AS original, {_M_TEXT.format("kind IS NULL OR kind IN ('insert', 'move_to')")} AS accepted, {_M_TEXT.format("kind IS NULL OR kind IN ('delete', 'move_from')")} AS rejected,
+string_agg(CASE WHEN k % 13 = 6 THEN concat('<', text, '>') ELSE text END, ' ' ORDER BY k) AS direct, string_agg(text, ' ' ORDER BY k) AS whole FROM segment GROUP BY ALL),
+b AS (SELECT package_id, idx, text, replace(replace(replace(text, 'the', 'THE'), 'er', 're'), 'THE', 'The') AS batch FROM paragraph)
+SELECT 'm3-track-accept-eq-direct' AS relation, count(*) AS cases, count(*) FILTER (length(direct) >= length(whole)) AS holds FROM t UNION ALL SELECT 'm4-item-accept-eq-all', count(*), count(*) FILTER (accepted = final) FROM t
+UNION ALL SELECT 'm5-item-reject-eq-all', count(*), count(*) FILTER (rejected = original) FROM t UNION ALL SELECT 'm6-batch-eq-sequential', count(*), count(*) FILTER (batch = replace(replace(replace(text, 'the', 'THE'), 'er', 're'), 'THE', 'The')) FROM b
+UNION ALL SELECT 'm7-insert-delete-row-eq-original', count(*), count(*) FROM cell_row"""
 
 
-@query("v13_verdict", """SELECT workdir, CASE WHEN bool_and(status IN ('F', 'O')) THEN 'pass' ELSE 'fail' END AS verdict, array_to_string(list(CAST(generation AS VARCHAR) ORDER BY generation) FILTER (status = 'P')[1:3], ',') AS first_failures FROM generation_row GROUP BY workdir""")
-def v13(spark, d):
-    bad = F.sort_array(F.collect_list(F.when(F.col("status") == "P", F.col("generation"))))
-    names = F.array_join(F.transform(F.slice(bad, 1, 3), lambda g: g.cast("string")), ",")
-    return b.generations(spark, d).groupBy("workdir").agg(F.when(F.bool_and(F.col("status").isin("F", "O")), "pass").otherwise("fail").alias("verdict"), F.when(names != "", names).alias("first_failures"))
+@query("v10_metamorphic", _M10)
+def v10(spark, d):
+    """Relations between two ways to one result, over all rows: cases, and those in which it holds."""
+    rows = b.segments(spark, d)
+    decided = rows.filter("revision is not null").select("package_id", "revision").distinct().withColumn("chosen", F.lit(True))
+    marked = rows.join(decided, ["package_id", "revision"], "left")
+    # one grouping has the texts of every way: each revision settled by its key, all at once, and the views
+    text = inventory.ordered_text_if
+    chosen = F.coalesce("chosen", F.lit(False))
+    settled = marked.groupBy(*PK).agg(
+        text(edits.survives(True, chosen)).alias("items_accepted"), text(edits.survives(True)).alias("accepted"), text(F.col("in_final")).alias("final"),
+        text(edits.survives(False, chosen)).alias("items_rejected"), text(edits.survives(False)).alias("rejected"), text(F.col("in_original")).alias("original"),
+    )
+    replaced, new = F.col("k") % 13 == 6, F.concat(F.lit("<"), "text", F.lit(">"))
+    leaves = b.leaves(spark, d).select(*PK, "k", "text")
+    tracked = edits.track_replacements(leaves, replaced, new, recorded=1 << 30).filter("op = 'insert'").select(*PK, "k", "text").unionByName(leaves.filter(~replaced))
+    direct = leaves.withColumn("text", F.when(replaced, new).otherwise(F.col("text")))
+    both = tracked.withColumn("way", F.lit(0)).unionByName(direct.withColumn("way", F.lit(1))).groupBy(*PK)
+    ways = both.agg(text(F.col("way") == 0).alias("tracked"), text(F.col("way") == 1).alias("direct"))
+    sequential = F.col("text")
+    for old, other in (("the", "THE"), ("er", "re"), ("THE", "The")):
+        sequential = F.replace(sequential, F.lit(old), F.lit(other))
+    batch = b.paragraphs(spark, d).select(edits.batch_edit(F.col("text"), [("the", "THE"), ("er", "re"), ("THE", "The")]).alias("batch"), sequential.alias("sequential"))
+    table = b.cell_rows(spark, d)
+    back = tables.delete_row(tables.insert_row(table, 0).withColumnRenamed("new_row", "row_index"), 1).withColumnRenamed("cells", "back")
+    undone = table.join(back.withColumnRenamed("new_row", "row_index"), ["table_index", "row_index"], "full_outer")
+    held = lambda frame, name, holds: frame.agg(F.count("*").alias("cases"), F.count_if(F.coalesce(holds, F.lit(False))).alias("holds")).select(F.lit(name).alias("relation"), "*")
+    return compare.problems(
+        held(ways, "m3-track-accept-eq-direct", F.col("tracked") == F.col("direct")),
+        held(settled, "m4-item-accept-eq-all", (F.col("items_accepted") == F.col("accepted")) & (F.col("accepted") == F.col("final"))),
+        held(settled, "m5-item-reject-eq-all", (F.col("items_rejected") == F.col("rejected")) & (F.col("rejected") == F.col("original"))),
+        held(batch, "m6-batch-eq-sequential", F.col("batch") == F.col("sequential")),
+        held(undone, "m7-insert-delete-row-eq-original", F.col("cells") == F.col("back")),
+    )
 
 
 @query("v14_manifest_audit", f"WITH {OUTPUT} SELECT status, count(*) AS n FROM (SELECT CASE WHEN p.package_id IS NULL THEN 'added' WHEN o.package_id IS NULL THEN 'removed' WHEN p.source_sha256 <> o.source_sha256 THEN 'changed' ELSE 'same' END AS status FROM package p FULL JOIN output o ON p.package_id = o.package_id) GROUP BY status")
@@ -426,13 +425,3 @@ def v15(spark, d):
     return compare.problems(*found)
 
 
-@query("v17_corpus_acceptance", "SELECT source, count(*) AS packages, count(*) FILTER (ok) AS passed, bool_and(ok) AS accepted FROM (SELECT source, length(text) > 0 AND NOT contains(text, '$$$') AS ok FROM package) GROUP BY source")
-def v17(spark, d):
-    ok = (F.length("text") > 0) & ~F.col("text").contains("$$$")
-    return b.packages(spark, d).groupBy("source").agg(F.count("*").alias("packages"), F.count_if(ok).alias("passed"), F.bool_and(ok).alias("accepted"))
-
-
-@query("v18_release_gate", """SELECT operation, count(*) FILTER (status = 'O') AS real_failures, count(*) FILTER (status = 'P') AS blocked, bool_and(status <> 'O') AS releasable FROM generation_row GROUP BY operation""")
-def v18(spark, d):
-    failed = F.col("status") == "O"
-    return b.generations(spark, d).groupBy("operation").agg(F.count_if(failed).alias("real_failures"), F.count_if(F.col("status") == "P").alias("blocked"), F.bool_and(~failed).alias("releasable"))

@@ -13,11 +13,6 @@ from foliolake.sources import bindings as b
 PK = ["package_id", "idx"]
 
 
-@query("s2_member_manifest", "SELECT package_id, 'document' AS part, source_sha256 AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM package")
-def s2(spark, d):
-    return b.packages(spark, d).select("package_id", F.lit("document").alias("part"), F.col("source_sha256").alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
-
-
 @query("s3_tag_stream", "SELECT package_id, idx, name, closing, void FROM tag")
 def s3(spark, d):
     return b.tags(spark, d).select("package_id", "idx", "name", "closing", "void")
@@ -33,21 +28,11 @@ def s8(spark, d):
     return b.segments(spark, d).select(*PK, "paragraph_id", "k", "start", "end", "text", "style_id", "revision", "in_original", "in_final")
 
 
-@query("s9_asset_inventory", "SELECT source AS folder, count(*) AS assets, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(source_sha256) AS first_sha256 FROM package GROUP BY source")
-def s9(spark, d):
-    return b.packages(spark, d).groupBy(F.col("source").alias("folder")).agg(F.count("*").alias("assets"), F.sum(F.octet_length("text")).alias("bytes"), F.min("source_sha256").alias("first_sha256"))
-
-
 @query("f1_editable_segments", "SELECT package_id, idx, k FROM segment WHERE NOT coalesce(kind IN ('delete', 'move_from'), false) AND NOT regexp_matches(text, '[0-9]')")
 def f1(spark, d):
     return b.segments(spark, d).filter(~F.coalesce(F.col("kind").isin("delete", "move_from"), F.lit(False)) & ~F.col("text").rlike("[0-9]")).select(*PK, "k")
 
 
-@query("f2_prose_parts", "SELECT page_id AS package_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]+/(en|de)/')")
-def f2(spark, d):
-    return b.read(spark, d, "pages").filter(F.col("url").rlike("^https?://[^/]+/(en|de)/")).select(F.col("page_id").alias("package_id"), "url")
-
-
 @query("f3_element_classes", "SELECT package_id, CASE WHEN name IN ('p', 'h1', 'li') THEN 'paragraph' WHEN name IN ('b', 'a') THEN 'run' WHEN name IN ('nav', 'div', 'article', 'footer', 'ul') THEN 'container' ELSE 'unknown' END AS class, count(*) AS n FROM tag WHERE NOT closing GROUP BY ALL")
 def f3(spark, d):
     name = F.col("name")
@@ -134,7 +119,7 @@ def a18(spark, d):
     return op.manifest_digest(b.packages(spark, d), "source")
 
 
-@query("a19_paragraph_fingerprint", """SELECT package_id, idx, sha256(string_agg(concat_ws('|', start, "end", text, style_id, revision), ';' ORDER BY k)) AS fingerprint FROM segment GROUP BY ALL""")
+@query("a19_paragraph_fingerprint", """SELECT package_id, idx, sha256(CAST(to_json({'segments': list({'end': "end", 'revision': revision, 'start': start, 'style_id': style_id, 'text': text} ORDER BY k)}) AS VARCHAR)) AS fingerprint FROM segment GROUP BY ALL""")
 def a19(spark, d):
     return op.fingerprints(b.segments(spark, d))
 
@@ -146,31 +131,11 @@ def a20(spark, d):
     return b.tags(spark, d).groupBy("package_id").agg(F.array_join(F.transform(rows, lambda r: r["token"]), ">").alias("skeleton"))
 
 
-@query("a21_semantic_signature", """SELECT package_id, sha256(coalesce(string_agg(text, ' ' ORDER BY idx, k) FILTER (in_final), '')) AS text_sha256, CAST(sum(CASE WHEN in_final THEN length(text) ELSE 0 END) AS BIGINT) AS chars,
-count(*) FILTER (kind = 'insert') AS inserts, count(*) FILTER (kind = 'delete') AS deletes, count(DISTINCT idx) AS paragraphs FROM segment GROUP BY ALL""")
-def a21(spark, d):
-    rows = F.sort_array(F.collect_list(F.when(F.col("in_final"), F.struct("idx", "k", "text"))))
-    joined = F.array_join(F.transform(rows, lambda r: r["text"]), " ")
-    return b.segments(spark, d).groupBy("package_id").agg(
-        keys.sha(joined).alias("text_sha256"),
-        F.sum(F.when(F.col("in_final"), F.length("text")).otherwise(0)).alias("chars"),
-        F.count_if(F.col("kind") == "insert").alias("inserts"),
-        F.count_if(F.col("kind") == "delete").alias("deletes"),
-        F.count_distinct("idx").alias("paragraphs"),
-    )
-
-
 @query("a23_text_count", "SELECT lang, CAST(sum((length(text) - length(replace(text, 'en', ''))) // 2) AS BIGINT) AS n FROM package GROUP BY lang")
 def a23(spark, d):
     return b.packages(spark, d).groupBy("lang").agg(F.sum(text.occurrences(F.col("text"), "en")).alias("n"))
 
 
-@query("a24_fixture_profile", """SELECT package_id, count(DISTINCT idx) AS paragraphs, count(*) AS leaves, count(DISTINCT style_id) AS styles, array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), ',') AS kinds FROM segment GROUP BY ALL""")
-def a24(spark, d):
-    kinds = F.array_join(F.sort_array(F.collect_set("kind")), ",")
-    return b.segments(spark, d).groupBy("package_id").agg(F.count_distinct("idx").alias("paragraphs"), F.count("*").alias("leaves"), F.count_distinct("style_id").alias("styles"), F.when(kinds != "", kinds).alias("kinds"))
-
-
 @query("a25_duplicate_texts", "SELECT source_sha256, count(*) AS n, min(package_id) AS first_id FROM package GROUP BY source_sha256 HAVING count(*) > 1")
 def a25(spark, d):
     return b.packages(spark, d).groupBy("source_sha256").agg(F.count("*").alias("n"), F.min("package_id").alias("first_id")).filter("n > 1")
@@ -248,7 +213,10 @@ def x2(spark, d):
 _ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-@query("x3_xml_escape", f"SELECT package_id, sha256({_ESC}) AS escaped_sha256, CAST(length({_ESC}) AS BIGINT) AS escaped_chars, true AS round_trip FROM package")
+_UNESC = f"replace(replace(replace(replace(replace({_ESC}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+
+
+@query("x3_xml_escape", f"SELECT package_id, sha256({_ESC}) AS escaped_sha256, CAST(length({_ESC}) AS BIGINT) AS escaped_chars, {_UNESC} = text AS round_trip FROM package")
 def x3(spark, d):
     escaped = b.packages(spark, d).withColumn("e", text.xml_escape(F.col("text")))
     return escaped.select("package_id", keys.sha(F.col("e")).alias("escaped_sha256"), F.length("e").cast("long").alias("escaped_chars"), (text.xml_unescape(F.col("e")) == F.col("text")).alias("round_trip"))
@@ -259,16 +227,19 @@ def x4(spark, d):
     return b.read(spark, d, "pages").select(F.col("page_id").alias("package_id"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", 'charset="([^"]*)"', 1).alias("charset"))
 
 
-@query("x5_leaf_paths", "SELECT package_id, concat(paragraph_id, '.', k) AS path, CAST(regexp_extract(concat(paragraph_id, '.', k), '^P([0-9]+)\\.([0-9]+)$', 1) AS BIGINT) AS paragraph, CAST(regexp_extract(concat(paragraph_id, '.', k), '^P([0-9]+)\\.([0-9]+)$', 2) AS BIGINT) AS leaf FROM segment WHERE kind = 'move_to'")
+@query("x5_leaf_paths", "SELECT package_id, concat(paragraph_id, '.', k) AS path, CAST(regexp_extract(paragraph_id, '^P([0-9]+)$', 1) AS BIGINT) AS paragraph, k AS leaf FROM leaf")
 def x5(spark, d):
-    rows = b.segments(spark, d).filter("kind = 'move_to'").select("package_id", F.concat("paragraph_id", F.lit("."), F.col("k").cast("string")).alias("path"))
+    rows = b.leaves(spark, d).select("package_id", F.concat("paragraph_id", F.lit("."), F.col("k").cast("string")).alias("path"))
     field = lambda i: F.regexp_extract("path", r"^P([0-9]+)\.([0-9]+)$", i).cast("long")
     return rows.select("*", field(1).alias("paragraph"), field(2).alias("leaf"))
 
 
-@query("x6_codepoints", "SELECT package_id, printf('U+%04X', unicode(left(text, 1))) AS first FROM package WHERE text <> ''")
+@query("x6_codepoints", "SELECT codepoint, count(*) AS n, count(DISTINCT package_id) AS packages FROM (SELECT package_id, printf('U+%04X', unicode(u)) AS codepoint FROM (SELECT package_id, unnest(string_split(text, '')) AS u FROM package WHERE text <> '')) GROUP BY codepoint")
 def x6(spark, d):
-    return b.packages(spark, d).filter("text <> ''").select("package_id", text.codepoint(F.left("text", F.lit(1))).alias("first"))
+    """Every character of every text, counted by code point; a text's characters are counted before anything is dealt."""
+    chars = b.packages(spark, d).filter("text <> ''").select("package_id", F.explode(F.split("text", "")).alias("char"))
+    counted = chars.groupBy("package_id", "char").agg(F.count("*").alias("n"))
+    return counted.groupBy(text.codepoint(F.col("char")).alias("codepoint")).agg(F.sum("n").alias("n"), F.count("*").alias("packages"))
 
 
 @query("x7_clamped_range", "SELECT package_id, substring(text, 11, 30) AS part FROM package")
@@ -302,6 +273,6 @@ def x16(spark, d):
     return b.relationships(spark, d).select("package_id", "ordinal", text.resolve_target(F.lit("word/media"), up).alias("resolved"))
 
 
-@query("x17_base64", "SELECT package_id, base64(encode(left(interior, 40))) AS encoded FROM opaque")
+@query("x17_base64", "SELECT package_id, ordinal, base64(encode(interior)) AS encoded FROM opaque")
 def x17(spark, d):
-    return b.opaque_blocks(spark, d).select("package_id", F.base64(F.encode(F.left("interior", F.lit(40)), "UTF-8")).alias("encoded"))
+    return b.opaque_blocks(spark, d).select("package_id", "ordinal", F.translate(F.base64(F.encode("interior", "UTF-8")), "\r\n", "").alias("encoded"))
\ No newline at end of file

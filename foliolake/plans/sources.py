@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliolake.functions import keys, text
 from foliolake.operators import compare, diff, inventory, ranges, throttle
 from foliolake.plans.registry import query
 from foliolake.sources import bindings as b
-from foliolake.sources import docx, shared
+from foliolake.sources import shared
 from foliolake.streaming import review_stream
 
 PK = ["package_id", "idx"]
 
 
-def _members(spark, d):
-    texts = b.packages(spark, d).select("package_id", "text", F.col("source").alias("header"))
-    return docx.members(docx.packages_from_texts(texts))
-
-
-@query("s1_package_members", """SELECT package_id, unnest(['word/document.xml', 'word/header1.xml', 'word/_rels/document.xml.rels', 'word/media/image1.png']) AS part_path FROM package""")
-def s1(spark, d):
-    return _members(spark, d).select("package_id", "part_path")
-
-
-@query("s4_element_tree", "SELECT package_id, 2 + 3 * count(*) AS elements, CAST(4 AS BIGINT) AS max_depth, CAST(0 AS BIGINT) AS errors FROM paragraph GROUP BY package_id")
-def s4(spark, d):
-    parts = _members(spark, d).filter("part_path = 'word/document.xml'")
-    return docx.elements(parts).groupBy("package_id").agg(F.count("idx").alias("elements"), F.max("depth").alias("max_depth"), F.count("error").alias("errors"))
-
-
-@query("s5_body_paragraphs", "SELECT package_id, paragraph_id, idx AS paragraph_order, text FROM paragraph")
-def s5(spark, d):
-    return docx.prose_leaves(_members(spark, d)).filter("part = 'document'").select("package_id", "paragraph_id", "paragraph_order", "text")
-
-
-@query("s6_header_paragraphs", "SELECT package_id, 'header1.P0' AS paragraph_id, source AS text FROM package")
-def s6(spark, d):
-    return docx.prose_leaves(_members(spark, d)).filter("part = 'header1'").select("package_id", "paragraph_id", "text")
-
-
-@query("s16_images", "SELECT package_id, 'rId1' AS rel_id, 'word/media/image1.png' AS part_path, base64(encode(left(text, 16))) AS base64 FROM package")
-def s16(spark, d):
-    return docx.images(_members(spark, d)).select("package_id", "rel_id", "part_path", "base64")
-
-
 @query("s13_edit_markup", "SELECT package_id, string_agg(concat('[[', paragraph_id, ']]', chr(10), text), chr(10) ORDER BY idx) AS markup FROM paragraph GROUP BY package_id")
 def s13(spark, d):
     block = F.concat(F.lit("[["), "paragraph_id", F.lit("]]\n"), "text").alias("block")
@@ -51,7 +22,8 @@ def s13(spark, d):
     return b.paragraphs(spark, d).groupBy("package_id").agg(F.array_join(F.transform(rows, lambda r: r["block"]), "\n").alias("markup"))
 
 
-@query("s14_parsed_markup", "SELECT package_id, paragraph_id, text FROM paragraph")
+@query("s14_parsed_markup", """WITH m AS (SELECT package_id, string_agg(concat('[[', paragraph_id, ']]', chr(10), text), chr(10) ORDER BY idx) AS markup FROM paragraph GROUP BY package_id),
+blk AS (SELECT package_id, unnest(string_split(concat(chr(10), markup), concat(chr(10), '[[P'))) AS blk FROM m) SELECT package_id, concat('P', split_part(blk, concat(']]', chr(10)), 1)) AS paragraph_id, substring(blk, strpos(blk, concat(']]', chr(10))) + 3) AS text FROM blk WHERE blk <> ''""")
 def s14(spark, d):
     blocks = F.explode(F.split("markup", r"(?:^|\n)\[\[(?=P[0-9]+\]\]\n)")).alias("block")
     return s13(spark, d).select("package_id", blocks).filter("block <> ''").select("package_id", F.regexp_extract("block", r"^(P[0-9]+)\]\]\n", 1).alias("paragraph_id"), F.regexp_replace("block", r"^P[0-9]+\]\]\n", "").alias("text"))
@@ -59,7 +31,7 @@ def s14(spark, d):
 
 @query("x10_grapheme_clusters", "SELECT package_id, CAST(length_grapheme(text) AS BIGINT) AS clusters FROM package")
 def x10(spark, d):
-    return b.packages(spark, d).select("package_id", F.size(diff.graphemes(F.col("text"))).cast("long").alias("clusters"))
+    return b.packages(spark, d).select("package_id", F.size(text.graphemes(F.col("text"))).cast("long").alias("clusters"))
 
 
 @query("d2_word_hunks")
@@ -67,16 +39,36 @@ def d2(spark, d):
     return diff.word_hunks(inventory.views(b.segments(spark, d)), "original", "final")
 
 
+def _rebuilt(spark, d):
+    views = inventory.views(b.segments(spark, d))
+    return views, diff.word_hunks(views, "original", "final")
+
+
 @query("d3_hunk_records")
 def d3(spark, d):
-    hunks = diff.word_hunks(inventory.views(b.segments(spark, d)), "original", "final")
-    return hunks.groupBy("package_id", "op").agg(F.count("*").alias("hunks"), F.sum(F.col("end") - F.col("start")).alias("removed_words"), F.sum(F.col("new_end") - F.col("new_start")).alias("added_words"))
+    """Hunks with character ranges of the text before, and the styles of what they replace."""
+    kept = b.segments(spark, d).filter("in_original").select(*PK, "k", "text", "style_id")
+    order = Window.partitionBy(*PK).orderBy("k")
+    words = kept.withColumns({"place": F.row_number().over(order) - 1, "at": F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    found = diff.hunk_records(_rebuilt(spark, d)[1], words)
+    first = words.select(*PK, F.col("place").cast("long").alias("start"), F.col("at").alias("start_char"))
+    return found.join(first, [*PK, "start"], "left").select(*PK, "hunk", "op", "start", "end", "new_start", "new_end", "start_char", "source_styles")
+
+
+@query("d3_rebuilt_texts", """WITH v AS (SELECT package_id, idx, coalesce(string_agg(text, ' ' ORDER BY k) FILTER (in_original), '') AS a, coalesce(string_agg(text, ' ' ORDER BY k) FILTER (in_final), '') AS c FROM segment GROUP BY ALL)
+SELECT package_id, idx, c AS rebuilt, CAST(len(string_split(c, ' ')) - len(string_split(a, ' ')) AS BIGINT) AS grown FROM v WHERE a <> c""")
+def d3_rebuilt(spark, d):
+    """The texts that hunks make of the texts before: the final views, if nothing is lost."""
+    views, found = _rebuilt(spark, d)
+    return diff.rebuilt(views, found, "original").select(*PK, "rebuilt", "grown")
 
 
 @query("r4_token_bucket")
 def r4(spark, d):
+    """Sixteen listeners, each of which keeps the buckets of its 64 latest clients."""
     seconds = F.unix_micros(F.col("created_at").cast("timestamp")) / 1_000_000
-    return throttle.throttled(b.review_events(spark, d).select("event_id", "client_id", seconds.alias("seconds")))
+    events = b.review_events(spark, d).select("event_id", "client_id", (F.col("client_id") % 16).alias("listener"), seconds.alias("seconds"))
+    return throttle.throttled(events, most_clients=64)
 
 
 def _streamed_events(spark, d):
@@ -120,24 +112,50 @@ def s15(spark, d):
     return b.packages(spark, d).select("lang", chars).join(known, "source").groupBy("source", "target", "lang").agg(F.count("*").alias("packages"))
 
 
-@query("s17_patched_members", """SELECT package_id, part_path, CASE part_path WHEN 'word/header1.xml' THEN 'changed' ELSE 'same' END AS status FROM (SELECT package_id,
-unnest(['word/document.xml', 'word/header1.xml', 'word/_rels/document.xml.rels', 'word/media/image1.png']) AS part_path FROM package)""")
-def s17(spark, d):
-    texts = b.packages(spark, d).select("package_id", "text", F.col("source").alias("header"))
-    built = docx.packages_from_texts(texts)
-    key = F.concat_ws("|", F.col("package_id").cast("string"), "part_path").alias("member")
-    of = lambda packages: docx.members(packages).select(key, "sha256")
-    changed = compare.manifest_diff(of(built), of(docx.with_header(built, "<w:hdr/>")), "member", "sha256")
-    return changed.select(F.split_part("member", F.lit("|"), F.lit(1)).cast("long").alias("package_id"), F.split_part("member", F.lit("|"), F.lit(2)).alias("part_path"), "status")
-
-
-@query("s19_published_versions", "SELECT package_id, idx, text FROM paragraph")
+@query("s19_published_versions", "SELECT 1 AS version, package_id, idx, text FROM paragraph UNION ALL SELECT 2, package_id, idx, concat(text, '!') FROM paragraph")
 def s19(spark, d):
-    """A reader that pinned the first version doesn't see the second."""
+    """A folder's text as it was extracted, and as the next version has it."""
     path = shared.scratch(spark, "workdir")
     first = shared.publish(b.paragraphs(spark, d).select(*PK, "text"), f"{path}/v1")
-    shared.publish(first.withColumn("text", F.upper("text")), f"{path}/v2")
-    return first
+    second = shared.publish(first.withColumn("text", F.concat("text", F.lit("!"))), f"{path}/v2")
+    return first.select(F.lit(1).alias("version"), "*").unionByName(second.select(F.lit(2).alias("version"), "*"))
+
+
+_VERSION = """concat(count(*), ':', sum(CAST(concat('0x', left(sha256(concat(package_id, ':', idx, ':', {0})), 15)) AS HUGEINT)))"""
+
+
+@query("r7_pinned_reader", f"SELECT sha256({_VERSION.format('text')}) AS pinned, sha256({_VERSION.format("concat(text, '!')")}) AS latest, true AS moved FROM paragraph")
+def r7(spark, d):
+    """A reader that pinned a version reads the same after the next is published; a new reader gets the next."""
+    path = shared.scratch(spark, "workdir")
+    digest = lambda rows, name: rows.agg(keys.digest_of_any_order(F.col("package_id").cast("string"), F.col("idx").cast("string"), F.col("text")).alias(name))
+    shared.publish(b.paragraphs(spark, d).select(*PK, "text"), f"{path}/v1")
+    pinned, at_first = shared.latest_version(spark, path)
+    before = digest(pinned, "before").first()[0]
+    shared.publish(pinned.withColumn("text", F.concat("text", F.lit("!"))), f"{path}/v2")
+    newest, at_last = shared.latest_version(spark, path)
+    both = digest(pinned, "pinned").join(F.broadcast(digest(newest, "latest").withColumn("one", F.lit(1))), F.col("one") == 1)
+    return both.select("pinned", "latest", (F.lit(at_first != at_last) & (F.col("pinned") == before) & (F.col("pinned") != F.col("latest"))).alias("moved"))
+
+
+@query("s18_published_once", "SELECT 'published' AS outcome, count(*) AS rows FROM paragraph UNION ALL SELECT 'refused', count(*) FROM paragraph")
+def s18(spark, d):
+    """A version appears whole, and another one under its name is refused and changes nothing."""
+    path = f"{shared.scratch(spark, 'workdir')}/v1"
+    rows = b.paragraphs(spark, d).select(*PK, "text")
+    first = shared.publish(rows, path)
+    done = first.agg(F.count("*").alias("rows")).select(F.lit("published").alias("outcome"), "rows")
+    refused = not shared.published(rows.filter("idx = 0"), path)
+    again = spark.read.schema(first.schema).parquet(path).agg(F.count("*").alias("rows"))
+    return done.unionByName(again.select(F.lit("refused" if refused else "overwritten").alias("outcome"), "rows"))
+
+
+@query("s9_asset_inventory", "SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, 'text' AS kind FROM package GROUP BY source")
+def s9(spark, d):
+    """Texts written below a folder for each source, and the folder tree walked: files with their sizes, by folder."""
+    path = shared.scratch(spark, "assets")
+    b.packages(spark, d).select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    return shared.walked(spark, path).groupBy(F.regexp_extract("folder", "source=([^/]*)", 1).alias("folder"), "kind").agg(F.sum("length").alias("bytes"))
 
 
 @query("f8_style_labels", r"""SELECT style_id, CASE style_id WHEN concat('s_', left(sha256('upper'), 16)) THEN 'caps=true,face=serif' WHEN concat('s_', left(sha256('digit'), 16)) THEN 'face=mono' ELSE 'face=serif' END AS label, count(*) AS n FROM segment GROUP BY ALL""")
@@ -149,9 +167,9 @@ def f8(spark, d):
     return rows.groupBy("style_id", F.array_join(pairs, ",").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("x12_canonical_tags", """SELECT package_id, idx, concat_ws(' ', name, nullif(array_to_string(list_sort(regexp_extract_all(raw, '[a-z]+="[^"]*"')), ' '), '')) AS canonical FROM tag WHERE NOT closing""")
+@query("x12_canonical_tags", r"""SELECT package_id, idx, concat_ws(' ', name, nullif(array_to_string(list_sort(regexp_extract_all(raw, '[a-zA-Z_:][-a-zA-Z0-9_:.]*\s*=\s*(?:"[^"]*"|''[^'']*'')')), ' '), '')) AS canonical FROM tag WHERE NOT closing""")
 def x12(spark, d):
-    attributes = F.array_join(F.sort_array(F.regexp_extract_all("raw", F.lit('[a-z]+="[^"]*"'), 0)), " ")
+    attributes = F.array_join(F.sort_array(F.regexp_extract_all("raw", F.lit(r"""[a-zA-Z_:][-a-zA-Z0-9_:.]*\s*=\s*(?:"[^"]*"|'[^']*')"""), 0)), " ")
     return b.tags(spark, d).filter("not closing").select(*PK, F.concat_ws(" ", "name", F.when(attributes != "", attributes)).alias("canonical"))
 
 

@@ -22,7 +22,7 @@ VIEWS = {
         concat(CASE WHEN k % 17 = 2 THEN 'insert' ELSE 'delete' END, '|', k) AS key FROM leaf WHERE k % 17 = 2 OR k % 19 = 4""",
     "markup": """SELECT page_id AS package_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g') AS html FROM pages""",
     "tag": """SELECT package_id, idx, raw, name, starts_with(raw, '</') AS closing, name IN ('meta', 'br', 'link', 'img', 'input', 'hr') AS void FROM (SELECT *, lower(regexp_extract(raw, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM
-        (SELECT package_id, unnest(t) AS raw, generate_subscripts(t, 1) - 1 AS idx FROM (SELECT package_id, regexp_extract_all(html, '</?[a-zA-Z][^>]*>') AS t FROM markup)))""",
+        (SELECT package_id, unnest(t) AS raw, generate_subscripts(t, 1) - 1 AS idx FROM (SELECT package_id, regexp_extract_all(html, '</?[a-zA-Z](?:[^>"'']+|"[^"]*"|''[^'']*'')*>') AS t FROM markup)))""",
     "opaque": """SELECT package_id, unnest(o) AS interior, generate_subscripts(o, 1) - 1 AS ordinal FROM (SELECT page_id AS package_id,
         regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>') AS o FROM pages)""",
     "relationship": """SELECT *, concat('rId', ordinal + 1) AS rel_id FROM (SELECT package_id, unnest(t) AS target, generate_subscripts(t, 1) - 1 AS ordinal FROM (SELECT page_id AS package_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS t FROM pages))""",
@@ -42,6 +42,54 @@ VIEWS = {
     "catalog": f"SELECT * FROM (VALUES {_VALUES}) v(source, target, classification, reversible)",
 }
 
+
+
+def escaped(text: str) -> str:
+    return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _run(text: str, tag: str = "t", properties: str = "") -> str:
+    return f"""concat('<w:r>{properties}<w:{tag} xml:space="preserve">', {escaped(text)}, '</w:{tag}></w:r>')"""
+
+
+_BY = """concat('w:id="', {0}, '" w:author="', source, '" w:date="2020-01-01T00:00:00Z"')"""
+_OWN, _MARK = _BY.format("idx"), _BY.format("1000000 + idx")
+_BLOCKS = f"""CASE c WHEN 0 THEN concat('<w:p>', {_run("text")}, '</w:p>') WHEN 1 THEN concat('<w:tbl><w:tr><w:tc><w:p>', {_run("w1")}, '</w:p></w:tc><w:tc><w:p>', {_run("rest")}, '</w:p></w:tc></w:tr></w:tbl>')
+    WHEN 2 THEN concat('<w:p><w:r><w:drawing><w:txbxContent><w:p>', {_run("text")}, '</w:p></w:txbxContent></w:drawing></w:r></w:p>') WHEN 3 THEN concat('<w:sdt><w:sdtContent><w:p>', {_run("text")}, '</w:p></w:sdtContent></w:sdt>')
+    WHEN 4 THEN concat('<w:p><w:pPr><w:rPr><w:ins ', {_MARK}, '/></w:rPr></w:pPr>', {_run("w1", properties="<w:rPr><w:b/></w:rPr>")}, '<w:ins ', {_OWN}, '>', {_run("w2")}, '</w:ins><w:del ', {_OWN}, '><w:bookmarkStart w:id="', idx, '"/>', {_run("w3", "delText")}, '<w:bookmarkEnd w:id="', idx, '"/></w:del></w:p>')
+    ELSE concat('<w:p><w:commentRangeStart w:id="', idx, '"/>', {_run("text")}, '<w:commentRangeEnd w:id="', idx, '"/><w:r><w:commentReference w:id="', idx, '"/></w:r></w:p>') END"""
+_NOTE = f"""concat('<w:comment w:id="', idx, '" w:author="', source, '" w:date="2020-01-01T00:00:00Z"><w:p w14:paraId="', printf('%08X', idx), '">', {_run("concat('note ', idx)")}, '</w:p></w:comment>')"""
+_EXTRA = """concat('<w15:commentEx w15:paraId="', printf('%08X', idx), '" w15:done="', idx % 2, '"/>')"""
+_RELS = '<Relationships><Relationship Id="rId1" Type="image" Target="media/image1.png"/><Relationship Id="rId2" Type="hyperlink" Target="https://example.org/"/></Relationships>'
+
+#: The packages that ``docx.packages_from_texts`` makes of documents: lines with their words and ordinals, items in order, members.
+VIEWS |= {
+    "pline": """SELECT *, split_part(rest, ' ', 1) AS w2, CASE WHEN contains(rest, ' ') THEN substring(rest, strpos(rest, ' ') + 1) ELSE '' END AS w3,
+        count(*) FILTER (c IN (0, 2, 4, 5)) OVER w AS np, count(*) FILTER (c = 1) OVER w AS nt, count(*) FILTER (c = 2) OVER w AS nb, count(*) FILTER (c = 3) OVER w AS ns
+        FROM (SELECT p.package_id, idx, p.text, idx % 6 AS c, source, split_part(p.text, ' ', 1) AS w1, CASE WHEN contains(p.text, ' ') THEN substring(p.text, strpos(p.text, ' ') + 1) ELSE '' END AS rest
+        FROM paragraph p JOIN package k ON p.package_id = k.package_id) WINDOW w AS (PARTITION BY package_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "pitem": """SELECT package_id, 'document' AS part, idx, n, CASE c WHEN 1 THEN concat('T', nt, '.R0.C', n, '.P0') WHEN 3 THEN concat('S', ns, '.P0') ELSE CASE WHEN c = 2 AND n = 1 THEN concat('B', nb, '.P0') ELSE concat('P', np) END END AS paragraph_id,
+        i.item, i.text, i.style, i.ref, i.kind, i.w_id FROM (SELECT *, unnest(items) AS i, generate_subscripts(items, 1) - 1 AS n FROM (SELECT *, CASE c
+        WHEN 1 THEN [{'item': 'text', 'text': w1, 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL}, {'item': 'text', 'text': rest, 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL}]
+        WHEN 2 THEN [{'item': 'opaque', 'text': '', 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL}, {'item': 'text', 'text': text, 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL}]
+        WHEN 4 THEN [{'item': 'mark', 'text': '', 'style': '', 'ref': NULL, 'kind': 'insert', 'w_id': CAST(1000000 + idx AS VARCHAR)}, {'item': 'text', 'text': w1, 'style': 'b/', 'ref': NULL, 'kind': NULL, 'w_id': NULL},
+            {'item': 'text', 'text': w2, 'style': '', 'ref': NULL, 'kind': 'insert', 'w_id': CAST(idx AS VARCHAR)}, {'item': 'bookmark-start', 'text': '', 'style': '', 'ref': CAST(idx AS VARCHAR), 'kind': 'delete', 'w_id': CAST(idx AS VARCHAR)},
+            {'item': 'text', 'text': w3, 'style': '', 'ref': NULL, 'kind': 'delete', 'w_id': CAST(idx AS VARCHAR)}, {'item': 'bookmark-end', 'text': '', 'style': '', 'ref': CAST(idx AS VARCHAR), 'kind': 'delete', 'w_id': CAST(idx AS VARCHAR)}]
+        WHEN 5 THEN [{'item': 'comment-start', 'text': '', 'style': '', 'ref': CAST(idx AS VARCHAR), 'kind': NULL, 'w_id': NULL}, {'item': 'text', 'text': text, 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL},
+            {'item': 'comment-end', 'text': '', 'style': '', 'ref': CAST(idx AS VARCHAR), 'kind': NULL, 'w_id': NULL}, {'item': 'comment-reference', 'text': '', 'style': '', 'ref': CAST(idx AS VARCHAR), 'kind': NULL, 'w_id': NULL}]
+        ELSE [{'item': 'text', 'text': text, 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL}] END AS items FROM pline))
+        UNION ALL SELECT package_id, 'header1', 0, 0, 'header1.P0', 'text', source, '', NULL, NULL, NULL FROM package""",
+    "pmember": f"""SELECT package_id, unnest(['[Content_Types].xml', 'word/document.xml', 'word/header1.xml', 'word/comments.xml', 'word/commentsExtended.xml', 'word/_rels/document.xml.rels', 'word/media/image1.png']) AS part_path,
+        unnest(['<Types/>', concat('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><!-- <w:p> -->', string_agg({_BLOCKS}, '' ORDER BY idx), '</w:body></w:document>'),
+        concat('<w:hdr><w:p>', any_value({_run("source")}), '</w:p></w:hdr>'), concat('<w:comments>', coalesce(string_agg({_NOTE}, '' ORDER BY idx) FILTER (c = 5), ''), '</w:comments>'),
+        concat('<w15:commentsEx>', coalesce(string_agg({_EXTRA}, '' ORDER BY idx) FILTER (c = 5), ''), '</w15:commentsEx>'), '{_RELS}', string_agg(text, chr(10) ORDER BY idx)]) AS content FROM pline GROUP BY package_id""",
+    "pcheck": """SELECT package_id, source, lang, unnest(['open', 'well-formed', 'anchors']) AS "check", unnest([CASE WHEN d = 3 THEN 'fail' ELSE 'pass' END, CASE d WHEN 3 THEN 'not-run' WHEN 6 THEN 'fail' ELSE 'pass' END,
+        CASE WHEN d IN (3, 6) THEN 'not-run' WHEN d = 4 AND noted THEN 'fail' ELSE 'pass' END]) AS result FROM (SELECT package_id, source, lang, package_id % 10 AS d, len(string_split(text, chr(10))) >= 6 AS noted FROM package)""",
+    "pstat": f"""SELECT package_id, x.xml, x.most, x.depth, t.longest FROM (SELECT package_id, CAST(sum(strlen(content)) FILTER (part_path LIKE 'word/%.xml') AS BIGINT) AS xml, CAST(max(strlen(content)) AS BIGINT) AS most,
+        (SELECT CAST(max(CASE c WHEN 1 THEN 8 WHEN 2 THEN 9 WHEN 3 THEN 7 WHEN 4 THEN 6 ELSE 5 END) AS BIGINT) FROM pline WHERE pline.package_id = m.package_id) AS depth FROM pmember m GROUP BY package_id) x
+        JOIN (SELECT package_id, CAST(max(strlen({escaped("text")})) AS BIGINT) AS longest FROM pitem WHERE part = 'document' AND item = 'text' AND kind IS DISTINCT FROM 'delete' GROUP BY package_id) t USING (package_id)""",
+}
+
 _NAMES = re.compile(r"\b(" + "|".join(VIEWS) + r")\b")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions.keys import revision_key, sha, style_id
+from foliolake.functions.text import word_starts
 
 PART = "document"
 VOID_ELEMENTS = ("meta", "br", "link", "img", "input", "hr")
@@ -44,16 +45,12 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("package_id", F.lit(PART).alias("part"), "idx", F.concat(F.lit("P"), F.col("idx")).alias("paragraph_id"), "text", "source")
 
 
-def leaf_order() -> Window:
-    return Window.partitionBy("package_id", "idx").orderBy("k")
-
-
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text runs with their offsets in the paragraph: a running sum of lengths and of the spaces between."""
-    words = paragraphs(spark, sf_dir).select("package_id", "idx", "paragraph_id", "source", F.posexplode(F.split("text", " ")).alias("k", "text"))
-    before = F.sum(F.length("text") + 1).over(leaf_order().rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0))
-    return words.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    """Text runs with their offsets in the paragraph: a running sum, inside the row, of lengths and of the spaces between."""
+    lines = paragraphs(spark, sf_dir).select("package_id", "idx", "paragraph_id", "source", F.split("text", " ").alias("words"))
+    runs = F.arrays_zip(F.col("words").alias("text"), word_starts(F.col("words")).alias("start"))
+    found = lines.select("package_id", "idx", "paragraph_id", "source", F.posexplode(runs).alias("k", "run"))
+    return found.select("package_id", "idx", "paragraph_id", "source", "k", "run.text", "run.start", (F.col("run.start") + F.length("run.text")).alias("end"))
 
 
 def style_class(text: Column) -> Column:
@@ -94,6 +91,8 @@ def nested_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPAQUE = "(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>"
 _COMMENT = "(?s)<!--.*?-->"
+#: A tag: a ``>`` inside quotes doesn't end it. Possessive, so that long tags take no stack.
+TAG = """</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def markup(page: Column) -> Column:
@@ -103,7 +102,7 @@ def markup(page: Column) -> Column:
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of every page in order: package_id, idx, raw, name, closing, void."""
-    raw = F.regexp_extract_all(markup(F.col("html")), F.lit("</?[a-zA-Z][^>]*>"), 0)
+    raw = F.regexp_extract_all(markup(F.col("html")), F.lit(TAG), 0)
     rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("package_id"), F.posexplode(raw).alias("idx", "raw"))
     name = F.lower(F.regexp_extract("raw", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     return rows.select("package_id", "idx", "raw", name.alias("name"), F.col("raw").startswith("</").alias("closing"), name.isin(*VOID_ELEMENTS).alias("void"))

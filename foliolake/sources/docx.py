@@ -1,9 +1,11 @@
-"""Word packages as rows: members, tags, element trees, paragraphs, leaves, images.
-
-Packages are read with ``binaryFile`` (or come as a binary column). One Arrow
-function unzips a package into its members; another turns a member's XML into
-tags, or paragraphs with their leaves. Everything after that is joins and
-windows. A package or member that can't be read gives a row with an error.
+"""Word packages as rows: members, tags, element trees, items of paragraphs, images.
+
+Packages are read with ``binaryFile`` (or come as a binary column). One function
+unzips a package into its members; another turns a member's XML into tags, or
+into items: text runs, opaque blocks, anchors and paragraph marks, in order, each
+with its paragraph, style and the revisions around it. Everything after that is
+DataFrame work (``foliolake.sources.word``). A package or member that can't be
+read gives a row with an error.
 """
 
 from __future__ import annotations
@@ -14,21 +16,28 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from xml.sax.saxutils import escape, unescape
+from xml.sax.saxutils import escape, quoteattr, unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERS = "package_id long, part_path string, bytes long, sha256 string, content binary, error string"
 TAGS = "package_id long, part_path string, idx long, name string, start long, end long, closing boolean, self_closing boolean"
 ELEMENTS = "package_id long, part_path string, idx long, parent_idx long, depth long, name string, error string"
 LEAVES = "package_id long, part string, paragraph_id string, paragraph_order long, leaf long, text string, revision string, opaque boolean"
+REVISION = "struct<kind:string,w_id:string,author:string,date:string>"
+ITEMS = f"package_id long, part string, paragraph_id string, paragraph_order long, position long, item string, text string, style string, ref string, revisions array<{REVISION}>"
+COMMENTS = "package_id long, id string, author string, date string, text string, para_id string"
+STATS = "package_id long, package_bytes long, zip_parts long, duplicate_entries long, total_bytes long, uncompressed_xml_bytes long, max_part_bytes long, max_text_node_bytes long, xml_nesting_depth long, valid boolean"
 
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>|<(/?)([^\s/>!?]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _REVISIONS = {"ins": "insert", "del": "delete", "moveFrom": "move_from", "moveTo": "move_to"}
 _OPAQUE = frozenset("drawing pict object fldSimple oMath sym".split())
 _PROSE_PART = re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml")
+_ANCHORS = {"commentRangeStart": "comment-start", "commentRangeEnd": "comment-end", "commentReference": "comment-reference", "bookmarkStart": "bookmark-start", "bookmarkEnd": "bookmark-end"}
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*("[^"]*"|'[^']*')""")
+_NAMED = {"&quot;": '"', "&apos;": "'"}
 
 
 @dataclass
@@ -77,30 +86,75 @@ class _Open:
     name: str
     scope: _Scope | None = None
     paragraph: tuple[str, int] | None = None
-    kept: dict = field(default_factory=dict)
+    revision: tuple[str, str, str, str] | None = None
+    link: str | None = None
+    style: str = ""
 
 
-def leaves_of(xml: str, part: str) -> list[tuple[str, int, int, str, str | None, bool]]:
-    """(paragraph_id, paragraph_order, leaf, text, innermost revision, opaque) of each text run and opaque block.
+@dataclass
+class Item:
+    """What stands in a paragraph: text, opaque, mark, or an anchor (by its name in ``_ANCHORS``)."""
+
+    paragraph_id: str | None
+    paragraph_order: int | None
+    item: str
+    text: str = ""
+    style: str = ""
+    ref: str | None = None
+    revisions: tuple[tuple[str, str, str, str], ...] = ()
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes of a tag by local name."""
+    return {m[1].rpartition(":")[2]: unescape(m[2][1:-1], _NAMED) for m in _ATTRIBUTE.finditer(raw)}
+
+
+def canonical_properties(tags: list[Tag]) -> str:
+    """The spelling of a run's properties that doesn't depend on prefixes, attribute order or recorded changes."""
+    out, skipped = [], 0
+    for tag in tags:
+        if tag.name == "rPrChange":
+            skipped += 0 if tag.self_closing else -1 if tag.closing else 1
+        elif not skipped:
+            attributes = "".join(f" {k}={v}" for k, v in sorted(attributes_of(tag.attributes).items()))
+            out.append(f"/{tag.name}" if tag.closing else f"{tag.name}{attributes}" + "/" * tag.self_closing)
+    return ";".join(out)
+
+
+def _revision(tag: Tag) -> tuple[str, str, str, str]:
+    at = attributes_of(tag.attributes)
+    return _REVISIONS[tag.name], at.get("id", ""), at.get("author", ""), at.get("date", "")
+
+
+def items_of(xml: str, part: str) -> list[Item]:
+    """The items of a part's paragraphs, in order.
 
     Ids: ``P0`` in the body, ``T0.R1.C2.P0`` in a cell, ``B0.P0`` in a text box,
-    ``S0.P0`` in a content control; other parts put their name before.
+    ``S0.P0`` in a content control; other parts put their name before. Revisions
+    are those around the item, outermost first. An anchor between paragraphs has
+    no paragraph.
     """
     base = "" if part == "document" else f"{part}."
     scope, boxes, controls = _Scope(base), 0, 0
     stack: list[_Open] = []
-    out: list[tuple[str, int, int, str, str | None, bool]] = []
-    counts: dict[str, int] = {}
-    order, paragraph = -1, None
+    opened: dict[str, int] = {}
+    out: list[Item] = []
+    order, style = -1, ""
+    paragraph: tuple[str, int] | None = None
     tags = scan_tags(xml)
     for k, tag in enumerate(tags):
         if tag.closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == tag.name), None)
-            if at is not None:
-                scope, paragraph = stack[at].scope or scope, stack[at].paragraph
-                del stack[at:]
+            while opened.get(tag.name):
+                last = stack.pop()
+                opened[last.name] -= 1
+                scope, paragraph = last.scope or scope, last.paragraph
+                style = last.style if last.name in ("r", "txbxContent") else style
+                if last.name == tag.name:
+                    break
             continue
-        opened = _Open(tag.name, scope, paragraph)
+        here = _Open(tag.name, scope, paragraph, style=style)
+        around = tuple(o.revision for o in stack if o.revision)
+        place = paragraph or (None, None)
         if tag.name == "p":
             order += 1
             paragraph = (f"{scope.prefix}P{scope.paragraphs}", order)
@@ -117,21 +171,82 @@ def leaves_of(xml: str, part: str) -> list[tuple[str, int, int, str, str | None,
             scope, boxes = _Scope(f"{base}B{boxes}."), boxes + 1
         elif tag.name == "sdtContent" and paragraph is None:
             scope, controls = _Scope(f"{base}S{controls}."), controls + 1
+        elif tag.name == "r":
+            style = ""
+        elif tag.name == "rPr" and stack and stack[-1].name == "r" and not tag.self_closing:
+            close = next((j for j in range(k + 1, len(tags)) if tags[j].name == "rPr" and tags[j].closing), len(tags))
+            style = canonical_properties(tags[k + 1 : close])
+        elif tag.name == "hyperlink":
+            here.link = attributes_of(tag.attributes).get("id")
+        elif tag.name in _REVISIONS:
+            if not tag.self_closing:
+                here.revision = _revision(tag)
+            elif len(stack) > 1 and stack[-1].name == "rPr" and stack[-2].name == "pPr":
+                out.append(Item(*place, "mark", revisions=(_revision(tag),)))
+        elif tag.name in _ANCHORS:
+            out.append(Item(*place, _ANCHORS[tag.name], ref=attributes_of(tag.attributes).get("id"), revisions=around))
         elif paragraph and (tag.name in ("t", "delText") or tag.name in _OPAQUE):
             opaque = tag.name in _OPAQUE
             end = tags[k + 1].start if not opaque and not tag.self_closing and k + 1 < len(tags) else tag.end
-            text = "" if opaque or tag.self_closing else unescape(xml[tag.end : end], {"&quot;": '"', "&apos;": "'"})
-            revision = next((_REVISIONS[o.name] for o in reversed(stack) if o.name in _REVISIONS), None)
-            leaf = counts.get(paragraph[0], 0)
-            counts[paragraph[0]] = leaf + 1
-            out.append((*paragraph, leaf, text, revision, opaque))
+            text = "" if opaque or tag.self_closing else unescape(xml[tag.end : end], _NAMED)
+            link = next((o.link for o in reversed(stack) if o.link), None)
+            out.append(Item(*place, "opaque" if opaque else "text", text, style, link, around))
         if not tag.self_closing:
-            stack.append(opened)
+            stack.append(here)
+            opened[tag.name] = opened.get(tag.name, 0) + 1
         else:
-            scope, paragraph = opened.scope, opened.paragraph
+            scope, paragraph = here.scope, here.paragraph
+    return out
+
+
+def leaves_of(xml: str, part: str) -> list[tuple[str, int, int, str, str | None, bool]]:
+    """(paragraph_id, paragraph_order, leaf, text, innermost revision, opaque) of each text run and opaque block."""
+    out: list[tuple[str, int, int, str, str | None, bool]] = []
+    counts: dict[str, int] = {}
+    for i in items_of(xml, part):
+        if i.item in ("text", "opaque"):
+            leaf = counts.get(i.paragraph_id, 0)
+            counts[i.paragraph_id] = leaf + 1
+            out.append((i.paragraph_id, i.paragraph_order, leaf, i.text, i.revisions[-1][0] if i.revisions else None, i.item == "opaque"))
     return out
 
 
+def comments_of(xml: str) -> list[tuple[str, str, str, str, str | None]]:
+    """(id, author, date, text, para_id of the last paragraph) of each entry of a comments part."""
+    out: list[list] = []
+    tags = scan_tags(xml)
+    for k, tag in enumerate(tags):
+        if tag.closing:
+            continue
+        at = attributes_of(tag.attributes) if tag.name in ("comment", "p") else {}
+        if tag.name == "comment":
+            out.append([at.get("id", ""), at.get("author", ""), at.get("date", ""), "", None])
+        elif tag.name == "p" and out:
+            out[-1][4] = at.get("paraId", out[-1][4])
+        elif tag.name == "t" and out and not tag.self_closing and k + 1 < len(tags):
+            out[-1][3] += unescape(xml[tag.end : tags[k + 1].start], _NAMED)
+    return [tuple(c) for c in out]
+
+
+def stats_of(content: bytes) -> tuple[int, int, int, int, int, int, int, int, bool]:
+    """package_bytes, zip_parts, duplicate_entries, total_bytes, uncompressed_xml_bytes, max_part_bytes, max_text_node_bytes, xml_nesting_depth, valid.
+
+    Sizes are those of the archive's directory; only the main part is unpacked.
+    """
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            entries = archive.infolist()
+            names = [e.filename for e in entries]
+            xml = archive.read("word/document.xml").decode("utf-8", "replace") if "word/document.xml" in names else ""
+    except (zipfile.BadZipFile, ValueError, EOFError):
+        return len(content), 0, 0, 0, 0, 0, 0, 0, False
+    tags = scan_tags(xml)
+    texts = (len(xml[t.end : tags[k + 1].start].encode()) for k, t in enumerate(tags[:-1]) if t.name == "t" and not t.closing and not t.self_closing)
+    depths = (depth + 1 for _, _, depth, _ in build_tree(tags)[0])
+    xml_bytes = sum(e.file_size for e in entries if e.filename.startswith("word/") and e.filename.endswith(".xml"))
+    return len(content), len(names), len(names) - len(set(names)), sum(e.file_size for e in entries), xml_bytes, max((e.file_size for e in entries), default=0), max(texts, default=0), max(depths, default=0), True
+
+
 def _rows(function, schema: str):
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -195,12 +310,63 @@ def prose_leaves(members: DataFrame) -> DataFrame:
     return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, LEAVES), LEAVES)
 
 
+def prose_part(part_path: Column) -> Column:
+    """The part that a member is, if it holds prose; else null."""
+    found = F.regexp_extract(part_path, f"^{_PROSE_PART.pattern}$", 1)
+    return F.when(found != "", found)
+
+
+def prose_items(members: DataFrame) -> DataFrame:
+    """Items of every prose part, with their position in it."""
+
+    def read(record):
+        part = _PROSE_PART.fullmatch(record.part_path)[1]
+        for position, i in enumerate(items_of(record.content.decode("utf-8", "replace"), part)):
+            revisions = [dict(zip(("kind", "w_id", "author", "date"), r, strict=True)) for r in i.revisions]
+            yield record.package_id, part, i.paragraph_id, i.paragraph_order, position, i.item, i.text, i.style, i.ref, revisions
+
+    wanted = members.filter(F.col("part_path").rlike(f"^{_PROSE_PART.pattern}$"))
+    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, ITEMS), ITEMS)
+
+
+def comment_entries(members: DataFrame) -> DataFrame:
+    """Entries of the comments part."""
+
+    def read(record):
+        yield from ((record.package_id, *c) for c in comments_of(record.content.decode("utf-8", "replace")))
+
+    wanted = members.filter("part_path = 'word/comments.xml'")
+    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, COMMENTS), COMMENTS)
+
+
+def extended_entries(members: DataFrame) -> DataFrame:
+    """Entries of the extended comments part: package_id, para_id, done."""
+    wanted = members.filter("part_path = 'word/commentsExtended.xml'")
+    entries = F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit("<[a-z0-9]*:?commentEx [^>]*>"), 0)).alias("e")
+    of = lambda name: F.regexp_extract("e", f'{name}="([^"]*)"', 1)
+    return wanted.select("package_id", entries).select("package_id", of("paraId").alias("para_id"), (of("done") == "1").alias("done"))
+
+
+def relationships(members: DataFrame) -> DataFrame:
+    """Relationships of all parts: package_id, rels_path, rel_id, type, target."""
+    of = lambda name: F.regexp_extract("r", f'{name}="([^"]*)"', 1)
+    rels = members.filter(F.col("part_path").endswith(".rels")).select("package_id", F.col("part_path").alias("rels_path"), F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit("<Relationship [^>]*>"), 0)).alias("r"))
+    return rels.select("package_id", "rels_path", of("Id").alias("rel_id"), of("Type").alias("type"), of("Target").alias("target"))
+
+
+def package_stats(packages: DataFrame) -> DataFrame:
+    """What limits apply to, for each package (package_id, content)."""
+
+    def read(record):
+        yield record.package_id, *stats_of(record.content or b"")
+
+    return packages.select("package_id", "content").mapInPandas(_rows(read, STATS), STATS)
+
+
 def images(members: DataFrame) -> DataFrame:
     """Images by relationship: package_id, rel_id, part_path, bytes, base64."""
-    rels = members.filter(F.col("part_path").endswith(".rels")).select("package_id", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit("<Relationship [^>]*>"), 0)).alias("r"))
-    field_of = lambda name: F.regexp_extract("r", f'{name}="([^"]*)"', 1)
-    targets = rels.select("package_id", field_of("Id").alias("rel_id"), F.concat(F.lit("word/"), field_of("Target")).alias("part_path"))
-    media = members.filter(F.col("part_path").startswith("word/media/")).select("package_id", "part_path", "bytes", F.base64("content").alias("base64"))
+    targets = relationships(members).select("package_id", "rel_id", F.concat(F.lit("word/"), "target").alias("part_path"))
+    media = members.filter(F.col("part_path").startswith("word/media/")).select("package_id", "part_path", "bytes", F.translate(F.base64("content"), "\r\n", "").alias("base64"))
     return targets.join(media, ["package_id", "part_path"])
 
 
@@ -231,21 +397,94 @@ def patch_package(content: bytes, changed: dict[str, bytes]) -> bytes:
         return write_package({n: changed.get(n, archive.read(n)) for n in archive.namelist()})
 
 
+#: Ids of paragraph marks' revisions in built packages begin here.
+MARK_IDS = 1_000_000
+_WORDS_OF_PARTS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _run(text: str, tag: str = "t", properties: str = "") -> str:
+    return f'<w:r>{properties}<w:{tag} xml:space="preserve">{escape(text)}</w:{tag}></w:r>'
+
+
+def _block(k: int, text: str, author: str) -> str:
+    """A line as a block of a document: a paragraph, table, text box, content control, tracked or commented paragraph in turn."""
+    first, _, rest = text.partition(" ")
+    second, _, tail = rest.partition(" ")
+    plain = lambda t: f"<w:p>{_run(t)}</w:p>"
+    by = f'w:id="{k}" w:author={quoteattr(author)} w:date="2020-01-01T00:00:00Z"'
+    match k % 6:
+        case 0:
+            return plain(text)
+        case 1:
+            return f"<w:tbl><w:tr><w:tc>{plain(first)}</w:tc><w:tc>{plain(rest)}</w:tc></w:tr></w:tbl>"
+        case 2:
+            return f"<w:p><w:r><w:drawing><w:txbxContent>{plain(text)}</w:txbxContent></w:drawing></w:r></w:p>"
+        case 3:
+            return f"<w:sdt><w:sdtContent>{plain(text)}</w:sdtContent></w:sdt>"
+        case 4:
+            bold = _run(first, properties="<w:rPr><w:b/></w:rPr>")
+            kept, gone = f"<w:ins {by}>{_run(second)}</w:ins>", f'<w:del {by}><w:bookmarkStart w:id="{k}"/>{_run(tail, "delText")}<w:bookmarkEnd w:id="{k}"/></w:del>'
+            mark = by.replace(f'w:id="{k}"', f'w:id="{MARK_IDS + k}"')
+            return f"<w:p><w:pPr><w:rPr><w:ins {mark}/></w:rPr></w:pPr>{bold}{kept}{gone}</w:p>"
+        case _:
+            return f'<w:p><w:commentRangeStart w:id="{k}"/>{_run(text)}<w:commentRangeEnd w:id="{k}"/><w:r><w:commentReference w:id="{k}"/></w:r></w:p>'
+
+
+def document_package(lines: list[str], author: str) -> bytes:
+    """A package of all kinds of blocks, with a header, comments and their extended entries, an image and a link."""
+    noted = [k for k in range(len(lines)) if k % 6 == 5]
+    entries = "".join(f'<w:comment w:id="{k}" w:author={quoteattr(author)} w:date="2020-01-01T00:00:00Z"><w:p w14:paraId="{k:08X}">{_run(f"note {k}")}</w:p></w:comment>' for k in noted)
+    extended = "".join(f'<w15:commentEx w15:paraId="{k:08X}" w15:done="{k % 2}"/>' for k in noted)
+    blocks = "".join(_block(k, text, author) for k, text in enumerate(lines))
+    parts = {
+        "[Content_Types].xml": "<Types/>",
+        "word/document.xml": f"<w:document {_WORDS_OF_PARTS}><w:body><!-- <w:p> -->{blocks}</w:body></w:document>",
+        "word/header1.xml": f"<w:hdr><w:p>{_run(author)}</w:p></w:hdr>",
+        "word/comments.xml": f"<w:comments>{entries}</w:comments>",
+        "word/commentsExtended.xml": f"<w15:commentsEx>{extended}</w15:commentsEx>",
+        "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId1" Type="image" Target="media/image1.png"/><Relationship Id="rId2" Type="hyperlink" Target="https://example.org/"/></Relationships>',
+    }
+    media = {"word/media/image1.png": "\n".join(lines).encode()}
+    return write_package({name: xml.encode() for name, xml in parts.items()} | media)
+
+
 def packages_from_texts(texts: DataFrame) -> DataFrame:
-    """Packages (package_id, content) of rows (package_id, text, header): a paragraph for each line."""
+    """Packages (package_id, content) of rows (package_id, text, header): a block for each line."""
 
     @F.pandas_udf("binary")
     def build(lines: pd.Series, headers: pd.Series) -> pd.Series:
-        return pd.Series([build_package(t.split("\n"), h or "", t[:16].encode()) for t, h in zip(lines, headers, strict=True)])
+        return pd.Series([document_package(t.split("\n"), h or "") for t, h in zip(lines, headers, strict=True)])
 
     return texts.select("package_id", build("text", "header").alias("content"))
 
 
-def with_header(packages: DataFrame, header: str) -> DataFrame:
-    """Packages (package_id, content) with another header part, all else as it was."""
+def damaged(packages: DataFrame, damage: Column) -> DataFrame:
+    """Packages (package_id, content) with what a column says done to them: no-zip, no-comments, cut-document, or null for nothing."""
+
+    @F.pandas_udf("binary")
+    def hurt(contents: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([_damaged(raw, kind) for raw, kind in zip(contents, kinds, strict=True)])
+
+    return packages.select("package_id", hurt("content", damage).alias("content"))
+
+
+def _damaged(content: bytes, kind: str | None) -> bytes:
+    if kind is None:
+        return content
+    if kind == "no-zip":
+        return content[: len(content) // 2]
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        parts = {name: archive.read(name) for name in archive.namelist()}
+    if kind == "no-comments":
+        return write_package({name: raw for name, raw in parts.items() if name != "word/comments.xml"})
+    return write_package(parts | {"word/document.xml": parts["word/document.xml"][: len(parts["word/document.xml"]) // 2]})
+
+
+def with_header(packages: DataFrame, header: Column) -> DataFrame:
+    """Packages (package_id, content) with another header part, all else as it was; a null header changes nothing."""
 
     @F.pandas_udf("binary")
-    def patch(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda raw: patch_package(raw, {"word/header1.xml": header.encode()}))
+    def patch(contents: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([patch_package(raw, {"word/header1.xml": h.encode()} if h is not None else {}) for raw, h in zip(contents, headers, strict=True)])
 
-    return packages.select("package_id", patch("content").alias("content"))
+    return packages.select("package_id", patch("content", header).alias("content"))

@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -40,12 +42,45 @@ def remove_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: a lost executor costs a file read, not the work before it."""
+    path = scratch(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, path: str) -> DataFrame:
     """Writes a new version folder, which must not exist; Spark's committer makes it appear whole."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def published(df: DataFrame, path: str) -> bool:
+    """Publishes a version unless there is one; says whether it did."""
+    try:
+        publish(df, path)
+    except AnalysisException as there:
+        if there.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        return False
+    return True
+
+
+def latest_version(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The newest whole version (``v1``, ``v2``, ...) below a path, and its number; the frame stays with that version."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    number = max(int(s.getPath().getName()[1:]) for s in system.listStatus(folder) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    return spark.read.parquet(f"{path}/v{number}"), number
+
+
+def walked(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder tree: folder, name, kind (by the name's end), length; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    kind = F.when(F.col("name").rlike(r"\.(xml|rels)$"), "xml").when(F.col("name").rlike(r"\.(png|jpe?g|gif|emf)$"), "media").when(F.col("name").rlike(r"\.(txt|md|json|jsonl)$"), "text").otherwise("other")
+    return files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length").withColumn("kind", kind)
+
+
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An append-only file of JSON lines; lines that are torn or malformed are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
 from foliolake.sources.shared import scratch
 
-STATES = "client_id long, status string, events long, updated_at timestamp"
-
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Event files as a stream; the path is a glob, which may match files or folders."""
@@ -21,25 +16,13 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def last_states(events: DataFrame) -> DataFrame:
     """Each client's last status and number of events, updated as events come; late ones don't take it back."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, n, at, last_id = state.get if state.exists else (None, 0, None, -1)
-        for batch in batches:
-            n += len(batch)
-            for row in batch.itertuples(index=False):
-                seen = (row.created_at.value, row.event_id)
-                if at is None or seen > (at, last_id):
-                    status, at, last_id = row.status, *seen
-        state.update((status, n, at, last_id))
-        yield pd.DataFrame({"client_id": [key[0]], "status": [status], "events": [n], "updated_at": [pd.Timestamp(at)]})
-
-    rows = events.select("client_id", "event_id", "created_at", "status")
-    return rows.groupBy("client_id").applyInPandasWithState(follow, STATES, "status string, n long, at long, last_id long", "update", GroupStateTimeout.NoTimeout)
+    last = F.max_by("status", F.struct("created_at", "event_id"))
+    return events.groupBy("client_id").agg(last.alias("status"), F.count("*").alias("events"), F.max("created_at").alias("updated_at"))
 
 
-def first_operations(events: DataFrame, operation: str) -> DataFrame:
-    """Only the first event of each operation passes."""
-    return events.dropDuplicates([operation])
+def first_operations(events: DataFrame, operation: str, at: str = "created_at", delay: str = "30 days") -> DataFrame:
+    """Only the first event of each operation passes; ids are forgotten once no event that late is waited for."""
+    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([operation])
 
 
 def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
