@@ -29,14 +29,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolake.llm.storage import shuffle_width, table, written
+from foliolake.llm.storage import table, written
+from foliolake.operators.ranking import ranked
 
 FANOUT = 16
 RECORDS_PER_FILE = 4096
 #: Bits of rot, cuts and losses in the replica that the registered query audits: by the first hex digits of a digest of the record's name.
 ROTTEN, CUT, LOST = "00", "01", "02"
-#: Records of a range when pages are ordered, at least as many ranges as the session's shuffles have.
-RECORDS_PER_RANGE = 1 << 20
 #: Bytes of the longest record that is read as one; and of a record's head.
 MOST_RECORD, MOST_HEAD = 256 << 20, 1 << 20
 _CHUNK, _BATCH = 1 << 18, 16 << 20
@@ -193,24 +192,6 @@ def render(page_id: Column, url: Column, page: Column) -> Column:
     return F.concat(head, page, F.lit("\r\n\r\n"))
 
 
-def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows``, written, with their ``rank`` from 0 in the order of some columns, nulls first.
-
-    Ranges are sorted side by side; a row's rank is its place in its range and
-    the number of rows in the ranges before, which is one small row for each
-    range. Equal rows are told apart by where they stand, so they split too.
-    """
-    ranges = max(shuffle_width(rows.sparkSession), -(-rows.count() // RECORDS_PER_RANGE))
-    placed = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "_place").sortWithinPartitions(*order, "_place")
-    # within a range, monotonically increasing ids count on from the range's number in the upper 31 bits
-    at = written(placed.drop("_place").withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    sizes = at.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = sizes.select("_range", before.alias("_before"))
-    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return at.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(firsts), "_range").withColumn("rank", rank).drop("_range", "_at", "_before")
-
-
 def manifest(records: DataFrame) -> DataFrame:
     """Leaves of records (rank, record_length and any more columns): file, leaf, record_offset besides."""
     filed = records.withColumns({"file": F.floor(F.col("rank") / RECORDS_PER_FILE), "leaf": F.col("rank") % RECORDS_PER_FILE}).drop("rank")
