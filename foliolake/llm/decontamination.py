@@ -13,7 +13,7 @@ postings of the items' terms. In a segment the postings of a phrase are
 intersected, shifted by their offsets, from its rarest term there on, until no
 place is left. What a segment gets is bounded by its documents and by the items
 that may occur in it, each once; neither a frequent word nor a passage that many
-documents share gathers in one task, and nothing is broadcast.
+documents share gathers in one task.
 
 A phrase occurs at a base place b of a document if each of its terms stands there
 at most ``slack`` places from b plus its offset, inside the document. Words are
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm.storage import filled, restored, table, written
+from foliolake.llm.storage import BROADCAST_IDS, filled, restored, small_side, table, written
 
 WINDOW = 10
 #: Upper case becomes lower case; what is no part of a word becomes a space.
@@ -209,15 +209,19 @@ def _search(postings: pd.DataFrame, items: pd.DataFrame, window: int, slack: int
     return Segment(postings).hits(items.assign(item=[None if pd.isna(i) else i for i in items["item"]]), window, slack)
 
 
-def _asked(items: DataFrame, postings: DataFrame, window: int) -> DataFrame:
-    """in_segment, item, terms: an item for each segment that holds the rarest term of one of its phrases."""
-    frequency = postings.groupBy("term").agg(F.sum("n").alias("df"))
+def _asked(items: DataFrame, postings: DataFrame, window: int, limit: int = BROADCAST_IDS) -> DataFrame:
+    """in_segment, item, terms: an item for each segment that holds the rarest term of one of its phrases.
+
+    What is known of terms is counted and broadcast up to ``limit`` rows, so that
+    a frequent word doesn't gather its phrases in one task; beyond, it is shuffled.
+    """
+    frequency = small_side(postings.groupBy("term").agg(F.sum("n").alias("df")), "frequency", limit)
     offsets = F.sequence(F.lit(0), F.greatest(F.size("terms") - window, F.lit(0)))
     cut = items.select("number", F.posexplode(F.transform(offsets, lambda k: F.slice("terms", k + 1, F.lit(window)))).alias("phrase", "terms"))
     ranked = cut.select("number", "phrase", F.explode("terms").alias("term")).join(frequency, "term", "left")
     # a term without postings has no frequency, and a phrase with such a term is nowhere
     rarest = ranked.groupBy("number", "phrase").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_and(F.col("df").isNotNull()).alias("known"))
-    routed = rarest.filter("known").select("number", "term").distinct()
+    routed = small_side(rarest.filter("known").select("number", "term").distinct(), "routed", limit)
     where = postings.select("segment", "term").join(routed, "term").select(F.col("segment").alias("in_segment"), "number").distinct()
     return where.join(items, "number").select("in_segment", "item", "terms")
 

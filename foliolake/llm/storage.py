@@ -69,12 +69,17 @@ def keyed(rows: DataFrame) -> tuple[DataFrame, str]:
 BROADCAST_IDS = 2_000_000
 
 
+def small_side(rows: DataFrame, purpose: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``rows`` (of a few longs each), written and counted: broadcast in joins up to ``limit`` rows, shuffled beyond."""
+    found = written(rows, purpose)
+    return F.broadcast(found) if found.count() <= limit else found
+
+
 def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
     """The rows whose id isn't among ``ids`` (one column); a null id is an id like any other.
 
     Ids are few beside rows with whole texts. They are written and counted first,
     and the texts are left where they are unless there are too many ids.
     """
-    gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("gone")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= limit else gone
-    return rows.join(side, rows[column].cast("long").eqNullSafe(side["gone"]), "left_anti")
+    gone = small_side(ids.select(F.col(ids.columns[0]).cast("long").alias("gone")).distinct(), "gone", limit)
+    return rows.join(gone, rows[column].cast("long").eqNullSafe(gone["gone"]), "left_anti")

@@ -97,6 +97,7 @@ def test_an_item_is_sent_to_a_segment_once(spark):
     items = op.item_terms(spark.createDataFrame([(1, "rare0 one two three four five six seven eight nine ten eleven rare0"), (2, "rare7 one two")], "item_id long, text string"))
     postings = op.build_index(docs, segment_words=13).filter("term is not null").select("segment", "term", "n")
     asked = op._asked(items, postings, op.WINDOW).collect()
+    assert sorted(map(repr, asked)) == sorted(map(repr, op._asked(items, postings, op.WINDOW, limit=0).collect()))
     assert len(asked) == len({(r.in_segment, r.item) for r in asked}) == 9 and {r.item for r in asked} == {"1"}
 
 
