@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliolake.operators import audit, compare, edits, inventory, review, tables
 from foliolake.plans import joins
-from foliolake.sources import bindings, shared
+from foliolake.sources import bindings, docx, shared, word
 
 PK = ["package_id", "idx"]
 
@@ -147,3 +147,52 @@ class Corpus:
     def publish(self, rows: DataFrame, path: str) -> DataFrame:
         """Writes a new version, which must not exist, and returns it for reading."""
         return shared.publish(rows, path)
+
+
+class PackageCorpus(Corpus):
+    """The same over a folder tree of Word packages. Review events, decisions and catalogs aren't in packages.
+
+    Packages are read once; their items are kept in the shared folder. What can't
+    be read is in ``errors``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        self.packages = docx.read_packages(spark, folder)
+        members = docx.members(self.packages)
+        self.errors = members.filter("error is not null").select("package_id", "error")
+        self.members = members.filter("error is null")
+        self.items = shared.written(word.items(self.members), "items")
+
+    def _of(self, relation) -> DataFrame:
+        found = {
+            "packages": lambda: self.packages.select("package_id", F.sha2("content", 256).alias("source_sha256")),
+            "paragraphs": lambda: word.paragraphs(self.items),
+            "segments": lambda: word.segments(self.items),
+            "leaves": lambda: word.segments(self.items),
+            "revisions": lambda: word.revisions(self.items),
+            "cell_rows": self._cell_rows,
+        }
+        if relation.__name__ not in found:
+            raise ValueError(f"packages have no {relation.__name__}")
+        return found[relation.__name__]()
+
+    def _cell_rows(self) -> DataFrame:
+        cells = word.cells(word.paragraphs(self.items)).withColumn("table_index", F.concat_ws("/T", "package_id", "table_index"))
+        rows = F.sort_array(F.collect_list(F.struct("col_index", "text")))
+        return cells.groupBy("table_index", "row_index").agg(F.transform(rows, lambda r: r["text"]).alias("cells"))
+
+    def enumerate(self) -> DataFrame:
+        return word.paragraphs(self.items).select("package_id", "part", "idx", "paragraph_id", "leaf_count", "opaque_count", "editable")
+
+    def text_views(self) -> DataFrame:
+        return inventory.views(word.segments(self.items), separator="")
+
+    def list_comments(self) -> DataFrame:
+        anchors = word.comment_anchors(self.items).groupBy("package_id", "id").agg(F.count("*").alias("anchors"))
+        both = docx.comment_entries(self.members).join(anchors, ["package_id", "id"], "full_outer")
+        return both.select("package_id", "id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("author", "text")], F.coalesce("anchors", F.lit(0)).alias("anchors"))
+
+    def settled_items(self, accept: bool) -> DataFrame:
+        """Items after all revisions are settled, anchors kept."""
+        return word.settle(self.items, accept)

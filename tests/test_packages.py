@@ -123,6 +123,27 @@ def test_typed_text_round_trip_and_errors(spark):
     assert typed.parse(spark.createDataFrame(list(enumerate(bad)), "package_id long, typed string")).filter("error is not null").count() == 4
 
 
+def test_a_folder_of_packages_is_a_corpus(spark, tmp_path):
+    from foliolake.corpus import PackageCorpus
+
+    lines = [f"line {k} has some words" for k in range(12)]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.docx").write_bytes(docx.document_package(lines, "one"))
+    (tmp_path / "deep" / "b.docx").write_bytes(docx.document_package(lines[:5], "two"))
+    (tmp_path / "c.docx").write_bytes(b"broken")
+    corpus = PackageCorpus(spark, str(tmp_path))
+    assert corpus.errors.count() == 1 and corpus.enumerate().filter("not editable").count() == 3
+    views = {(r.original, r.final) for r in corpus.text_views().collect()}
+    assert ("line4 has some words", "line4") not in views and ("linehas some words", "line4") in views
+    assert corpus.revisions().filter("reason is null").count() == 6 and corpus.list_comments().filter("anchors = 3").count() == 2
+    assert {tuple(r.cells) for r in corpus.table_insert_col(0).collect()} == {("line", "", "1 has some words"), ("line", "", "7 has some words")}
+    edited = corpus.replace_text("line 0 has", "first has").cache()
+    assert [(r.old, r.new) for r in corpus.diff_preview(edited).collect()] == [("line 0", "first"), ("line 0", "first")]
+    assert corpus.decide_all(True).filter("kind is not null").count() == 0 and corpus.settled_items(True).filter("item = 'bookmark-start'").count() == 3
+    with pytest.raises(ValueError):
+        corpus.review_inbox()
+
+
 # diffs, clusters, offsets, ranks
 
 
