@@ -153,8 +153,9 @@ def a22(spark, d):
 @query("a27_median_p95", "SELECT type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, count(value) AS runs FROM review_event GROUP BY type")
 def a27(spark, d):
     rows = b.review_events(spark, d).select("type", "value")
-    runs = rows.groupBy("type").agg(F.count("value").alias("runs"))
-    return ranking.percentiles(rows, "type", "value", {"median": 0.5, "p95": 0.95}).join(runs, "type")
+    runs = rows.groupBy(F.col("type").alias("kind")).agg(F.count("value").alias("runs"))
+    found = ranking.percentiles(rows, "type", "value", {"median": 0.5, "p95": 0.95})
+    return runs.join(found, F.col("kind").eqNullSafe(F.col("type")), "left").select(F.col("kind").alias("type"), "median", "p95", "runs")
 
 
 @query("w8_latest_draft", """SELECT client_id, paragraph_id, event_id, created_at AS updated_at, first_created_at FROM (SELECT *, min(created_at) OVER p AS first_created_at, row_number() OVER (PARTITION BY client_id, paragraph_id ORDER BY created_at DESC, event_id DESC) AS r
