@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import keys
-from foliolake.operators import audit, compare, edits, inventory, ranking, review, tables
+from foliolake.operators import audit, compare, edits, inventory, qualification, ranking, review, tables
 from foliolake.plans.joins import OUTPUT, output_manifest
 from foliolake.plans.registry import query
 from foliolake.sources import bindings as b
@@ -417,12 +417,34 @@ def v14(spark, d):
     return compare.manifest_diff(b.packages(spark, d), output_manifest(spark, d), "package_id", "source_sha256").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("v15_capability_audit", """SELECT 'part-without-supplier' AS problem, count(*) AS n FROM (SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem))
-UNION ALL SELECT 'supplier-without-nation', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'nation-without-customer', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)""")
+_MAP = """manifest AS (SELECT c_custkey AS capability, CASE c_mktsegment WHEN 'FURNITURE' THEN 'supported-with-guard' WHEN 'AUTOMOBILE' THEN 'unsupported-by-design' WHEN 'HOUSEHOLD' THEN 'planned' ELSE 'supported' END AS state FROM customer WHERE c_custkey % 41 <> 6),
+mapped AS (SELECT c_custkey AS capability, CASE WHEN c_custkey % 13 = 5 THEN 'retired' WHEN c_mktsegment = 'FURNITURE' THEN 'supported-with-guard' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'unsupported-by-design' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'planned' ELSE 'supported' END AS state FROM customer WHERE c_custkey % 17 <> 3),
+referenced AS (SELECT o_custkey AS capability, o_orderkey AS kase FROM orders WHERE o_orderkey % 19 <> 2 UNION ALL SELECT o_custkey + 1, o_orderkey FROM orders WHERE o_orderkey % 31 = 4),
+cases AS (SELECT o_orderkey AS kase, o_custkey + CAST(o_orderkey % 29 = 0 AS INT) AS declared, CASE left(o_orderpriority, 1) WHEN '1' THEN 'task' WHEN '2' THEN 'agent' WHEN '3' THEN 'matrix' WHEN '4' THEN 'metamorphic' ELSE 'other' END AS kind,
+    CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'guard-refused' ELSE 'stable-negative' END AS probe FROM orders WHERE o_orderkey % 23 <> 7)"""
+
+
+@query("v15_capability_audit", f"""WITH {_MAP}, u AS (SELECT kase, count(DISTINCT capability) AS users, min(capability) AS usr FROM referenced GROUP BY kase),
+proof AS (SELECT r.capability, count(*) AS n, count(*) FILTER (probe = 'positive') AS allowed, count(*) FILTER (probe IN ('guard-refused', 'stable-negative')) AS refused, count(*) FILTER (probe = 'stable-negative') AS negative FROM referenced r LEFT JOIN cases USING (kase) GROUP BY r.capability)
+SELECT 'case-of-several' AS problem, CAST(kase AS VARCHAR) AS subject FROM u WHERE users > 1 UNION ALL SELECT 'case-not-declared', CAST(kase AS VARCHAR) FROM u WHERE kase NOT IN (SELECT kase FROM cases)
+UNION ALL SELECT 'case-not-referenced', CAST(kase AS VARCHAR) FROM cases WHERE kase NOT IN (SELECT kase FROM u) UNION ALL SELECT 'case-of-another', CAST(kase AS VARCHAR) FROM u JOIN cases USING (kase) WHERE users = 1 AND usr <> declared
+UNION ALL SELECT 'unknown-kind', CAST(kase AS VARCHAR) FROM u JOIN cases USING (kase) WHERE kind = 'other' UNION ALL SELECT 'unknown-state', CAST(capability AS VARCHAR) FROM manifest WHERE state = 'planned'
+UNION ALL SELECT 'missing-from-map', CAST(capability AS VARCHAR) FROM manifest WHERE capability NOT IN (SELECT capability FROM mapped) UNION ALL SELECT 'not-in-manifest', CAST(capability AS VARCHAR) FROM mapped WHERE capability NOT IN (SELECT capability FROM manifest)
+UNION ALL SELECT 'state-differs', CAST(m.capability AS VARCHAR) FROM manifest m JOIN mapped p ON m.capability = p.capability WHERE m.state <> p.state
+UNION ALL SELECT unnest(list_filter([CASE WHEN n IS NULL THEN 'empty-case-set' END, CASE WHEN m.state = 'unsupported-by-design' AND coalesce(negative, 0) = 0 THEN 'no-negative-case' END, CASE WHEN m.state = 'supported-with-guard' AND (coalesce(allowed, 0) = 0 OR coalesce(refused, 0) = 0) THEN 'one-sided-guard' END], lambda x: x IS NOT NULL)),
+CAST(m.capability AS VARCHAR) FROM manifest m JOIN mapped p ON m.capability = p.capability LEFT JOIN proof ON proof.capability = m.capability""")
 def v15(spark, d):
-    t = lambda name: b.read(spark, d, name)
-    checks = [("part-without-supplier", "part", "lineitem", "p_partkey", "l_partkey"), ("supplier-without-nation", "supplier", "nation", "s_nationkey", "n_nationkey"), ("nation-without-customer", "nation", "customer", "n_nationkey", "c_nationkey")]
-    found = [t(child).join(t(parent).select(F.col(q).alias(p)).distinct(), p, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n") for name, child, parent, p, q in checks]
-    return compare.problems(*found)
+    """Customers are capabilities, orders their cases; some are left out, named twice or in another state."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    state = F.when(segment == "FURNITURE", "supported-with-guard").when(segment == "AUTOMOBILE", "unsupported-by-design").when(segment == "HOUSEHOLD", "planned").otherwise("supported")
+    capabilities = b.read(spark, d, "customer").select(key.alias("capability"), state.alias("state"))
+    manifest = capabilities.filter("capability % 41 <> 6")
+    mapped = capabilities.filter("capability % 17 <> 3").withColumn("state", F.when(F.col("capability") % 13 == 5, "retired").otherwise(F.col("state")))
+    orders = b.read(spark, d, "orders").withColumn("case", F.col("o_orderkey"))
+    referenced = orders.filter("case % 19 <> 2").select(F.col("o_custkey").alias("capability"), "case").unionByName(orders.filter("case % 31 = 4").select((F.col("o_custkey") + 1).alias("capability"), "case"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in zip("1234", qualification.KINDS, strict=True) for x in pair]), F.left("o_orderpriority", F.lit(1)))
+    probe = F.when(F.col("o_orderstatus") == "F", "positive").when(F.col("o_orderstatus") == "O", "guard-refused").otherwise("stable-negative")
+    cases = orders.filter("case % 23 <> 7").select("case", (F.col("o_custkey") + (F.col("case") % 29 == 0).cast("int")).alias("capability"), F.coalesce(kind, F.lit("other")).alias("kind"), probe.alias("probe"))
+    return qualification.capability_audit(manifest, mapped, referenced, cases)
 
 

@@ -179,3 +179,27 @@ def test_catalog_refuses_another_digest(spark):
     assert bindings.checked_catalog(spark).count() == len(bindings.CATALOG)
     with pytest.raises(ValueError):
         bindings.checked_catalog(spark, "0" * 64)
+
+
+def test_capability_audit_finds_each_problem(spark):
+    from foliolake.operators import qualification
+
+    manifest = spark.createDataFrame([("a", "supported"), ("b", "supported-with-guard"), ("c", "unsupported-by-design"), ("d", "someday"), ("e", "supported"), ("f", "supported")], "capability string, state string")
+    mapped = spark.createDataFrame([("a", "supported"), ("b", "supported-with-guard"), ("c", "unsupported-by-design"), ("e", "retired"), ("f", "supported"), ("z", "supported")], "capability string, state string")
+    referenced = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("e", "4"), ("a", "4"), ("e", "5"), ("e", "6"), ("e", "8")], "capability string, case string")
+    cases = spark.createDataFrame(
+        [("1", "a", "task", "positive"), ("2", "b", "matrix", "positive"), ("3", "c", "matrix", "positive"), ("4", "e", "task", "positive"), ("5", "a", "task", "positive"), ("6", "e", "other", None), ("7", "a", None, None)],
+        "case string, capability string, kind string, probe string",
+    )
+    found = {tuple(r) for r in qualification.capability_audit(manifest, mapped, referenced, cases).collect()}
+    assert found == {
+        ("one-sided-guard", "b"), ("no-negative-case", "c"), ("unknown-state", "d"), ("missing-from-map", "d"), ("state-differs", "e"), ("empty-case-set", "f"), ("not-in-manifest", "z"),
+        ("case-of-several", "4"), ("case-of-another", "5"), ("unknown-kind", "6"), ("case-not-referenced", "7"), ("case-not-declared", "8"),
+    }
+
+
+def test_percentiles_keep_the_group_without_a_name(spark, tmp_path):
+    from foliolake.operators import ranking
+
+    frame = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 2.0), ("x", None)], "g string, v double")
+    assert {r.g: r.m for r in ranking.percentiles(frame, "g", "v", {"m": 0.5}).collect()} == {None: 1.0, "x": 2.0}
