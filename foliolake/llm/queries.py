@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolake.llm import decontamination, quality_rules, warc_fixity
+from foliolake.llm import decontamination, exact_dedup, quality_rules, warc_fixity
 from foliolake.llm.decontamination import op8_decontamination
+from foliolake.llm.exact_dedup import op11_exact_dedup
 from foliolake.llm.html_extract import op9_html_extract
 from foliolake.llm.packing import op3_best_fit_packing
 from foliolake.llm.quality_classifier import op5_quality_classifier
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extract": op9_html_extract,
     "op10_token_files": op10_token_files,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_fixity": warc_fixity.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
 }

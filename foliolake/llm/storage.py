@@ -83,3 +83,23 @@ def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id", limit:
     """
     gone = small_side(ids.select(F.col(ids.columns[0]).cast("long").alias("gone")).distinct(), "gone", limit)
     return rows.join(gone, rows[column].cast("long").eqNullSafe(gone["gone"]), "left_anti")
+
+
+#: Keys with this share of all rows, or more, are looked up in a broadcast table; there can't be more of them than HOT_KEYS.
+HOT_KEYS = 100_000
+HOT_LEAST = 1000
+
+
+def looked_up(rows: DataFrame, named: DataFrame, keys: list[str], hot_keys: int = HOT_KEYS, least: int = HOT_LEAST) -> DataFrame:
+    """``rows`` with what ``named`` says of their keys: it has one row for each key, and in ``n`` how many rows have the key.
+
+    Pass written tables, as both are read twice. Keys are never null. A key that
+    holds at least a ``hot_keys``-th of all rows is broadcast, and at most
+    ``hot_keys`` of them exist; the rest meet by a shuffle in which no key has
+    more rows than that, so that no task depends on how rows are spread.
+    """
+    total = named.agg(F.sum("n")).first()[0] or 0
+    bound = max(least, -(-total // hot_keys))
+    hot = F.broadcast(named.filter(F.col("n") >= bound))
+    rest = rows.join(F.broadcast(named.filter(F.col("n") >= bound).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(named.filter(F.col("n") < bound), keys))
