@@ -11,6 +11,7 @@ from foliolake.llm.decontamination import op8_decontamination
 from foliolake.llm.exact_dedup import op11_exact_dedup
 from foliolake.llm.html_extract import op9_html_extract
 from foliolake.llm.packing import op3_best_fit_packing
+from foliolake.llm.periodic_runs import op13_periodic_runs
 from foliolake.llm.quality_classifier import op5_quality_classifier
 from foliolake.llm.quality_rules import op4_quality_rules
 from foliolake.llm.secret_scan import op6_secret_scan
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_token_files": op10_token_files,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
