@@ -206,16 +206,12 @@ def repeated(text: Column, doc_id: Column) -> Column:
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-
-    def over(w: Column) -> Column:
-        n = F.size(w).cast("long")
-        first = g % n
-        period = 1 + F.floor((n - first) / (3 + g % 8))
-        of = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
-        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, of(i).cast("int"))), " "))
-
-    # the words are a variable of the outer function, as they would be split again for each word
-    return F.when((h % 10 == 0) & text.isNotNull(), F.coalesce(F.transform(F.array(words), over)[0], F.lit(""))).otherwise(text)
+    n = F.size(words)
+    first = (g % n).cast("int")
+    period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
+    passage = F.array_repeat(F.slice(words, first + 1, period), F.ceil((n - first) / period).cast("int"))
+    over = F.slice(F.concat(F.slice(words, F.lit(1), first), F.flatten(passage)), F.lit(1), n)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(over, " ")).otherwise(text)
 
 
 def periodic_runs(docs: DataFrame, periods: int = PERIODS, least: int = LEAST, digest: bool = False) -> DataFrame:
