@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolake.llm import decontamination, exact_dedup, quality_rules, warc_fixity
+from foliolake.llm import decontamination, exact_dedup, manifest, quality_rules, warc_fixity
 from foliolake.llm.decontamination import op8_decontamination
 from foliolake.llm.exact_dedup import op11_exact_dedup
 from foliolake.llm.html_extract import op9_html_extract
+from foliolake.llm.manifest import op12_merkle_manifest
 from foliolake.llm.packing import op3_best_fit_packing
 from foliolake.llm.periodic_runs import op13_periodic_runs
 from foliolake.llm.quality_classifier import op5_quality_classifier
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_token_files": op10_token_files,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_merkle_manifest": manifest.ORACLE_SQL,
 }
