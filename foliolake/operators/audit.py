@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions.keys import sha
-from foliolake.functions.text import codepoint, context
+from foliolake.functions.text import codepoint, context, word_starts
 
 PK = ["package_id", "idx"]
 RISKY = ("ambiguous", "manual", "unsupported")
@@ -19,9 +19,8 @@ def candidates(paragraphs: DataFrame, catalog: DataFrame, pattern: str) -> DataF
     them gives their offsets by a running sum over the pieces, inside the row;
     only what is found is then dealt by package, to be numbered.
     """
-    start = F.struct(F.array().cast("array<int>").alias("offsets"), F.lit(0).alias("at"))
-    add = lambda acc, piece: F.struct(F.array_append(acc["offsets"], acc["at"] + F.length(piece)).alias("offsets"), (acc["at"] + F.length(piece) + 1).alias("at"))
-    offsets = F.aggregate(F.split("text", pattern), start, add, lambda acc: acc["offsets"])
+    starts = word_starts(F.split("text", pattern))
+    offsets = F.transform(F.slice(starts, 2, F.size(starts)), lambda at: at - 1)
     hits = F.arrays_zip(offsets.alias("offset"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("source"))
     found = paragraphs.filter(F.col("text").rlike(pattern)).select("package_id", "idx", "paragraph_id", "text", F.posexplode(hits).alias("n", "hit")).filter("hit.source is not null")
     offset = F.col("hit.offset")

@@ -15,7 +15,7 @@ PROFILES = {
 
 
 def dimensions(profile: dict[str, float]) -> list[tuple[str, Column, float]]:
-    """(dimension, actual, limit) of package statistics, with missing_targets beside those of ``docx.package_stats``."""
+    """(dimension, actual, limit) of package statistics, with missing_targets and cycles (``docx.broken_links``) beside those of ``docx.package_stats``."""
     col = F.col
     return [
         ("docx-package-bytes", col("package_bytes"), profile["docx_package_mib"] * MIB),
@@ -26,7 +26,7 @@ def dimensions(profile: dict[str, float]) -> list[tuple[str, Column, float]]:
         ("xml-nesting-depth", col("xml_nesting_depth"), profile["xml_nesting_depth"]),
         ("compression-ratio", (col("total_bytes") / F.greatest("package_bytes", F.lit(1))).cast("long"), profile["compression_ratio_max"]),
         ("duplicate-entries", col("duplicate_entries"), 0),
-        ("relationship-cycle", col("missing_targets"), 0),
+        ("relationship-cycle", col("missing_targets") + col("cycles"), 0),
     ]
 
 

@@ -60,7 +60,8 @@ _BLOCKS = f"""CASE c WHEN 0 THEN concat('<w:p>', {_run("text")}, '</w:p>') WHEN
     ELSE concat('<w:p><w:commentRangeStart w:id="', idx, '"/>', {_run("text")}, '<w:commentRangeEnd w:id="', idx, '"/><w:r><w:commentReference w:id="', idx, '"/></w:r></w:p>') END"""
 _NOTE = f"""concat('<w:comment w:id="', idx, '" w:author="', source, '" w:date="2020-01-01T00:00:00Z"><w:p w14:paraId="', printf('%08X', idx), '">', {_run("concat('note ', idx)")}, '</w:p></w:comment>')"""
 _EXTRA = """concat('<w15:commentEx w15:paraId="', printf('%08X', idx), '" w15:done="', idx % 2, '"/>')"""
-_RELS = '<Relationships><Relationship Id="rId1" Type="image" Target="media/image1.png"/><Relationship Id="rId2" Type="hyperlink" Target="https://example.org/"/></Relationships>'
+_TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
+_RELS = f'<Relationships><Relationship Id="rId1" Type="{_TYPES}image" Target="media/image1.png"/><Relationship Id="rId2" Type="{_TYPES}hyperlink" Target="https://example.org/" TargetMode="External"/></Relationships>'
 
 #: The packages that ``docx.packages_from_texts`` makes of documents: lines with their words and ordinals, items in order, members.
 VIEWS |= {

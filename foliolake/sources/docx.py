@@ -14,24 +14,27 @@ import hashlib
 import io
 import re
 import zipfile
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from xml.sax.saxutils import escape, quoteattr, unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMBERS = "package_id long, part_path string, bytes long, sha256 string, content binary, error string"
+from foliolake.functions.text import resolve_target, xml_unescape
+from foliolake.sources.xmlscan import Tags, scan, tree
+
+MEMBERS = "package_id long, part_path string, part_no long, bytes long, sha256 string, content binary, error string"
 TAGS = "package_id long, part_path string, idx long, name string, start long, end long, closing boolean, self_closing boolean"
 ELEMENTS = "package_id long, part_path string, idx long, parent_idx long, depth long, name string, error string"
 LEAVES = "package_id long, part string, paragraph_id string, paragraph_order long, leaf long, text string, revision string, opaque boolean"
 REVISION = "struct<kind:string,w_id:string,author:string,date:string>"
-ITEMS = f"package_id long, part string, paragraph_id string, paragraph_order long, position long, item string, text string, style string, ref string, revisions array<{REVISION}>"
+ITEMS = f"package_id long, part string, part_no long, paragraph_id string, paragraph_order long, position long, item string, text string, style string, ref string, revisions array<{REVISION}>"
 COMMENTS = "package_id long, id string, author string, date string, text string, para_id string"
 STATS = "package_id long, package_bytes long, zip_parts long, duplicate_entries long, total_bytes long, uncompressed_xml_bytes long, max_part_bytes long, max_text_node_bytes long, xml_nesting_depth long, valid boolean"
 
-_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>|<(/?)([^\s/>!?]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _REVISIONS = {"ins": "insert", "del": "delete", "moveFrom": "move_from", "moveTo": "move_to"}
 _OPAQUE = frozenset("drawing pict object fldSimple oMath sym".split())
 _PROSE_PART = re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml")
@@ -40,36 +43,6 @@ _ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*("[^"]*"|'[^']*')""")
 _NAMED = {"&quot;": '"', "&apos;": "'"}
 
 
-@dataclass
-class Tag:
-    name: str
-    start: int
-    end: int
-    closing: bool
-    self_closing: bool
-    attributes: str
-
-
-def scan_tags(xml: str) -> list[Tag]:
-    """The tags of an XML text with their places; comments, CDATA, instructions and doctypes are no tags."""
-    return [Tag(m[2].rpartition(":")[2], m.start(), m.end(), bool(m[1]), bool(m[4]), m[3]) for m in _TOKEN.finditer(xml) if m[2]]
-
-
-def build_tree(tags: list[Tag]) -> tuple[list[tuple[int, int | None, int, str]], str | None]:
-    """(idx, parent_idx, depth, name) of each element, and what makes the text ill-formed, if anything."""
-    out, stack = [], []
-    for idx, tag in enumerate(tags):
-        if tag.closing:
-            if not stack or out[stack[-1]][3] != tag.name:
-                return out, f"unexpected </{tag.name}>"
-            stack.pop()
-            continue
-        out.append((idx, out[stack[-1]][0] if stack else None, len(stack), tag.name))
-        if not tag.self_closing:
-            stack.append(len(out) - 1)
-    return out, f"<{out[stack[-1]][3]}> isn't closed" if stack else None
-
-
 @dataclass
 class _Scope:
     """A place that numbers what is inside it."""
@@ -86,7 +59,7 @@ class _Open:
     name: str
     scope: _Scope | None = None
     paragraph: tuple[str, int] | None = None
-    revision: tuple[str, str, str, str] | None = None
+    around: tuple[tuple[str, str, str, str], ...] = ()
     link: str | None = None
     style: str = ""
 
@@ -109,30 +82,36 @@ def attributes_of(raw: str) -> dict[str, str]:
     return {m[1].rpartition(":")[2]: unescape(m[2][1:-1], _NAMED) for m in _ATTRIBUTE.finditer(raw)}
 
 
-def canonical_properties(tags: list[Tag]) -> str:
-    """The spelling of a run's properties that doesn't depend on prefixes, attribute order or recorded changes."""
+def canonical_properties(tags: Tags, first: int, last: int) -> str:
+    """The spelling of a run's properties (tags ``first`` to ``last``) that doesn't depend on prefixes, attribute order or recorded changes."""
     out, skipped = [], 0
-    for tag in tags:
-        if tag.name == "rPrChange":
-            skipped += 0 if tag.self_closing else -1 if tag.closing else 1
+    for k in range(first, last):
+        name, closing, empty = tags.names[k], tags.closing[k], tags.empty[k]
+        if name == "rPrChange":
+            skipped += 0 if empty else -1 if closing else 1
         elif not skipped:
-            attributes = "".join(f" {k}={v}" for k, v in sorted(attributes_of(tag.attributes).items()))
-            out.append(f"/{tag.name}" if tag.closing else f"{tag.name}{attributes}" + "/" * tag.self_closing)
+            attributes = "".join(f" {a}={v}" for a, v in sorted(attributes_of(tags.attributes(k)).items()))
+            out.append(f"/{name}" if closing else f"{name}{attributes}" + "/" * bool(empty))
     return ";".join(out)
 
 
-def _revision(tag: Tag) -> tuple[str, str, str, str]:
-    at = attributes_of(tag.attributes)
-    return _REVISIONS[tag.name], at.get("id", ""), at.get("author", ""), at.get("date", "")
+def _revision(name: str, attributes: str) -> tuple[str, str, str, str]:
+    at = attributes_of(attributes)
+    return _REVISIONS[name], at.get("id", ""), at.get("author", ""), at.get("date", "")
 
 
-def items_of(xml: str, part: str) -> list[Item]:
+def _bytes(xml: str | bytes) -> bytes:
+    return xml.encode() if isinstance(xml, str) else xml
+
+
+def items_of(xml: str | bytes, part: str) -> list[Item]:
     """The items of a part's paragraphs, in order.
 
     Ids: ``P0`` in the body, ``T0.R1.C2.P0`` in a cell, ``B0.P0`` in a text box,
     ``S0.P0`` in a content control; other parts put their name before. Revisions
     are those around the item, outermost first. An anchor between paragraphs has
-    no paragraph.
+    no paragraph. Time is in proportion to the tags; what is around a place is
+    kept while its tags are passed, and never gathered anew.
     """
     base = "" if part == "document" else f"{part}."
     scope, boxes, controls = _Scope(base), 0, 0
@@ -141,65 +120,70 @@ def items_of(xml: str, part: str) -> list[Item]:
     out: list[Item] = []
     order, style = -1, ""
     paragraph: tuple[str, int] | None = None
-    tags = scan_tags(xml)
-    for k, tag in enumerate(tags):
-        if tag.closing:
-            while opened.get(tag.name):
+    around: tuple[tuple[str, str, str, str], ...] = ()
+    link: str | None = None
+    tags = scan(_bytes(xml))
+    starts, ends, closings, empties = tags.start.tolist(), tags.end.tolist(), tags.closing.tolist(), tags.empty.tolist()
+    # a run's properties end where the next rPr does, or at the next run
+    stops = [k for k, name in enumerate(tags.names) if name == "r" or (name == "rPr" and closings[k])]
+    for k, name in enumerate(tags.names):
+        if closings[k]:
+            while opened.get(name):
                 last = stack.pop()
                 opened[last.name] -= 1
-                scope, paragraph = last.scope or scope, last.paragraph
+                scope, paragraph, around, link = last.scope or scope, last.paragraph, last.around, last.link
                 style = last.style if last.name in ("r", "txbxContent") else style
-                if last.name == tag.name:
+                if last.name == name:
                     break
             continue
-        here = _Open(tag.name, scope, paragraph, style=style)
-        around = tuple(o.revision for o in stack if o.revision)
+        empty = empties[k]
+        here = _Open(name, scope, paragraph, around, link, style)
         place = paragraph or (None, None)
-        if tag.name == "p":
+        if name == "p":
             order += 1
             paragraph = (f"{scope.prefix}P{scope.paragraphs}", order)
             scope.paragraphs += 1
-        elif tag.name == "tbl":
+        elif name == "tbl":
             scope.tables += 1
             scope = _Scope(f"{scope.prefix}T{scope.tables - 1}.")
-        elif tag.name == "tr":
+        elif name == "tr":
             scope.rows, scope.cells = scope.rows + 1, -1
-        elif tag.name == "tc":
+        elif name == "tc":
             scope.cells += 1
             scope = _Scope(f"{scope.prefix}R{scope.rows}.C{scope.cells}.")
-        elif tag.name == "txbxContent":
+        elif name == "txbxContent":
             scope, boxes = _Scope(f"{base}B{boxes}."), boxes + 1
-        elif tag.name == "sdtContent" and paragraph is None:
+        elif name == "sdtContent" and paragraph is None:
             scope, controls = _Scope(f"{base}S{controls}."), controls + 1
-        elif tag.name == "r":
+        elif name == "r":
             style = ""
-        elif tag.name == "rPr" and stack and stack[-1].name == "r" and not tag.self_closing:
-            close = next((j for j in range(k + 1, len(tags)) if tags[j].name == "rPr" and tags[j].closing), len(tags))
-            style = canonical_properties(tags[k + 1 : close])
-        elif tag.name == "hyperlink":
-            here.link = attributes_of(tag.attributes).get("id")
-        elif tag.name in _REVISIONS:
-            if not tag.self_closing:
-                here.revision = _revision(tag)
+        elif name == "rPr" and stack and stack[-1].name == "r" and not empty:
+            behind = bisect_right(stops, k)
+            style = canonical_properties(tags, k + 1, stops[behind] if behind < len(stops) else len(tags))
+        elif name == "hyperlink" and not empty:
+            link = attributes_of(tags.attributes(k)).get("id") or link
+        elif name in _REVISIONS:
+            revision = _revision(name, tags.attributes(k))
+            if not empty:
+                around = (*around, revision)
             elif len(stack) > 1 and stack[-1].name == "rPr" and stack[-2].name == "pPr":
-                out.append(Item(*place, "mark", revisions=(_revision(tag),)))
-        elif tag.name in _ANCHORS:
-            out.append(Item(*place, _ANCHORS[tag.name], ref=attributes_of(tag.attributes).get("id"), revisions=around))
-        elif paragraph and (tag.name in ("t", "delText") or tag.name in _OPAQUE):
-            opaque = tag.name in _OPAQUE
-            end = tags[k + 1].start if not opaque and not tag.self_closing and k + 1 < len(tags) else tag.end
-            text = "" if opaque or tag.self_closing else unescape(xml[tag.end : end], _NAMED)
-            link = next((o.link for o in reversed(stack) if o.link), None)
+                out.append(Item(*place, "mark", revisions=(revision,)))
+        elif name in _ANCHORS:
+            out.append(Item(*place, _ANCHORS[name], ref=attributes_of(tags.attributes(k)).get("id"), revisions=around))
+        elif paragraph and (name in ("t", "delText") or name in _OPAQUE):
+            opaque = name in _OPAQUE
+            end = starts[k + 1] if not opaque and not empty and k + 1 < len(tags) else ends[k]
+            text = "" if opaque or empty else unescape(tags.text(ends[k], end), _NAMED)
             out.append(Item(*place, "opaque" if opaque else "text", text, style, link, around))
-        if not tag.self_closing:
+        if not empty:
             stack.append(here)
-            opened[tag.name] = opened.get(tag.name, 0) + 1
+            opened[name] = opened.get(name, 0) + 1
         else:
             scope, paragraph = here.scope, here.paragraph
     return out
 
 
-def leaves_of(xml: str, part: str) -> list[tuple[str, int, int, str, str | None, bool]]:
+def leaves_of(xml: str | bytes, part: str) -> list[tuple[str, int, int, str, str | None, bool]]:
     """(paragraph_id, paragraph_order, leaf, text, innermost revision, opaque) of each text run and opaque block."""
     out: list[tuple[str, int, int, str, str | None, bool]] = []
     counts: dict[str, int] = {}
@@ -211,21 +195,21 @@ def leaves_of(xml: str, part: str) -> list[tuple[str, int, int, str, str | None,
     return out
 
 
-def comments_of(xml: str) -> list[tuple[str, str, str, str, str | None]]:
+def comments_of(xml: str | bytes) -> list[tuple[str, str, str, str, str | None]]:
     """(id, author, date, text, para_id of the last paragraph) of each entry of a comments part."""
     out: list[list] = []
-    tags = scan_tags(xml)
-    for k, tag in enumerate(tags):
-        if tag.closing:
+    tags = scan(_bytes(xml))
+    for k, name in enumerate(tags.names):
+        if tags.closing[k]:
             continue
-        at = attributes_of(tag.attributes) if tag.name in ("comment", "p") else {}
-        if tag.name == "comment":
-            out.append([at.get("id", ""), at.get("author", ""), at.get("date", ""), "", None])
-        elif tag.name == "p" and out:
+        at = attributes_of(tags.attributes(k)) if name in ("comment", "p") else {}
+        if name == "comment":
+            out.append([at.get("id", ""), at.get("author", ""), at.get("date", ""), [], None])
+        elif name == "p" and out:
             out[-1][4] = at.get("paraId", out[-1][4])
-        elif tag.name == "t" and out and not tag.self_closing and k + 1 < len(tags):
-            out[-1][3] += unescape(xml[tag.end : tags[k + 1].start], _NAMED)
-    return [tuple(c) for c in out]
+        elif name == "t" and out and not tags.empty[k] and k + 1 < len(tags):
+            out[-1][3].append(unescape(tags.text(tags.end[k], tags.start[k + 1]), _NAMED))
+    return [(*c[:3], "".join(c[3]), c[4]) for c in out]
 
 
 def stats_of(content: bytes) -> tuple[int, int, int, int, int, int, int, int, bool]:
@@ -237,14 +221,26 @@ def stats_of(content: bytes) -> tuple[int, int, int, int, int, int, int, int, bo
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             entries = archive.infolist()
             names = [e.filename for e in entries]
-            xml = archive.read("word/document.xml").decode("utf-8", "replace") if "word/document.xml" in names else ""
+            xml = archive.read("word/document.xml") if "word/document.xml" in names else b""
     except (zipfile.BadZipFile, ValueError, EOFError):
         return len(content), 0, 0, 0, 0, 0, 0, 0, False
-    tags = scan_tags(xml)
-    texts = (len(xml[t.end : tags[k + 1].start].encode()) for k, t in enumerate(tags[:-1]) if t.name == "t" and not t.closing and not t.self_closing)
-    depths = (depth + 1 for _, _, depth, _ in build_tree(tags)[0])
+    tags = scan(xml)
+    texts = (int(tags.start[k + 1] - tags.end[k]) for k, name in enumerate(tags.names[:-1]) if name == "t" and not tags.closing[k] and not tags.empty[k])
+    depths = tree(tags).depth
     xml_bytes = sum(e.file_size for e in entries if e.filename.startswith("word/") and e.filename.endswith(".xml"))
-    return len(content), len(names), len(names) - len(set(names)), sum(e.file_size for e in entries), xml_bytes, max((e.file_size for e in entries), default=0), max(texts, default=0), max(depths, default=0), True
+    longest, deepest = max(texts, default=0), int(depths.max()) + 1 if len(depths) else 0
+    return len(content), len(names), len(names) - len(set(names)), sum(e.file_size for e in entries), xml_bytes, max((e.file_size for e in entries), default=0), longest, deepest, True
+
+
+_PART_KINDS = ("document", "header", "footer", "endnotes", "footnotes")
+
+
+def part_numbers(names: list[str]) -> dict[str, int]:
+    """The places of a package's prose parts in the order of extraction: document, headers, footers and notes, each by number."""
+    prose = {n: m[1] for n in names if (m := _PROSE_PART.fullmatch(n))}
+    number = lambda part: int(re.search(r"\d*$", part)[0] or 0)
+    order = sorted(prose, key=lambda n: (_PART_KINDS.index(prose[n].rstrip("0123456789")), number(prose[n]), n))
+    return {name: k for k, name in enumerate(order)}
 
 
 def _rows(function, schema: str):
@@ -264,11 +260,12 @@ def members(packages: DataFrame) -> DataFrame:
     def unzip(record):
         try:
             with zipfile.ZipFile(io.BytesIO(record.content or b"")) as archive:
+                numbers = part_numbers(archive.namelist())
                 for name in archive.namelist():
                     raw = archive.read(name)
-                    yield record.package_id, name, len(raw), hashlib.sha256(raw).hexdigest(), raw, None
+                    yield record.package_id, name, numbers.get(name), len(raw), hashlib.sha256(raw).hexdigest(), raw, None
         except (zipfile.BadZipFile, ValueError, EOFError) as broken:
-            yield record.package_id, None, None, None, None, str(broken)
+            yield record.package_id, None, None, None, None, None, str(broken)
 
     return packages.select("package_id", "content").mapInPandas(_rows(unzip, MEMBERS), MEMBERS)
 
@@ -280,23 +277,28 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xml_tags(members: DataFrame) -> DataFrame:
-    def scan(record):
-        for k, t in enumerate(scan_tags(record.content.decode("utf-8", "replace"))):
-            yield record.package_id, record.part_path, k, t.name, t.start, t.end, t.closing, t.self_closing
+    """The tags of every XML member, in order, with their places in bytes."""
+
+    def read(record):
+        found = scan(record.content)
+        columns = (found.names, found.start.tolist(), found.end.tolist(), found.closing.tolist(), found.empty.tolist())
+        yield from ((record.package_id, record.part_path, k, *tag) for k, tag in enumerate(zip(*columns, strict=True)))
 
     wanted = members.filter(F.col("part_path").endswith(".xml"))
-    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(scan, TAGS), TAGS)
+    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, TAGS), TAGS)
 
 
 def elements(members: DataFrame) -> DataFrame:
-    def tree(record):
-        found, error = build_tree(scan_tags(record.content.decode("utf-8", "replace")))
-        yield from ((record.package_id, record.part_path, *e, None) for e in found)
-        if error:
-            yield record.package_id, record.part_path, None, None, None, None, error
+    def read(record):
+        tags = scan(record.content)
+        found = tree(tags)
+        for k, parent, depth in zip(found.tag.tolist(), found.parent.tolist(), found.depth.tolist(), strict=True):
+            yield record.package_id, record.part_path, k, parent if parent >= 0 else None, depth, tags.names[k], None
+        if found.error:
+            yield record.package_id, record.part_path, None, None, None, None, found.error
 
     wanted = members.filter(F.col("part_path").endswith(".xml"))
-    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(tree, ELEMENTS), ELEMENTS)
+    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, ELEMENTS), ELEMENTS)
 
 
 def prose_leaves(members: DataFrame) -> DataFrame:
@@ -304,7 +306,7 @@ def prose_leaves(members: DataFrame) -> DataFrame:
 
     def read(record):
         part = _PROSE_PART.fullmatch(record.part_path)[1]
-        yield from ((record.package_id, part, *leaf) for leaf in leaves_of(record.content.decode("utf-8", "replace"), part))
+        yield from ((record.package_id, part, *leaf) for leaf in leaves_of(record.content, part))
 
     wanted = members.filter(F.col("part_path").rlike(f"^{_PROSE_PART.pattern}$"))
     return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, LEAVES), LEAVES)
@@ -321,19 +323,19 @@ def prose_items(members: DataFrame) -> DataFrame:
 
     def read(record):
         part = _PROSE_PART.fullmatch(record.part_path)[1]
-        for position, i in enumerate(items_of(record.content.decode("utf-8", "replace"), part)):
+        for position, i in enumerate(items_of(record.content, part)):
             revisions = [dict(zip(("kind", "w_id", "author", "date"), r, strict=True)) for r in i.revisions]
-            yield record.package_id, part, i.paragraph_id, i.paragraph_order, position, i.item, i.text, i.style, i.ref, revisions
+            yield record.package_id, part, record.part_no, i.paragraph_id, i.paragraph_order, position, i.item, i.text, i.style, i.ref, revisions
 
     wanted = members.filter(F.col("part_path").rlike(f"^{_PROSE_PART.pattern}$"))
-    return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, ITEMS), ITEMS)
+    return wanted.select("package_id", "part_path", "part_no", "content").mapInPandas(_rows(read, ITEMS), ITEMS)
 
 
 def comment_entries(members: DataFrame) -> DataFrame:
     """Entries of the comments part."""
 
     def read(record):
-        yield from ((record.package_id, *c) for c in comments_of(record.content.decode("utf-8", "replace")))
+        yield from ((record.package_id, *c) for c in comments_of(record.content))
 
     wanted = members.filter("part_path = 'word/comments.xml'")
     return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, COMMENTS), COMMENTS)
@@ -347,11 +349,40 @@ def extended_entries(members: DataFrame) -> DataFrame:
     return wanted.select("package_id", entries).select("package_id", of("paraId").alias("para_id"), (of("done") == "1").alias("done"))
 
 
+_RELATIONSHIP = """<(?:[A-Za-z0-9_]+:)?Relationship(?=[\\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+
+
+def _attribute(tag: str, name: str) -> Column:
+    """An attribute's value in either kind of quotes; empty if there is none."""
+    of = lambda quote: F.regexp_extract(tag, f"\\s{name}\\s*=\\s*{quote}([^{quote}]*+){quote}", 1)
+    return xml_unescape(F.concat(of('"'), of("'")))
+
+
 def relationships(members: DataFrame) -> DataFrame:
-    """Relationships of all parts: package_id, rels_path, rel_id, type, target."""
-    of = lambda name: F.regexp_extract("r", f'{name}="([^"]*)"', 1)
-    rels = members.filter(F.col("part_path").endswith(".rels")).select("package_id", F.col("part_path").alias("rels_path"), F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit("<Relationship [^>]*>"), 0)).alias("r"))
-    return rels.select("package_id", "rels_path", of("Id").alias("rel_id"), of("Type").alias("type"), of("Target").alias("target"))
+    """Relationships of all parts: package_id, rels_path, source_path, rel_id, type (the end of its URI), target, external, target_path.
+
+    Targets are resolved against the source part's folder, which is the package's
+    for its own relationships; external targets and places in the same part have no path.
+    """
+    markup = F.regexp_replace(F.decode("content", "UTF-8"), "(?s)<!--.*?-->", "")
+    rels = members.filter(F.col("part_path").endswith(".rels")).select("package_id", F.col("part_path").alias("rels_path"), F.explode(F.regexp_extract_all(markup, F.lit(_RELATIONSHIP), 0)).alias("r"))
+    folder = F.regexp_extract("rels_path", "^(.*?)/?_rels/[^/]*$", 1)
+    source = F.concat_ws("/", F.when(folder != "", folder), F.regexp_extract("rels_path", "([^/]*)[.]rels$", 1))
+    found = rels.select("package_id", "rels_path", source.alias("source_path"), folder.alias("folder"), _attribute("r", "Id").alias("rel_id"), F.substring_index(_attribute("r", "Type"), "/", -1).alias("type"), _attribute("r", "Target").alias("target"), (_attribute("r", "TargetMode") == "External").alias("mode"))
+    external = F.col("mode") | F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    inside = F.regexp_replace("target", "#.*$", "")
+    path = F.when(~external & (inside != ""), resolve_target(F.col("folder"), inside))
+    return found.withColumns({"external": external, "target_path": path}).drop("mode", "folder")
+
+
+def broken_links(members: DataFrame) -> DataFrame:
+    """package_id, missing_targets, cycles: internal targets that aren't there, and pairs of parts that link to each other."""
+    links = relationships(members).filter("target_path is not null").select("package_id", "source_path", "target_path")
+    missing = links.join(members.select("package_id", F.col("part_path").alias("target_path")).distinct(), ["package_id", "target_path"], "left_anti")
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    both = links.distinct().groupBy("package_id", pair("source_path", "target_path").alias("pair")).agg(F.count("*").alias("ways"))
+    found = missing.select("package_id", F.lit(1).alias("missing"), F.lit(0).alias("cycle")).unionByName(both.filter("ways = 2").select("package_id", F.lit(0).alias("missing"), F.lit(1).alias("cycle")))
+    return found.groupBy("package_id").agg(F.sum("missing").alias("missing_targets"), F.sum("cycle").alias("cycles"))
 
 
 def package_stats(packages: DataFrame) -> DataFrame:
@@ -365,7 +396,7 @@ def package_stats(packages: DataFrame) -> DataFrame:
 
 def images(members: DataFrame) -> DataFrame:
     """Images by relationship: package_id, rel_id, part_path, bytes, base64."""
-    targets = relationships(members).select("package_id", "rel_id", F.concat(F.lit("word/"), "target").alias("part_path"))
+    targets = relationships(members).select("package_id", "rel_id", F.col("target_path").alias("part_path"))
     media = members.filter(F.col("part_path").startswith("word/media/")).select("package_id", "part_path", "bytes", F.translate(F.base64("content"), "\r\n", "").alias("base64"))
     return targets.join(media, ["package_id", "part_path"])
 
@@ -399,6 +430,7 @@ def patch_package(content: bytes, changed: dict[str, bytes]) -> bytes:
 
 #: Ids of paragraph marks' revisions in built packages begin here.
 MARK_IDS = 1_000_000
+_TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
 _WORDS_OF_PARTS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -442,7 +474,7 @@ def document_package(lines: list[str], author: str) -> bytes:
         "word/header1.xml": f"<w:hdr><w:p>{_run(author)}</w:p></w:hdr>",
         "word/comments.xml": f"<w:comments>{entries}</w:comments>",
         "word/commentsExtended.xml": f"<w15:commentsEx>{extended}</w15:commentsEx>",
-        "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId1" Type="image" Target="media/image1.png"/><Relationship Id="rId2" Type="hyperlink" Target="https://example.org/"/></Relationships>',
+        "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId1" Type="' + _TYPES + 'image" Target="media/image1.png"/><Relationship Id="rId2" Type="' + _TYPES + 'hyperlink" Target="https://example.org/" TargetMode="External"/></Relationships>',
     }
     media = {"word/media/image1.png": "\n".join(lines).encode()}
     return write_package({name: xml.encode() for name, xml in parts.items()} | media)

@@ -15,25 +15,15 @@ from foliolake.operators.ranges import containing
 from foliolake.sources import docx
 
 PK = ["package_id", "idx"]
-#: Paragraphs of a part, at most.
-PART_PARAGRAPHS = 10_000_000
+#: Bits of idx that count a part's paragraphs; those above them count the parts.
+PARAGRAPH_BITS = 40
 _GONE = {True: ("delete", "move_from"), False: ("insert", "move_to")}
 
 
-def part_rank(part: Column) -> Column:
-    """The place of a part in the order of extraction."""
-    number = F.coalesce(F.expr("try_cast(regexp_extract(part, '([0-9]+)$', 1) as int)"), F.lit(0))
-    kinds = (("header", 1), ("footer", 1001), ("endnotes", 2001), ("footnotes", 2002))
-    rank = F.when(part == "document", 0)
-    for name, first in kinds:
-        rank = rank.when(part.startswith(name), first + F.least(number, F.lit(999)))
-    return rank.otherwise(3000)
-
-
 def items(members: DataFrame) -> DataFrame:
-    """Items of all prose parts with idx."""
+    """Items of all prose parts with idx; parts are numbered in the order of extraction when a package is opened."""
     found = docx.prose_items(members)
-    return found.withColumn("idx", part_rank(F.col("part")).cast("long") * PART_PARAGRAPHS + F.col("paragraph_order"))
+    return found.withColumn("idx", F.shiftleft("part_no", PARAGRAPH_BITS) + F.col("paragraph_order"))
 
 
 def hidden(accept: bool) -> Column:

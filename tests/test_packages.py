@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import itertools
+import time
 import unicodedata
 import zipfile
 
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliolake.functions import keys, text
-from foliolake.operators import diff, edits, inventory, limits, ranking
+from foliolake.operators import audit, diff, edits, inventory, limits, ranking
 from foliolake.plans import packages as plans
 from foliolake.sources import bindings, docx, typed, word
 
@@ -102,7 +104,7 @@ def test_limits_are_inclusive_and_cover_every_dimension(spark):
         archive.writestr("word/a.xml", "<a/>")
         archive.writestr("word/a.xml", "<a/>")
     frame = spark.createDataFrame([(1, bytearray(out.getvalue())), (2, bytearray(b"no zip"))], "package_id long, content binary")
-    stats = docx.package_stats(frame).withColumn("missing_targets", F.lit(1).cast("long")).cache()
+    stats = docx.package_stats(frame).withColumns({"missing_targets": F.lit(1).cast("long"), "cycles": F.lit(0).cast("long")}).cache()
     one = stats.filter("valid").first()
     assert (one.zip_parts, one.duplicate_entries, one.max_text_node_bytes, one.xml_nesting_depth) == (3, 1, 5000, 5)
     tight = {"docx_package_mib": 1 / limits.MIB, "uncompressed_xml_mib": 1 / limits.MIB, "zip_parts": 2, "max_leaf_island_bytes": 4999, "xml_nesting_depth": 4, "compression_ratio_max": 1}
@@ -196,6 +198,22 @@ def test_clusters_equal_the_rules(spark):
     assert {r.t: r.g for r in rows} == {t: clusters(t) for t in texts}
 
 
+def test_clusters_of_long_texts(spark):
+    marks, joined, flags = "a" + "\u0301" * 1_000_000, "a\u200d" * 200_000, "🇩🇪" * 100_001 + "🇩"
+    frame = spark.createDataFrame([(marks,), (joined,), (flags,), (None,)], "t string")
+    assert [r.n for r in frame.select(text.grapheme_count(F.col("t")).alias("n")).collect()] == [1, 1, 100_002, None]
+    assert [clusters(t) == [t[a:b] for a, b in itertools.pairwise([*text.cluster_starts(t).tolist(), len(t)])] for t in ("a" + "\u0301" * 3000, "👩\u200d" * 999 + "🇩🇪🇩")] == [True, True]
+
+
+def test_audit_of_a_line_full_of_hits_is_linear(spark):
+    frame = spark.createDataFrame([(1, 0, "P0", "é" * 100_000), (1, 1, "P1", "no hit"), (2, 0, "P0", "xäyéz")], "package_id long, idx long, paragraph_id string, text string")
+    began = time.time()
+    found = audit.candidates(frame, bindings.catalog(spark), "[äé]")
+    assert found.agg(F.count("*"), F.max("visible_offset"), F.count_distinct("visible_offset", "package_id")).first()[:] == (100_002, 99_999, 100_002)
+    assert time.time() - began < 60
+    assert [(r.visible_offset, r.source, r.context, r.occurrence_id) for r in found.filter("package_id = 2").orderBy("visible_offset").collect()] == [(1, "ä", "xäyéz", "P0-V0001"), (3, "é", "xäyéz", "P0-V0002")]
+
+
 @pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 1000, 40_000])
 def test_word_starts_are_running_sums(spark, n):
     words = [("ä" * (k % 5)) for k in range(n)]
