@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from foliolake.functions.text import resolve_target, xml_unescape
 from foliolake.sources.xmlscan import Tags, scan, tree
+from foliolake.sources.zipraw import rewritten
 
 MEMBERS = "package_id long, part_path string, part_no long, bytes long, sha256 string, content binary, error string"
 TAGS = "package_id long, part_path string, idx long, name string, start long, end long, closing boolean, self_closing boolean"
@@ -33,6 +34,7 @@ LEAVES = "package_id long, part string, paragraph_id string, paragraph_order lon
 REVISION = "struct<kind:string,w_id:string,author:string,date:string>"
 ITEMS = f"package_id long, part string, part_no long, paragraph_id string, paragraph_order long, position long, item string, text string, style string, ref string, revisions array<{REVISION}>"
 COMMENTS = "package_id long, id string, author string, date string, text string, para_id string"
+SPANS = "package_id long, part_path string, idx long, parent_idx long, depth long, name string, prefix string, start long, inner long, inner_end long, end long, ref string, text string"
 STATS = "package_id long, package_bytes long, zip_parts long, duplicate_entries long, total_bytes long, uncompressed_xml_bytes long, max_part_bytes long, max_text_node_bytes long, xml_nesting_depth long, valid boolean"
 
 _REVISIONS = {"ins": "insert", "del": "delete", "moveFrom": "move_from", "moveTo": "move_to"}
@@ -301,6 +303,34 @@ def elements(members: DataFrame) -> DataFrame:
     return wanted.select("package_id", "part_path", "content").mapInPandas(_rows(read, ELEMENTS), ELEMENTS)
 
 
+def spans(members: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Elements of some names in every XML member, with their places in bytes.
+
+    ``start`` to ``inner`` is the start tag, ``inner_end`` to ``end`` the end tag; an
+    empty element has only the first. ``ref`` is what it is known by: id, paraId
+    or val. Parts that are ill-formed have no spans.
+    """
+    wanted = frozenset(names)
+
+    def read(record):
+        tags = scan(record.content)
+        found = tree(tags)
+        if found.error:
+            return
+        for k, parent, depth, close in zip(found.tag.tolist(), found.parent.tolist(), found.depth.tolist(), found.close.tolist(), strict=True):
+            name = tags.names[k]
+            if name in wanted:
+                start, inner, end = int(tags.start[k]), int(tags.end[k]), int(tags.end[close])
+                inner_end = int(tags.start[close]) if close != k else end
+                qualified = tags.raw[start + 1 : tags.name_end[k]].decode("utf-8", "replace")
+                at = attributes_of(tags.attributes(k)) if int(tags.name_end[k]) < inner - 1 else {}
+                text = unescape(tags.text(inner, inner_end), _NAMED) if name in ("t", "delText") else None
+                yield record.package_id, record.part_path, k, parent if parent >= 0 else None, depth, name, qualified[: len(qualified) - len(name)], start, inner, inner_end, end, at.get("id", at.get("paraId", at.get("val"))), text
+
+    xml = members.filter(F.col("part_path").endswith(".xml"))
+    return xml.select("package_id", "part_path", "content").mapInPandas(_rows(read, SPANS), SPANS)
+
+
 def prose_leaves(members: DataFrame) -> DataFrame:
     """Leaves and opaque blocks of every prose part."""
 
@@ -423,9 +453,8 @@ def write_package(parts: dict[str, bytes]) -> bytes:
 
 
 def patch_package(content: bytes, changed: dict[str, bytes]) -> bytes:
-    """The package with some members replaced; the others keep their bytes and their order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        return write_package({n: changed.get(n, archive.read(n)) for n in archive.namelist()})
+    """The package with some members replaced; the others stay as they are stored."""
+    return rewritten(content, changed)
 
 
 #: Ids of paragraph marks' revisions in built packages begin here.
