@@ -54,10 +54,28 @@ def _run(text: str, tag: str = "t", properties: str = "") -> str:
 
 _BY = """concat('w:id="', {0}, '" w:author="', source, '" w:date="2020-01-01T00:00:00Z"')"""
 _OWN, _MARK = _BY.format("idx"), _BY.format("1000000 + idx")
-_BLOCKS = f"""CASE c WHEN 0 THEN concat('<w:p>', {_run("text")}, '</w:p>') WHEN 1 THEN concat('<w:tbl><w:tr><w:tc><w:p>', {_run("w1")}, '</w:p></w:tc><w:tc><w:p>', {_run("rest")}, '</w:p></w:tc></w:tr></w:tbl>')
-    WHEN 2 THEN concat('<w:p><w:r><w:drawing><w:txbxContent><w:p>', {_run("text")}, '</w:p></w:txbxContent></w:drawing></w:r></w:p>') WHEN 3 THEN concat('<w:sdt><w:sdtContent><w:p>', {_run("text")}, '</w:p></w:sdtContent></w:sdt>')
-    WHEN 4 THEN concat('<w:p><w:pPr><w:rPr><w:ins ', {_MARK}, '/></w:rPr></w:pPr>', {_run("w1", properties="<w:rPr><w:b/></w:rPr>")}, '<w:ins ', {_OWN}, '>', {_run("w2")}, '</w:ins><w:del ', {_OWN}, '><w:bookmarkStart w:id="', idx, '"/>', {_run("w3", "delText")}, '<w:bookmarkEnd w:id="', idx, '"/></w:del></w:p>')
-    ELSE concat('<w:p><w:commentRangeStart w:id="', idx, '"/>', {_run("text")}, '<w:commentRangeEnd w:id="', idx, '"/><w:r><w:commentReference w:id="', idx, '"/></w:r></w:p>') END"""
+#: The XML of each kind of line.
+CASES = {
+    0: f"concat('<w:p>', {_run('text')}, '</w:p>')",
+    1: f"concat('<w:tbl><w:tr><w:tc><w:p>', {_run('w1')}, '</w:p></w:tc><w:tc><w:p>', {_run('rest')}, '</w:p></w:tc></w:tr></w:tbl>')",
+    2: f"concat('<w:p><w:r><w:drawing><w:txbxContent><w:p>', {_run('text')}, '</w:p></w:txbxContent></w:drawing></w:r></w:p>')",
+    3: f"concat('<w:sdt><w:sdtContent><w:p>', {_run('text')}, '</w:p></w:sdtContent></w:sdt>')",
+    4: f"""concat('<w:p><w:pPr><w:rPr><w:ins ', {_MARK}, '/></w:rPr></w:pPr>', {_run("w1", properties="<w:rPr><w:b/></w:rPr>")}, '<w:ins ', {_OWN}, '>', {_run("w2")}, '</w:ins><w:del ', {_OWN}, '><w:bookmarkStart w:id="', idx, '"/>', {_run("w3", "delText")}, '<w:bookmarkEnd w:id="', idx, '"/></w:del></w:p>')""",
+    5: f"""concat('<w:p><w:commentRangeStart w:id="', idx, '"/>', {_run("text")}, '<w:commentRangeEnd w:id="', idx, '"/><w:r><w:commentReference w:id="', idx, '"/></w:r></w:p>')""",
+}
+
+
+def document(changed: dict[int, str] | None = None) -> str:
+    """The main part of a package, with other XML for some kinds of lines."""
+    lines = " ".join(f"WHEN {c} THEN {xml}" for c, xml in (CASES | (changed or {})).items())
+    return f"""concat('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><!-- <w:p> -->', string_agg(CASE c {lines} END, '' ORDER BY idx), '</w:body></w:document>')"""
+
+
+def notes(where: str = "c = 5") -> tuple[str, str]:
+    """The comments part and the extended one, with the entries of some lines."""
+    return tuple(f"concat('<{part}>', coalesce(string_agg({xml}, '' ORDER BY idx) FILTER ({where}), ''), '</{part}>')" for part, xml in (("w:comments", _NOTE), ("w15:commentsEx", _EXTRA)))
+
+
 _NOTE = f"""concat('<w:comment w:id="', idx, '" w:author="', source, '" w:date="2020-01-01T00:00:00Z"><w:p w14:paraId="', printf('%08X', idx), '">', {_run("concat('note ', idx)")}, '</w:p></w:comment>')"""
 _EXTRA = """concat('<w15:commentEx w15:paraId="', printf('%08X', idx), '" w15:done="', idx % 2, '"/>')"""
 _TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
@@ -81,9 +99,8 @@ VIEWS |= {
         ELSE [{'item': 'text', 'text': text, 'style': '', 'ref': NULL, 'kind': NULL, 'w_id': NULL}] END AS items FROM pline))
         UNION ALL SELECT package_id, 'header1', 0, 0, 'header1.P0', 'text', source, '', NULL, NULL, NULL FROM package""",
     "pmember": f"""SELECT package_id, unnest(['[Content_Types].xml', 'word/document.xml', 'word/header1.xml', 'word/comments.xml', 'word/commentsExtended.xml', 'word/_rels/document.xml.rels', 'word/media/image1.png']) AS part_path,
-        unnest(['<Types/>', concat('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><!-- <w:p> -->', string_agg({_BLOCKS}, '' ORDER BY idx), '</w:body></w:document>'),
-        concat('<w:hdr><w:p>', any_value({_run("source")}), '</w:p></w:hdr>'), concat('<w:comments>', coalesce(string_agg({_NOTE}, '' ORDER BY idx) FILTER (c = 5), ''), '</w:comments>'),
-        concat('<w15:commentsEx>', coalesce(string_agg({_EXTRA}, '' ORDER BY idx) FILTER (c = 5), ''), '</w15:commentsEx>'), '{_RELS}', string_agg(text, chr(10) ORDER BY idx)]) AS content FROM pline GROUP BY package_id""",
+        unnest(['<Types/>', {document()},
+        concat('<w:hdr><w:p>', any_value({_run("source")}), '</w:p></w:hdr>'), {", ".join(notes())}, '{_RELS}', string_agg(text, chr(10) ORDER BY idx)]) AS content FROM pline GROUP BY package_id""",
     "pcheck": """SELECT package_id, source, lang, unnest(['open', 'well-formed', 'anchors']) AS "check", unnest([CASE WHEN d = 3 THEN 'fail' ELSE 'pass' END, CASE d WHEN 3 THEN 'not-run' WHEN 6 THEN 'fail' ELSE 'pass' END,
         CASE WHEN d IN (3, 6) THEN 'not-run' WHEN d = 4 AND noted THEN 'fail' ELSE 'pass' END]) AS result FROM (SELECT package_id, source, lang, package_id % 10 AS d, len(string_split(text, chr(10))) >= 6 AS noted FROM package)""",
     "pstat": f"""SELECT package_id, x.xml, x.most, x.depth, t.longest FROM (SELECT package_id, CAST(sum(strlen(content)) FILTER (part_path LIKE 'word/%.xml') AS BIGINT) AS xml, CAST(max(strlen(content)) AS BIGINT) AS most,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foliolake.functions.text import resolve_target, xml_unescape
 from foliolake.sources.xmlscan import Tags, scan, tree
-from foliolake.sources.zipraw import rewritten
+from foliolake.sources.zipraw import rewritten, stored_bytes
 
 MEMBERS = "package_id long, part_path string, part_no long, bytes long, sha256 string, content binary, error string"
 TAGS = "package_id long, part_path string, idx long, name string, start long, end long, closing boolean, self_closing boolean"
@@ -35,6 +35,7 @@ REVISION = "struct<kind:string,w_id:string,author:string,date:string>"
 ITEMS = f"package_id long, part string, part_no long, paragraph_id string, paragraph_order long, position long, item string, text string, style string, ref string, revisions array<{REVISION}>"
 COMMENTS = "package_id long, id string, author string, date string, text string, para_id string"
 SPANS = "package_id long, part_path string, idx long, parent_idx long, depth long, name string, prefix string, start long, inner long, inner_end long, end long, ref string, text string"
+STORED = "package_id long, part_path string, stored_sha256 string"
 STATS = "package_id long, package_bytes long, zip_parts long, duplicate_entries long, total_bytes long, uncompressed_xml_bytes long, max_part_bytes long, max_text_node_bytes long, xml_nesting_depth long, valid boolean"
 
 _REVISIONS = {"ins": "insert", "del": "delete", "moveFrom": "move_from", "moveTo": "move_to"}
@@ -509,6 +510,18 @@ def document_package(lines: list[str], author: str) -> bytes:
     return write_package({name: xml.encode() for name, xml in parts.items()} | media)
 
 
+def stored_members(packages: DataFrame) -> DataFrame:
+    """How each member stands in its package: package_id, part_path, stored_sha256 over its header, data and directory record."""
+
+    def read(record):
+        try:
+            yield from ((record.package_id, name, hashlib.sha256(raw).hexdigest()) for name, raw in stored_bytes(record.content or b"").items())
+        except ValueError:
+            return
+
+    return packages.select("package_id", "content").mapInPandas(_rows(read, STORED), STORED)
+
+
 def packages_from_texts(texts: DataFrame) -> DataFrame:
     """Packages (package_id, content) of rows (package_id, text, header): a block for each line."""
 
