@@ -7,10 +7,12 @@ don't change anything in place: they return the rows after the edit, to look at
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.operators import audit, compare, edits, inventory, review, tables
+from foliolake.operators import audit, compare, edits, inventory, review, splices, tables
 from foliolake.plans import joins
 from foliolake.sources import bindings, docx, shared, word
 
@@ -196,3 +198,38 @@ class PackageCorpus(Corpus):
     def settled_items(self, accept: bool) -> DataFrame:
         """Items after all revisions are settled, anchors kept."""
         return word.settle(self.items, accept)
+
+    # edits of the packages themselves: package_id, content, with all members that an edit leaves alone as they are stored
+
+    @functools.cached_property
+    def spans(self) -> DataFrame:
+        return shared.written(docx.spans(self.members, splices.WANTED), "spans")
+
+    def edited(self, given: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+        """The packages after splices; one whose splices conflict stays as it is."""
+        return splices.applied(self.packages, splices.disjoint(given, kept)[0])
+
+    def settled_packages(self, accept: bool) -> DataFrame:
+        return self.edited(*splices.settle(self.spans, accept))
+
+    def delete_comment(self, comment_id: str) -> DataFrame:
+        """The packages without a comment: its entry, anchors, reference run and extended entry."""
+        ids = self.packages.select("package_id", F.lit(comment_id).alias("id"))
+        return self.edited(splices.delete_comments(self.spans, ids))
+
+    def track_replacement(self, old: str, new: str, author: str, date: str) -> DataFrame:
+        """The packages with a literal replaced as a tracked change wherever a text holds it once."""
+        return self.edited(splices.track_replacements(self.spans, old, new, author, date)[0])
+
+    def insert_table_row(self, table: int, after: int) -> DataFrame:
+        """The packages with a row of empty cells in one of the body's tables."""
+        return self.edited(splices.insert_rows(self.spans, self.packages.select("package_id", F.lit(table).alias("table_index"), F.lit(after).alias("row_index"))))
+
+    def write_packages(self, packages: DataFrame, folder: str) -> DataFrame:
+        """Writes packages (package_id, content) as files of a shared folder, each by its task: path and bytes of each.
+
+        A task that runs again writes the same files again; names come from the
+        packages' own, below the folder that they were read from.
+        """
+        named = packages.join(self.packages.select("package_id", "path"), "package_id")
+        return docx.write_files(named, folder)

@@ -1,19 +1,20 @@
-"""Word diffs between two texts of a row, as hunks.
+"""Word diffs between two texts of a row, as hunks: shortest ones, in bounded memory.
 
 Common starts and ends are cut off by column functions. What is left goes to a
-small function: it matches words that occur once on both sides, as far as they
-keep their order, and goes on in the gaps between, first with words, then with
-runs of words; gaps without such an anchor are compared in full where they are
-short, and are one replacement else. So its time is in proportion to the words
-times their logarithm, whatever the texts.
+small function that finds a longest common subsequence, whatever the texts.
+Words that only one side has are left out first, as they match nothing. Few
+changes are found by furthest reaching paths, in time of the length and the
+changes squared. More of them are found by halving: a row of the table of lengths
+is one integer with a bit for each word, the two rows that meet in the middle say
+where to cut, and both parts go on alone. That keeps a few integers of a bit for
+each word in memory, and takes a 64th or so of a full table's steps.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,53 +23,76 @@ from foliolake.functions.text import let
 from foliolake.operators.ranges import containing
 
 HUNKS = "package_id long, idx long, hunk long, op string, start long, end long, new_start long, new_end long, old string, new string"
-#: Product of the sizes of a gap's sides up to which it is compared in full.
-FULL = 4096
-RUNS = (1, 2, 4)
-
-
-def _anchors(a: list[str], b: list[str], run: int) -> list[tuple[int, int]]:
-    """Places of runs of words that occur once in each side, the longest series that keeps its order in both."""
-    of = lambda words: [tuple(words[i : i + run]) for i in range(len(words) - run + 1)]
-    left, right = of(a), of(b)
-    once = {w for w, n in Counter(left).items() if n == 1} & {w for w, n in Counter(right).items() if n == 1}
-    place = {w: j for j, w in enumerate(right) if w in once}
-    pairs = [(i, place[w]) for i, w in enumerate(left) if w in once]
-    ends: list[int] = []  # smallest end of a series of each length
-    last: list[int] = []
-    before: list[int | None] = []
-    for n, (_, j) in enumerate(pairs):
-        at = bisect.bisect_left(ends, j)
-        before.append(last[at - 1] if at else None)
-        ends[at : at + 1], last[at : at + 1] = [j], [n]
-    out, n = [], last[-1] if last else None
-    while n is not None:
-        out.append(pairs[n])
-        n = before[n]
-    return out[::-1]
+#: Changes up to which paths are followed; both ways give shortest scripts.
+FEW = 48
 
 
-def _full(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Matched places of a longest common subsequence."""
+def _few_changes(a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
+    """Matched places of a longest common subsequence if at most FEW words differ, by furthest reaching paths."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
+    reach, history = {1: 0}, []
+    for d in range(FEW + 1):
+        history.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
+            i = reach[k + 1] if down else reach[k - 1] + 1
+            j = i - k
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            reach[k] = i
+            if i >= n and j >= m:
+                return _path(history, d, n, m)
+    return None
+
+
+def _path(history: list[dict[int, int]], d: int, i: int, j: int) -> list[tuple[int, int]]:
+    out = []
+    for step in range(d, -1, -1):
+        reach, k = history[step], i - j
+        down = k == -step or (k != step and reach.get(k - 1, -1) < reach[k + 1])
+        x = (reach[k + 1] if down else reach[k - 1] + 1) if step else 0
+        while i > x and j > 0 and (step or i > 0):
+            i, j = i - 1, j - 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+        if step:
+            i, j = (i, j - 1) if down else (i - 1, j)
+    return out[::-1]
 
 
-def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of equal words, rising on both sides."""
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """For each start of b (none of it, one word, ...) the length of its longest common subsequence with a.
+
+    A bit of ``row`` is clear where a word of b makes the subsequence longer. The
+    places of a word are made into bits when it comes, and kept only if it is one
+    of the few that hold a 64th of b, so that what is kept is in proportion to b.
+    """
+    m = len(b)
+    size = (m + 7) // 8
+    places: dict[int, list[int]] = {}
+    for j, word in enumerate(b):
+        places.setdefault(word, []).append(j)
+    kept: dict[int, int] = {}
+
+    def bits_of(word: int) -> int:
+        bits = bytearray(size)
+        for j in places[word]:
+            bits[j >> 3] |= 1 << (j & 7)
+        found = int.from_bytes(bits, "little")
+        if 64 * len(places[word]) >= m:
+            kept[word] = found
+        return found
+
+    full = row = (1 << m) - 1
+    for word in a:
+        if word in places:
+            hits = row & (kept[word] if word in kept else bits_of(word))
+            row = ((row + hits) | (row - hits)) & full
+    clear = 1 - np.unpackbits(np.frombuffer(row.to_bytes(size, "little"), np.uint8), bitorder="little")[:m].astype(np.int64)
+    return np.concatenate(([0], np.cumsum(clear)))
+
+
+def _halved(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence, by cutting both sides where halves of a meet."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -81,17 +105,26 @@ def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             out.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        left, right = a[a0:a1], b[b0:b1]
-        found = next((f for run in RUNS if (f := _anchors(left, right, run))), None)
-        if found:
-            edges = [(-1, -1), *found, (len(left), len(right))]
-            out += [(a0 + i, b0 + j) for i, j in found]
-            todo += [(a0 + i + 1, a0 + k, b0 + j + 1, b0 + m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
-        elif len(left) * len(right) <= FULL:
-            out += [(a0 + i, b0 + j) for i, j in _full(left, right)]
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+            continue
+        middle = (a0 + a1) // 2
+        right = b[b0:b1]
+        at = b0 + int(np.argmax(_lengths(a[a0:middle], right) + _lengths(a[middle:a1][::-1], right[::-1])[::-1]))
+        todo += [(a0, middle, b0, at), (middle, a1, at, b1)]
     return sorted(out)
 
 
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of equal words, rising on both sides, as many as there can be."""
+    shared = {word: k for k, word in enumerate(set(a) & set(b))}
+    left, right = ([i for i, word in enumerate(side) if word in shared] for side in (a, b))
+    x, y = [shared[a[i]] for i in left], [shared[b[j]] for j in right]
+    found = _few_changes(x, y)
+    return [(left[i], right[j]) for i, j in (_halved(x, y) if found is None else found)]
+
+
 def hunks(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
     """(op, start, end, new_start, new_end) of each maximal change."""
     i = j = 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions.keys import fingerprint12
-from foliolake.functions.text import let, occurrences, replace_at
+from foliolake.functions.text import let, occurrences, replace_at, sub
 
 PK = ["package_id", "idx"]
 
@@ -61,9 +61,28 @@ def commit(base: DataFrame, drafts: DataFrame) -> DataFrame:
     return both.select(*PK, F.when(code == "committed", F.col("draft")).otherwise(F.col("text")).alias("text"), code.alias("code"))
 
 
-def revert(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """Paragraphs as they were in ``base``, whatever was done to them since; new ones go, deleted ones come back."""
-    return base.select(*PK, "text").join(rows.select(*PK, F.col("text").alias("edited")), PK, "left").select(*PK, "text", (~F.col("edited").eqNullSafe(F.col("text"))).alias("reverted"))
+def record(base: DataFrame, drafted: DataFrame) -> DataFrame:
+    """What undoes a draft: for each paragraph that was changed, added or deleted, the place, what stands there and what stood there before.
+
+    ``kind`` is change, add or delete; an unchanged paragraph has no record.
+    """
+    both = base.select(*PK, F.col("text").alias("was")).join(drafted.select(*PK, F.col("text").alias("now")), PK, "full_outer")
+    kind = F.when(F.col("was").isNull(), "add").when(F.col("now").isNull(), "delete").otherwise("change")
+    rows = both.filter(~F.col("was").eqNullSafe(F.col("now"))).withColumn("kind", kind)
+    whole = F.struct(F.lit(0).cast("long").alias("start"), F.coalesce("was", F.lit("")).alias("old"), F.coalesce("now", F.lit("")).alias("new"))
+    return rows.select(*PK, "kind", F.when(F.col("kind") == "change", trim_diff(F.col("was"), F.col("now"))).otherwise(whole).alias("d")).select(*PK, "kind", "d.*")
+
+
+def undo(drafted: DataFrame, records: DataFrame) -> DataFrame:
+    """Paragraphs without what a record says was done: its changes are taken back where they stand, added ones go, deleted ones come back.
+
+    ``reverted`` says which; a paragraph in which the recorded text no longer stands at its place is left as it is, with the code moved.
+    """
+    both = drafted.select(*PK, "text").join(records, PK, "full_outer").filter("kind is null or kind <> 'add'")
+    stands = sub(F.col("text"), F.col("start"), F.col("start") + F.length("new")) == F.col("new")
+    code = F.when((F.col("kind") == "change") & ~stands, "moved")
+    text = F.when(F.col("kind") == "delete", F.col("old")).when((F.col("kind") == "change") & stands, replace_at(F.col("text"), F.col("start").cast("int"), F.col("new"), F.col("old"))).otherwise(F.col("text"))
+    return both.select(*PK, text.alias("text"), (F.col("kind").isNotNull() & code.isNull()).alias("reverted"), code.alias("code"))
 
 
 def renumber(rows: DataFrame, partition: list[str], order: list, name: str) -> DataFrame:

@@ -168,7 +168,8 @@ def d16_commit(spark, d):
 def d16_revert(spark, d):
     rows = b.paragraphs(spark, d)
     drafted = rows.withColumn("text", F.when(F.col("idx") % 3 == 1, F.concat(F.lit("* "), "text")).otherwise(F.col("text")))
-    return op.revert(drafted, rows)
+    """A draft taken back by its record, which holds only what changed."""
+    return op.undo(drafted, op.record(rows, drafted)).select(*PK, "text", "reverted")
 
 
 @query("d17_settlement", """SELECT r.package_id, count(*) AS revisions, bool_and(code IS NULL) AS settled, min(code) AS first_code, count(*) FILTER (operation = 'unwrap') AS unwrapped, count(*) FILTER (operation = 'remove') AS removed FROM (SELECT v.package_id,

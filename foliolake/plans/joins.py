@@ -232,7 +232,7 @@ def j22(spark, d):
     return anchors.join(b.relationships(spark, d), ["package_id", "ordinal"]).select("package_id", F.regexp_extract("m", ">([^<]*)<", 1).alias("text"), "rel_id", "target")
 
 
-@query("j23_stale_decisions", """WITH r AS MATERIALIZED (SELECT package_id, w_id, k, left(sha256(text), 12) AS found FROM revision_row),
+@query("j23_stale_decisions", """WITH r AS MATERIALIZED (SELECT package_id, CAST(idx * 1000 + k AS VARCHAR) AS w_id, k, left(sha256(text), 12) AS found FROM (SELECT package_id, idx, unnest(words) AS text, generate_subscripts(words, 1) - 1 AS k FROM (SELECT package_id, idx, string_split(text, ' ') AS words FROM paragraph)) WHERE k % 11 IN (3, 7) OR k % 29 IN (5, 9)),
 decided AS (SELECT package_id, w_id AS "of", CASE WHEN k % 5 = 0 THEN concat('x', w_id) ELSE w_id END AS w_id, CASE WHEN k % 4 = 0 THEN '000000000000' ELSE found END AS claimed FROM r)
 SELECT d.package_id, "of" AS w_id, CASE WHEN found IS NULL THEN 'unknown-revision' WHEN found <> claimed THEN 'fingerprint-mismatch' ELSE 'current' END AS status FROM decided d LEFT JOIN r ON d.package_id = r.package_id AND d.w_id = r.w_id""")
 def j23(spark, d):

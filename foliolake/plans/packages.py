@@ -335,7 +335,7 @@ def v10(spark, d):
     """Relations of reverts, operation ledgers and builds; a pinned reader (m12) is ``r7_pinned_reader``."""
     base = b.paragraphs(spark, d).select("package_id", "idx", "text")
     drafted = base.filter("idx % 5 <> 2").withColumn("text", F.concat(F.lit("* "), "text"))  # edits, and every fifth deleted
-    reverted = edits.revert(drafted, base).withColumnRenamed("text", "back").join(base, ["package_id", "idx"], "full_outer")
+    reverted = edits.undo(drafted, edits.record(base, drafted)).withColumnRenamed("text", "back").join(base, ["package_id", "idx"], "full_outer")
     events = b.review_events(spark, d).select("event_id", F.concat_ws("-", F.col("client_id").cast("string"), "paragraph_id").alias("operation_id"), keys.sha(F.col("type")).alias("input"))
     ledger = review.ledger(events, "operation_id", "input", "event_id")
     ran = ledger.filter("outcome = 'ran'").select("operation_id", F.col("input").alias("first"))

@@ -13,8 +13,8 @@ from foliolake.operators import splices
 from foliolake.plans import sql
 from foliolake.plans.packages import _packages
 from foliolake.plans.registry import query
-from foliolake.sources import docx
-from foliolake.sources.shared import written
+from foliolake.sources import docx, ranged
+from foliolake.sources.shared import scratch, written
 
 OLD, NEW, AUTHOR, DATE = "en", "<EN>", "editor", "2020-01-02T00:00:00Z"
 
@@ -40,6 +40,16 @@ def _after(packages: DataFrame, given: DataFrame, kept: DataFrame | None = None)
     return docx.members(edited).select(*key, "sha256").join(stored, key)
 
 
+@query("s1_ranged_members", "SELECT package_id, part_path, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM pmember WHERE part_path IN ('word/document.xml', 'word/comments.xml')")
+def s1_ranged(spark, d):
+    """Two members of each package, fetched by ranges from files that the tasks wrote."""
+    folder = scratch(spark, "files")
+    named = _packages(spark, d).withColumn("path", F.concat(F.lit("/"), F.coalesce(F.col("package_id").cast("string"), F.lit("none")), F.lit(".docx")))
+    written(docx.write_files(named, folder), "files")
+    found = ranged.members(spark, folder).filter(F.col("part_path").isin("word/document.xml", "word/comments.xml"))
+    return found.select(F.expr("try_cast(regexp_extract(path, '-(-?[0-9]+)[.]docx$', 1) as bigint)").alias("package_id"), "part_path", "bytes", "sha256")
+
+
 _PLAIN = sql._run
 _BOLD = _PLAIN("w1", properties="<w:rPr><w:b/></w:rPr>")
 _HEAD = f"'<w:p><w:pPr><w:rPr></w:rPr></w:pPr>', {_BOLD}"

@@ -444,6 +444,29 @@ def build_package(paragraphs: list[str], header: str = "", image: bytes = b"") -
     return write_package(parts)
 
 
+WRITTEN = "package_id long, file string, bytes long"
+
+
+def write_files(packages: DataFrame, folder: str) -> DataFrame:
+    """Writes packages (package_id, path, content) below a shared folder, each as a file named by its path's digest and its own name."""
+    from pyarrow import fs
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                name = f"{hashlib.sha256(row.path.encode()).hexdigest()[:16]}-{row.path.rpartition('/')[2]}"
+                with system.open_output_stream(f"{root}/{name}.part") as file:
+                    file.write(row.content)
+                system.move(f"{root}/{name}.part", f"{root}/{name}")
+                out.append((row.package_id, f"{folder}/{name}", len(row.content)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in WRITTEN.split(", ")], dtype=object)
+
+    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1])
+    return packages.select("package_id", "path", "content").mapInPandas(write, WRITTEN)
+
+
 def write_package(parts: dict[str, bytes]) -> bytes:
     """A zip package of these members, byte for byte the same for the same members."""
     out = io.BytesIO()

@@ -109,11 +109,12 @@ def settle(items: DataFrame, accept: bool) -> DataFrame:
 
 def delete_comments(items: DataFrame, entries: DataFrame, extended: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items, comment entries and extended entries without the comments of ``ids`` (package_id, id), or without any."""
-    if ids is None:
-        return items.filter(~F.col("item").startswith("comment-")), entries.limit(0), extended.limit(0)
+    every = ids is None
+    if every:
+        ids = entries.select("package_id", "id").unionByName(comment_anchors(items).select("package_id", "id"))
     gone = ids.select("package_id", "id").distinct()
     kept = entries.join(gone, ["package_id", "id"], "left_anti")
     extra = entries.join(gone, ["package_id", "id"], "left_semi").select("package_id", "para_id")
     anchor = F.col("item").startswith("comment-")
     without = items.filter(anchor).join(gone.withColumnRenamed("id", "ref"), ["package_id", "ref"], "left_anti").unionByName(items.filter(~anchor))
-    return without, kept, extended.join(extra, ["package_id", "para_id"], "left_anti")
+    return without, kept, extended.filter(F.lit(False)) if every else extended.join(extra, ["package_id", "para_id"], "left_anti")

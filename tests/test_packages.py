@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import itertools
+import random
 import time
+import tracemalloc
 import unicodedata
 import zipfile
 
@@ -165,7 +167,37 @@ def test_long_diffs_are_quick_and_small():
     other = [w for k, w in enumerate(words) if k % 11 != 7]
     found = list(diff.hunks(words, other))
     assert sum(j - i for _, i, j, _, _ in found) == len(words) - len(other) and {h[0] for h in found} == {"delete"}
-    assert [h[0] for h in diff.hunks(["x"] * 30_000 + ["y"], ["z"] + ["x"] * 30_000)] == ["replace"]  # no anchor in a long gap
+    assert [h[0] for h in diff.hunks(["x"] * 30_000 + ["y"], ["z"] + ["x"] * 30_000)] == ["insert", "delete"]
+    rng = random.Random(1)
+    a, b = ([str(rng.randrange(1000)) for _ in range(5000)] for _ in range(2))
+    began = time.process_time()
+    tracemalloc.start()
+    diff.matched(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20 and time.process_time() - began < 20
+
+
+def longest(a: list, b: list) -> int:
+    """The length of a longest common subsequence, by a full table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [0, 3, 48])
+def test_diffs_are_shortest_either_way(few, monkeypatch):
+    monkeypatch.setattr(diff, "FEW", few)
+    rng = random.Random(few)
+    for _ in range(800):
+        letters = "abcdefgh"[: rng.randint(1, 8)]
+        a, b = (["".join(rng.choice(letters)) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        pairs = diff.matched(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
+        assert len(pairs) == longest(a, b)
 
 
 def test_hunks_carry_styles_and_rebuild(spark):
@@ -247,7 +279,12 @@ def test_drafts_are_committed_refused_and_reverted(spark):
     drafts = base.filter("idx < 2").select("package_id", "idx", F.lit("new").alias("draft"), F.when(F.col("idx") == 0, of("a")).otherwise(of("old")).alias("base_fingerprint"))
     after = edits.commit(base, drafts).orderBy("idx")
     assert [(r.text, r.code) for r in after.collect()] == [("new", "committed"), ("b", "stale-draft"), ("c", None)]
-    assert [(r.text, r.reverted) for r in edits.revert(after.filter("idx <> 2"), base).orderBy("idx").collect()] == [("a", True), ("b", False), ("c", True)]
+    drafted = after.filter("idx <> 2").select("package_id", "idx", "text").union(spark.createDataFrame([(1, 7, "added")], "package_id long, idx int, text string")).cache()
+    records = edits.record(base, drafted).cache()
+    assert sorted((r.idx, r.kind, r.start, r.old, r.new) for r in records.collect()) == [(0, "change", 0, "a", "new"), (2, "delete", 0, "c", ""), (7, "add", 0, "", "added")]
+    assert [(r.text, r.reverted) for r in edits.undo(drafted, records).orderBy("idx").collect()] == [("a", True), ("b", False), ("c", True)]
+    changed = drafted.withColumn("text", F.when(F.col("idx") == 0, "other").otherwise(F.col("text")))
+    assert [(r.text, r.reverted, r.code) for r in edits.undo(changed, records).orderBy("idx").collect()] == [("other", False, "moved"), ("b", False, None), ("c", True, None)]
 
 
 # odd rows of the bindings
