@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import keys, text
-from foliolake.operators import compare, diff, inventory, ranges, throttle
+from foliolake.operators import compare, diff, inventory, ranges
 from foliolake.plans.registry import query
 from foliolake.sources import bindings as b
 from foliolake.sources import shared
-from foliolake.streaming import review_stream
+from foliolake.streaming import keyed_state, review_stream
 
 PK = ["package_id", "idx"]
 
@@ -63,20 +63,12 @@ def d3_rebuilt(spark, d):
     return diff.rebuilt(views, found, "original").select(*PK, "rebuilt", "grown")
 
 
-@query("r4_token_bucket")
-def r4(spark, d):
-    """Sixteen listeners, each of which keeps the buckets of its 64 latest clients."""
-    seconds = F.unix_micros(F.col("created_at").cast("timestamp")) / 1_000_000
-    events = b.review_events(spark, d).select("event_id", "client_id", (F.col("client_id") % 16).alias("listener"), seconds.alias("seconds"))
-    return throttle.throttled(events, most_clients=64)
-
-
 def _streamed_events(spark, d):
     kind = F.col("event_type")
     stream = review_stream.event_stream(spark, f"{d}/events.parquet*")
     status = F.when(kind == "view", "draft").when(kind == "signup", "acknowledged").otherwise("queued")
     key = F.concat_ws("-", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
-    return stream.select("event_id", F.col("user_id").alias("client_id"), F.col("ts").cast("timestamp").alias("created_at"), status.alias("status"), key.alias("operation_id"))
+    return stream.select("event_id", F.col("user_id").alias("client_id"), F.col("ts").cast("timestamp").alias("created_at"), status.alias("status"), key.alias("operation_id"), kind.alias("type"))
 
 
 @query("r1_streamed_states", "SELECT client_id, arg_max(status, created_at) AS status, count(*) AS events FROM review_event GROUP BY client_id")
@@ -91,6 +83,24 @@ def r2(spark, d):
     return review_stream.run_to_end(first, "operations").select("operation_id")
 
 
+@query("r2_streamed_ledger", """SELECT event_id, operation_id, CASE WHEN n = 1 THEN 'ran' WHEN input = first THEN 'replayed' ELSE 'rejected' END AS outcome
+FROM (SELECT *, row_number() OVER w AS n, first_value(input) OVER w AS first FROM (SELECT event_id, concat(user_id, '-', json_extract_string(props, '$.k')) AS operation_id, event_type AS input FROM events) WINDOW w AS (PARTITION BY operation_id ORDER BY event_id))""")
+def r2_ledger(spark, d):
+    events = _streamed_events(spark, d).select("event_id", "operation_id", F.col("type").alias("input"))
+    return review_stream.run_to_end(keyed_state.ledger(events), "ledger").select("event_id", "operation_id", "outcome")
+
+
+@query("r4_token_bucket", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY micros, event_id) AS n FROM (SELECT event_id, client_id, epoch_us(created_at) AS micros FROM review_event)),
+r AS (SELECT client_id, n, event_id, micros, true AS allowed, CAST({keyed_state.CAPACITY - keyed_state.COST} AS BIGINT) AS tokens FROM e WHERE n = 1
+UNION ALL SELECT client_id, n, event_id, micros, held >= {keyed_state.COST}, held - CASE WHEN held >= {keyed_state.COST} THEN {keyed_state.COST} ELSE 0 END
+FROM (SELECT e.*, least({keyed_state.CAPACITY}, r.tokens + e.micros - r.micros) AS held FROM r JOIN e ON e.client_id = r.client_id AND e.n = r.n + 1))
+SELECT event_id, client_id, allowed, tokens FROM r""")
+def r4(spark, d):
+    """Every client's requests against its bucket, as a stream with keyed state."""
+    events = _streamed_events(spark, d).select("event_id", "client_id", "created_at", F.unix_micros("created_at").alias("micros"))
+    return review_stream.run_to_end(keyed_state.throttled(events), "throttle").select("event_id", "client_id", "allowed", "tokens")
+
+
 @query("r5_streamed_history", "SELECT event_id, client_id FROM review_event")
 def r5(spark, d):
     return review_stream.run_to_end(_streamed_events(spark, d).select("event_id", "client_id"), "history").select("event_id", "client_id")

@@ -127,6 +127,8 @@ def with_views(body: str) -> str:
     rest = body.strip()
     if not own:
         return rest
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {own}, {rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {own}, {rest[5:]}"
     return f"WITH {own} {rest}"

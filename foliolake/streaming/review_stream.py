@@ -20,8 +20,15 @@ def last_states(events: DataFrame) -> DataFrame:
     return events.groupBy("client_id").agg(last.alias("status"), F.count("*").alias("events"), F.max("created_at").alias("updated_at"))
 
 
-def first_operations(events: DataFrame, operation: str, at: str = "created_at", delay: str = "30 days") -> DataFrame:
-    """Only the first event of each operation passes; ids are forgotten once no event that late is waited for."""
+def first_operations(events: DataFrame, operation: str, at: str = "created_at", delay: str | None = None) -> DataFrame:
+    """Only the first event of each operation passes, however late another comes.
+
+    With a ``delay``, ids are forgotten once the watermark has passed them by it,
+    so the state stays small; later events are dropped, and an id that comes back
+    after that passes again.
+    """
+    if delay is None:
+        return events.dropDuplicates([operation])
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([operation])
 
 

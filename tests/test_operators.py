@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake.functions import keys, text
-from foliolake.operators import compare, diff, edits, inventory, ranges, review, tables, throttle
+from foliolake.operators import compare, diff, edits, inventory, ranges, review, tables
 from foliolake.sources import bindings, shared
 
 SEGMENTS = "package_id long, idx int, k int, text string, start long, end long, style_id string, kind string, w_id string, revision string, in_original boolean, in_final boolean"
@@ -144,19 +144,6 @@ def test_recovery_decisions(spark):
     assert all(r[0] == r[1] for r in frame.select(review.recovery(*(F.col(c) for c in ("phase", "pointer", "prepared", "parent"))), "action").collect())
 
 
-def test_token_buckets(spark):
-    requests = [(k, 7, 0, float(k)) for k in range(8)] + [(10, 7, 0, 10_000.0), (11, 8, 0, 0.0)]
-    rows = throttle.throttled(spark.createDataFrame(requests, "event_id long, client_id long, listener long, seconds double")).collect()
-    assert {r.event_id for r in rows if r.allowed} == {0, 1, 2, 3, 4, 10, 11}
-
-
-def test_listeners_forget_all_but_their_latest_clients(spark):
-    requests = [(k, 7, 0, float(k)) for k in range(6)] + [(10, 8, 0, 6.0), (11, 9, 0, 7.0), (12, 7, 0, 8.0)]
-    frame = spark.createDataFrame(requests, "event_id long, client_id long, listener long, seconds double")
-    allowed = lambda most: {r.event_id for r in throttle.throttled(frame, most).collect() if r.allowed}
-    assert 12 in allowed(2) and 12 not in allowed(3) and 5 not in allowed(2)
-
-
 def test_hunks_rebuild_the_text(spark):
     views = spark.createDataFrame([(1, 0, "the old cat sat here", "a cat sat there now"), (1, 1, "same", "same")], "package_id long, idx long, a string, b string")
     hunks = diff.word_hunks(views, "a", "b").collect()
