@@ -48,9 +48,11 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text runs with their offsets in the paragraph: a running sum, inside the row, of lengths and of the spaces between."""
     lines = paragraphs(spark, sf_dir).select("package_id", "idx", "paragraph_id", "source", F.split("text", " ").alias("words"))
-    runs = F.arrays_zip(F.col("words").alias("text"), word_starts(F.col("words")).alias("start"))
-    found = lines.select("package_id", "idx", "paragraph_id", "source", F.posexplode(runs).alias("k", "run"))
-    return found.select("package_id", "idx", "paragraph_id", "source", "k", "run.text", "run.start", (F.col("run.start") + F.length("run.text")).alias("end"))
+    # a column of its own, so that plans that need no offsets don't compute them
+    lines = lines.withColumn("starts", word_starts(F.col("words")))
+    found = lines.select("package_id", "idx", "paragraph_id", "source", "starts", F.posexplode("words").alias("k", "text"))
+    found = found.withColumn("start", F.get("starts", F.col("k"))).drop("starts")
+    return found.withColumn("end", F.col("start") + F.length("text")).select("package_id", "idx", "paragraph_id", "source", "k", "text", "start", "end")
 
 
 def style_class(text: Column) -> Column:
