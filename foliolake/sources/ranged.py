@@ -101,7 +101,8 @@ class MemberReader(DataSourceReader):
             size += file[2]
         return out
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        """Rows of a task's files; a folder without any has one task without files."""
         from pyarrow import fs
 
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -109,7 +110,7 @@ class MemberReader(DataSourceReader):
         rows, size = [], 0
         system = fs.FileSystem.from_uri(self.folder)[0]
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        for uri, place, length in partition.files:
+        for uri, place, length in partition.files if partition else []:
             package_id = xxhash.xxh64_intdigest(uri.encode(), 42)
             package_id -= (package_id >> 63) << 64
             with system.open_input_file(place) as file:

@@ -44,7 +44,7 @@ class Bucket(StatefulProcessor):
         self.handle = handle
         self.bucket = handle.getValueState("bucket", "held long, at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, at = self.bucket.get() if self.bucket.exists() else (CAPACITY, None)
         batch, allowed, left = _in_order(rows, "micros", "event_id"), [], []
         for now in batch["micros"].tolist():
@@ -61,9 +61,9 @@ class Bucket(StatefulProcessor):
             self.handle.registerTimer((at + CAPACITY - held) // 1000 + 1)
         yield pd.DataFrame({"event_id": batch["event_id"], "client_id": key[0], "allowed": allowed, "tokens": left})
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.bucket.clear()
-        yield pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in ALLOWED.split(", ")})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -79,7 +79,7 @@ class Ledger(StatefulProcessor):
         milliseconds = None if self.keep is None else int(self.keep.total_seconds() * 1000)
         self.first = handle.getValueState("first", "input string", milliseconds)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = self.first.get()[0] if self.first.exists() else None
         batch, outcomes = _in_order(rows, "event_id"), []
         for given in batch["input"].tolist():

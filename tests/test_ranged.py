@@ -35,6 +35,10 @@ def test_rows_are_those_of_whole_files(spark, folder):
     assert [r.path.rpartition("/")[2] for r in broken] == ["broken.docx"]
 
 
+def test_empty_folders(spark, tmp_path):
+    assert ranged.members(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize(("where", "names"), [("part_path = 'word/document.xml'", 1), ("part_path in ('word/header1.xml', 'word/document.xml')", 2), ("part_path like 'word/%'", 3), ("part_path like '%.xml' and part_path like 'word/h%'", 1), ("length(part_path) > 3 and part_path = 'word/header1.xml'", 1)])
 def test_filters_are_pushed_and_hold(spark, folder, where, names):
     found = ranged.members(spark, folder).filter(where)
