@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolake.functions.batches import map_records
 from foliolake.operators.ranges import containing
-from foliolake.sources import zipraw
+from foliolake.sources import docx, zipraw
 from foliolake.sources.shared import written
 
 PART = ["package_id", "part_path"]
@@ -79,12 +79,10 @@ def applied(packages: DataFrame, edits: DataFrame) -> DataFrame:
     each = F.struct("part_path", "start", "end", F.to_json("pieces").alias("order"), "pieces")
     listed = edits.groupBy("package_id").agg(F.sort_array(F.collect_list(each)).alias("edits"))
 
-    @F.pandas_udf("binary")
-    def fold(contents: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([_folded(raw, found) for raw, found in zip(contents, lists, strict=True)], dtype=object)
+    def fold(record):
+        yield record.package_id, _folded(record.content, record.edits)
 
-    both = packages.select("package_id", "content").join(listed, "package_id", "left")
-    return both.select("package_id", F.when(F.col("edits").isNull(), F.col("content")).otherwise(fold("content", "edits")).alias("content"))
+    return map_records(packages.select("package_id", "content").join(listed, "package_id", "left"), fold, docx.PACKAGES)
 
 
 def _folded(content: bytes | None, edits: list | None) -> bytes | None:

@@ -14,10 +14,10 @@ import re
 from collections.abc import Iterator
 from xml.sax.saxutils import unescape
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliolake.functions.batches import map_records
 from foliolake.functions.text import xml_escape
 
 PARSED = "package_id long, paragraph_id string, position long, item string, text string, style_id string, ref string, kind string, w_id string, error string"
@@ -114,15 +114,10 @@ def parse_typed(text: str) -> Iterator[tuple]:
 def parse(typed: DataFrame) -> DataFrame:
     """The nodes of typed texts (package_id, typed); a text that can't be parsed is one row with an error."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in PARSED.split(", ")]
-        for batch in batches:
-            out = []
-            for package_id, text in zip(batch["package_id"], batch["typed"], strict=True):
-                try:
-                    out += [(package_id, *node, None) for node in parse_typed(text)]
-                except TypedError as wrong:
-                    out.append((package_id, *[None] * 8, str(wrong)))
-            yield pd.DataFrame(out, columns=columns, dtype=object)
-
-    return typed.select("package_id", "typed").mapInPandas(read, PARSED)
+    def read(record):
+        try:
+            yield from [(record.package_id, *node, None) for node in parse_typed(record.typed)]
+        except TypedError as wrong:
+            yield record.package_id, *[None] * 8, str(wrong)
+
+    return map_records(typed.select("package_id", "typed"), read, PARSED)
