@@ -26,10 +26,11 @@ def batch_edit(text: Column, edits: list[tuple[str, str]]) -> Column:
     return F.aggregate(pairs, text, lambda t, e: F.replace(t, e["old"], e["new"]))
 
 
-def survives(accept: bool, chosen: Column | None = None) -> Column:
+def survives(accept: bool, chosen: Column | None = None, kind: Column | None = None) -> Column:
     """Whether a segment is left after its revision is settled (all are, or where ``chosen``)."""
-    gone = F.col("kind").isin(*(("delete", "move_from") if accept else ("insert", "move_to")))
-    settled = F.col("kind").isNotNull() if chosen is None else F.coalesce(chosen, F.lit(False))
+    kind = F.col("kind") if kind is None else kind
+    gone = kind.isin(*(("delete", "move_from") if accept else ("insert", "move_to")))
+    settled = kind.isNotNull() if chosen is None else F.coalesce(chosen, F.lit(False))
     return ~F.coalesce(gone & settled, F.lit(False))
 
 
@@ -41,10 +42,14 @@ def settle(segments: DataFrame, accept: bool, chosen: Column | None = None) -> D
     return kept.select(*[clear(c) if c in ("kind", "revision", "w_id") else c for c in segments.columns])
 
 
+def replacement(text: Column, new: Column) -> Column:
+    """The steps of a tracked replacement: a deletion and, after it, an insertion."""
+    return F.array(F.struct(F.lit(0).alias("step"), F.lit("delete").alias("op"), text.alias("t")), F.struct(F.lit(1).alias("step"), F.lit("insert").alias("op"), new.alias("t")))
+
+
 def track_replacements(leaves: DataFrame, chosen: Column, new: Column, recorded: int = 120) -> DataFrame:
     """A replacement as a deletion and, after it, an insertion; texts are recorded up to so many characters."""
-    parts = F.array(F.struct(F.lit(0).alias("step"), F.lit("delete").alias("op"), F.col("text").alias("t")), F.struct(F.lit(1).alias("step"), F.lit("insert").alias("op"), new.alias("t")))
-    rows = leaves.filter(chosen).select(*PK, "k", F.explode(parts).alias("p"))
+    rows = leaves.filter(chosen).select(*PK, "k", F.explode(replacement(F.col("text"), new)).alias("p"))
     order = Window.partitionBy("package_id").orderBy("idx", "k", "step")
     return rows.select(*PK, "k", "p.step", "p.op", F.left("p.t", F.lit(recorded)).alias("text")).withColumn("w_id", (F.row_number().over(order) - 1).cast("long"))
 

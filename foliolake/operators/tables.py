@@ -10,8 +10,10 @@ from foliolake.operators.edits import renumber
 
 def insert_row(rows: DataFrame, after: int) -> DataFrame:
     """A row of empty cells after row ``after`` of every table that has it."""
-    empty = rows.filter(F.col("row_index") == after).select("table_index", "row_index", F.transform("cells", lambda c: F.lit("")).alias("cells"), F.lit(1).alias("sub"))
-    both = rows.withColumn("sub", F.lit(0)).unionByName(empty)
+    here = F.struct(F.lit(0).alias("sub"), F.col("cells"))
+    empty = F.struct(F.lit(1).alias("sub"), F.transform("cells", lambda c: F.lit("")).alias("cells"))
+    # made beside the rows, so that they stay dealt by table as they are
+    both = rows.select("table_index", "row_index", F.explode(F.when(F.col("row_index") == after, F.array(here, empty)).otherwise(F.array(here))).alias("r")).select("table_index", "row_index", "r.*")
     return renumber(both, ["table_index"], ["row_index", "sub"], "new_row").select("table_index", "new_row", "cells")
 
 
