@@ -34,3 +34,10 @@ def test_large_ids_stand_beside_null(spark):
     members = docx.members(docx.packages_from_texts(rows.selectExpr("package_id", "text", "'me' as header")))
     assert {r.package_id for r in members.select("package_id").collect()} == {(1 << 62) + 1, None}
 
+
+
+def test_queries_that_look_at_items_several_times_read_packages_once(spark, tiny):
+    from foliolake.plans import packages
+
+    for query in (packages.w5, packages.a24, packages.j1, packages.d12):
+        assert not any("documents.parquet" in file for file in query(spark, tiny).inputFiles()), query.__name__
