@@ -4,22 +4,29 @@ Each key's state is a row in the state store, which Spark checkpoints with the
 stream, so a restart goes on where it stopped, and keys spread over all tasks. A
 timer removes a bucket when it would be full again: a full bucket is what an
 unknown client has, so forgetting it changes nothing, and the state holds only
-clients that were there lately. The ledger's entries stay unless a time to keep
-them is given; then an operation that comes back after it runs again.
+clients that were there lately. The ledger keeps the operations of a hash group
+in one state. Its entries stay unless a time to keep them is given; then an
+operation that comes back after it runs again, and a state drops its old entries
+when its next event comes.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Bucket sizes are counted in the microseconds that fill them, so that sums are exact.
 CAPACITY, COST = 5 * 600_000_000, 600_000_000
 ALLOWED = "event_id long, client_id long, allowed boolean, tokens long"
+#: States over which the ledger's operations are spread by hash.
+LEDGER_GROUPS = 4096
 OUTCOMES = "event_id long, operation_id string, outcome string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,27 +76,30 @@ class Bucket(StatefulProcessor):
         pass
 
 
-class Ledger(StatefulProcessor):
-    """An operation runs once; the same input again is replayed, another one is rejected."""
+def _entered(known: dict, batch: pd.DataFrame, now: int) -> list[str]:
+    """The outcome of each event of a batch in order; ``known`` (operation to its first input and when it was last seen) follows."""
+    outcomes = []
+    for operation, given in zip(batch["operation_id"].tolist(), batch["input"].tolist(), strict=True):
+        operation, given = (x if isinstance(x, str) else None for x in (operation, given))
+        first = known.get(operation)
+        outcomes.append("ran" if first is None else "replayed" if given is not None and given == first[0] else "rejected")
+        known[operation] = (given if first is None else first[0], now)
+    return outcomes
 
-    def __init__(self, keep: dt.timedelta | None = None):
-        self.keep = keep
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        milliseconds = None if self.keep is None else int(self.keep.total_seconds() * 1000)
-        self.first = handle.getValueState("first", "input string", milliseconds)
+def _ledger_of(keep: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """An operation runs once; the same input again is replayed, another one is rejected. ``keep`` is in milliseconds."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self.first.get()[0] if self.first.exists() else None
-        batch, outcomes = _in_order(rows, "event_id"), []
-        for given in batch["input"].tolist():
-            outcomes.append("ran" if first is None else "replayed" if given == first else "rejected")
-            first = given if first is None else first
-        self.first.update((first,))
-        yield pd.DataFrame({"event_id": batch["event_id"], "operation_id": key[0], "outcome": outcomes})
+    def enter(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = 0 if keep is None else state.getCurrentProcessingTimeMs()
+        entries = json.loads(state.get[0]) if state.exists else []
+        known = {operation: (first, at) for operation, first, at in entries if keep is None or now < at + keep}
+        batch = _in_order(rows, "event_id")
+        outcomes = _entered(known, batch, now)
+        state.update((json.dumps([(operation, *of) for operation, of in known.items()], ensure_ascii=False, separators=(",", ":")),))
+        yield pd.DataFrame({"event_id": batch["event_id"], "operation_id": batch["operation_id"], "outcome": outcomes})
 
-    def close(self) -> None:
-        pass
+    return enter
 
 
 def throttled(requests: DataFrame, at: str = "created_at", delay: str | None = None) -> DataFrame:
@@ -106,8 +116,14 @@ def throttled(requests: DataFrame, at: str = "created_at", delay: str | None = N
     return keyed.transformWithStateInPandas(Bucket(timed), outputStructType=ALLOWED, outputMode="append", timeMode="EventTime" if timed else "None")
 
 
-def ledger(operations: DataFrame, keep: dt.timedelta | None = None) -> DataFrame:
-    """outcome (ran, replayed, rejected) of each event of a stream (event_id, operation_id, input)."""
+def ledger(operations: DataFrame, keep: dt.timedelta | None = None, groups: int = LEDGER_GROUPS) -> DataFrame:
+    """outcome (ran, replayed, rejected) of each event of a stream (event_id, operation_id, input).
+
+    Operations share states by hash, so that a batch costs a call for each group
+    that it touches and not for each operation. A stream that restarts needs the
+    number of ``groups`` that it began with.
+    """
     with_state_store(operations.sparkSession)
-    mode = "None" if keep is None else "ProcessingTime"
-    return operations.groupBy("operation_id").transformWithStateInPandas(Ledger(keep), outputStructType=OUTCOMES, outputMode="append", timeMode=mode)
+    kept = None if keep is None else max(1, int(keep.total_seconds() * 1000))
+    grouped = operations.select("event_id", "operation_id", "input", F.pmod(F.xxhash64("operation_id"), F.lit(groups)).alias("ledger_group")).groupBy("ledger_group")
+    return grouped.applyInPandasWithState(_ledger_of(kept), OUTCOMES, "entries string", "append", GroupStateTimeout.NoTimeout)
