@@ -226,3 +226,59 @@ def test_a_network_of_several_shards_finds_what_it_has_not_seen(spark, tiny):
     scores = np.array([net.scores(np.stack(op.windows(*g[:3]))).max() for g in fresh])
     y = np.array([g[3] for g in fresh]) == 1
     assert (scores[y] >= net.threshold).mean() > 0.95 and (scores[~y] >= net.threshold).mean() < 0.05
+
+
+def test_only_positions_inside_candidates_are_convolved():
+    found = op._generated(np.random.default_rng(31), 30) + [("é😀 " + "aB3" * 50, 3, 153, 1), ("abababababababab", 0, 16, 0), ("x" * 30, 0, 30, 0)]
+    rows = np.concatenate([op.windows(*g[:3]) for g in found])
+    net, size = op.CharNet.initial(np.random.default_rng(4)), rows.shape[1] // 2
+    raw, kept = net.forward(rows)
+    assert len(kept[2]) == rows[:, size:].sum() < rows[:, size:].size
+    for row, score in zip(rows, raw, strict=True):
+        x = np.pad(np.column_stack((net.embedding[row[:size]], row[size:])), ((2, 2), (0, 0)))
+        hidden = np.stack([np.maximum(x[at : at + 5].ravel() @ net.filters + net.bias, 0) for at in np.flatnonzero(row[size:])])
+        assert score == pytest.approx(np.concatenate((hidden.max(axis=0), hidden.mean(axis=0), [1])) @ net.output, rel=1e-4, abs=1e-5)
+
+
+def test_equal_maxima_share_their_gradient():
+    rows, y = np.stack([op.windows(t, 0, len(t))[0] for t in ("abababababababab", "x" * 30)]), np.array([1, 0], np.float32)
+    net = op.CharNet.initial(np.random.default_rng(5))
+    for name in ("embedding", "filters", "bias", "output"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * net.forward(rows)[0]))))
+    for part, g in zip(net.parts(), net.gradients(rows, y), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        part[at] += 1e-4
+        up = loss()
+        part[at] -= 2e-4
+        down = loss()
+        part[at] += 1e-4
+        assert (up - down) / 2e-4 == pytest.approx(g[at], rel=0.05, abs=1e-5)
+
+
+def test_windows_have_a_code_for_each_code_point():
+    text = "\x00é😀\ud800 tab\t\x7f~ " + "a.B-9" * 30 + " ü"
+    points = np.array([ord(c) - 31 if 32 <= ord(c) < 127 else 96 for c in text], np.uint8)
+    start, end, size = 10, len(text) - 2, op.BEFORE + op.INSIDE + op.AFTER
+    for k, row in enumerate(op.windows(text, start, end)):
+        at = np.arange(size) + start + k * op.INSIDE // 2 - op.BEFORE
+        real = (at >= 0) & (at < len(text))
+        assert row[:size].tolist() == np.where(real, points[np.clip(at, 0, len(text) - 1)], 0).tolist()
+        assert row[size:].tolist() == ((at >= start) & (at < end)).tolist()
+
+
+def test_rounds_end_after_the_steps_that_were_made(spark, monkeypatch):
+    """Harmless letters in other cases are steps too; every round goes over all findings, and there are two at least."""
+    words = ["".join(("ba", "ce", "di", "fo", "gu")[k // 5**place % 5] for place in range(6)) for k in range(480)]
+    docs = spark.createDataFrame([(k, f"some {word} here") for k, word in enumerate(words)], "doc_id long, text string")
+    shards, n = op.sharded(op.findings(docs), parts=240)
+    assert (n, shards.count()) == (480, 2)
+    made = op._generated(np.random.default_rng(op.SEED), op.GENERATED)[:10]
+    monkeypatch.setattr(op, "_generated", lambda rng, size: made)
+    rounds = []
+    monkeypatch.setattr(np, "average", lambda *a, average=np.average, **b: rounds.append(1) or average(*a, **b))
+    for steps, expected in ((1, 2), (6, 3), (10_000, op.ROUNDS)):  # each of the two shards makes 2 steps a round
+        monkeypatch.setattr(op, "STEPS", steps)
+        rounds.clear()
+        assert 0 < op.fitted(docs, parts=240).threshold < 1
+        assert len(rounds) == expected
