@@ -23,12 +23,16 @@ from foliolake.sources.shared import written
 
 PART = ["package_id", "part_path"]
 PIECES = "array<struct<literal:string,start:bigint,end:bigint>>"
+EDITED = "package_id long, part_path string, sha256 string, stored boolean"
 
 # Elements of tracked changes by what accepting them does, and elements that mark places.
 INSERTED, DELETED = ("ins", "moveTo"), ("del", "moveFrom")
 ANCHORS = ("commentRangeStart", "commentRangeEnd", "commentReference", "bookmarkStart", "bookmarkEnd")
 WANTED = (*INSERTED, *DELETED, *ANCHORS, "delText", "t", "r", "rPr", "p", "pPr", "tbl", "tr", "trPr", "tc", "tcPr", "gridSpan", "comment", "commentEx")
 
+#: What tracked replacements look at: revisions, what has an id, and what stands in runs.
+TRACKED = (*INSERTED, *DELETED, *ANCHORS, "delText", "t", "rPr", "p", "comment", "commentEx")
+
 
 def literal(text: Column) -> Column:
     """A piece that is written as it is."""
@@ -68,21 +72,51 @@ def disjoint(given: DataFrame, kept: DataFrame | None = None) -> tuple[DataFrame
         found = united.join(holes, [*PART, "island"], "left").withColumn("holes", F.coalesce("holes", F.array().cast("array<struct<from:bigint,to:bigint>>")))
         starts, ends = F.concat(F.array("start"), F.col("holes.to")), F.concat(F.col("holes.from"), F.array("end"))
         united = found.select(*PART, F.explode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("r")).select(*PART, "r.start", "r.end").filter("start < end")
-    new = given.filter(F.size("pieces") > 0).distinct()
-    rows = splices(united, "start", "end").unionByName(new).withColumn("before", F.max("end").over(Window.partitionBy(*PART).orderBy("start", "end", F.to_json("pieces")).rowsBetween(Window.unboundedPreceding, -1)))
+    # one exchange: what follows looks at parts, and then at the packages that hold them
+    rows = splices(united, "start", "end").unionByName(given.filter(F.size("pieces") > 0)).repartition("package_id")
+    order = Window.partitionBy(*PART).orderBy("start", "end", F.to_json("pieces"))
+    whole = F.struct("start", "end", "pieces")
+    rows = rows.withColumn("again", F.lag(whole).over(order).eqNullSafe(whole)).filter("not again").drop("again")
+    rows = rows.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     clash = rows.filter(F.col("start") < F.col("before")).select(*PART, "start", "end", F.when(F.size("pieces") == 0, "removes-what-is-replaced").otherwise("replaces-what-is-edited").alias("reason"))
-    return rows.drop("before").join(clash.select("package_id").distinct(), "package_id", "left_anti"), clash
+    stopped = F.coalesce(F.bool_or(F.col("start") < F.col("before")).over(Window.partitionBy("package_id")), F.lit(False))
+    return rows.withColumn("stopped", stopped).filter("not stopped").drop("before", "stopped"), clash
 
 
 def applied(packages: DataFrame, edits: DataFrame) -> DataFrame:
     """Packages (package_id, content) after disjoint splices; a package without any keeps its bytes, as does one that can't be read."""
-    each = F.struct("part_path", "start", "end", F.to_json("pieces").alias("order"), "pieces")
-    listed = edits.groupBy("package_id").agg(F.sort_array(F.collect_list(each)).alias("edits"))
 
     def fold(record):
         yield record.package_id, _folded(record.content, record.edits)
 
-    return map_records(packages.select("package_id", "content").join(listed, "package_id", "left"), fold, docx.PACKAGES)
+    return map_records(_with_edits(packages, edits), fold, docx.PACKAGES)
+
+
+def edited_members(packages: DataFrame, edits: DataFrame) -> DataFrame:
+    """The members of packages as ``applied`` makes them, read from the new archive: digests, and whether they stand there byte for byte as before.
+
+    Each archive is read where it is made, so none is written or dealt again.
+    """
+
+    def read(record):
+        after = _folded(record.content, record.edits)
+        try:
+            before, now = zipraw.stored_bytes(record.content or b""), zipraw.stored_bytes(after or b"")
+        except ValueError:
+            return
+        for member in docx.members_of(record.package_id, after):
+            name = member[1]
+            if name in before and name in now:
+                yield record.package_id, name, member[4], now[name] == before[name]
+
+    return map_records(_with_edits(packages, edits), read, EDITED)
+
+
+def _with_edits(packages: DataFrame, edits: DataFrame) -> DataFrame:
+    """Packages with their splices in order, or null."""
+    each = F.struct("part_path", "start", "end", F.to_json("pieces").alias("order"), "pieces")
+    listed = edits.groupBy("package_id").agg(F.sort_array(F.collect_list(each)).alias("edits"))
+    return packages.select("package_id", "content").join(listed, "package_id", "left")
 
 
 def _folded(content: bytes | None, edits: list | None) -> bytes | None:
@@ -234,34 +268,34 @@ def track_replacements(spans: DataFrame, old: str, new: str, author: str, date:
     is where a run holds more than one text or where ``old`` stands twice. New
     ids are the least numbers above all that the package uses.
     """
+    revision = F.col("name").isin(*INSERTED, *DELETED) & F.expr(_WHOLE)
+    # one exchange of what is in runs, what is around them and what has an id; the rest are windows over a package
+    rows = spans.filter((F.col("parent_name") == "r") | F.col("ref").isNotNull() | revision).repartition("package_id")
+    so_far = Window.partitionBy(*PART).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = lambda names: F.coalesce(F.max(F.when(F.col("name").isin(*names) & revision, F.col("end"))).over(so_far) > F.col("start"), F.lit(False))
+    siblings = Window.partitionBy(*PART, "parent_idx")
+    used = F.max(F.expr("try_cast(ref as bigint)")).over(Window.partitionBy("package_id"))
+    rows = rows.withColumns({"deleted": inside(DELETED), "inserted": inside(INSERTED), "most": F.coalesce(used, F.lit(-1))}).filter("parent_name = 'r'")
+    properties = F.collect_list(F.when(F.col("name") == "rPr", F.struct("start", "end"))).over(siblings)
+    rows = rows.withColumns({"children": F.count_if(F.col("name") != "rPr").over(siblings), "properties": F.sort_array(properties)})
     times = F.floor((F.length("text") - F.length(F.replace("text", F.lit(old), F.lit("")))) / len(old))
-    around = containing(_named(spans, "t").filter("part_path = 'word/document.xml'").select(*PART, "idx", F.col("start").alias("at")), _named(spans, *INSERTED, *DELETED).filter(_WHOLE).select(*PART, "name", "start", "end"), PART, "at")
-    state = around.groupBy(*PART, "idx").agg(F.bool_or(F.col("name").isin(*DELETED)).alias("deleted"), F.bool_or(F.col("name").isin(*INSERTED)).alias("inserted"))
-    others = spans.filter("name <> 'rPr'").groupBy(*PART, F.col("parent_idx").alias("run")).agg(F.count("*").alias("children"))
-    runs = _named(spans, "r").select(*PART, F.col("idx").alias("run"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    properties = _child(spans, "rPr", "pr", "start", "end").withColumnRenamed("parent", "run")
-    texts = _named(spans, "t").filter("part_path = 'word/document.xml'").withColumn("times", times).filter("times > 0").withColumnRenamed("parent_idx", "run")
-    texts = texts.join(runs, [*PART, "run"]).join(others, [*PART, "run"]).join(properties, [*PART, "run"], "left").join(state, [*PART, "idx"], "left")
     code = F.when(F.col("deleted"), "in-deletion").when(F.col("times") > 1, "ambiguous").when(F.col("children") > 1, "complex-run")
-    texts = written(texts.withColumn("code", code), "texts")
-    good = texts.filter("code is null")
+    texts = rows.filter("name = 't' and part_path = 'word/document.xml'").withColumn("times", times).filter("times > 0").withColumn("code", code)
     place = F.instr("text", old) - 1
-    head, tail = F.substring("text", F.lit(1), place), F.substring("text", place + len(old) + 1, F.length("text"))
-    within = good.filter("inserted")
-    direct = splices(within, "start", "end", literal(_text("t", F.concat(head, F.lit(new), tail))))
-    used = spans.filter("ref is not null").groupBy("package_id").agg(F.max(F.expr("try_cast(ref as bigint)")).alias("most"))
-    plain = good.filter("inserted is null or not inserted").join(used, "package_id", "left")
-    first = F.coalesce("most", F.lit(-1)) + 2 * F.row_number().over(Window.partitionBy("package_id").orderBy("start")) - 1
-    plain = plain.withColumns({"first": first, "head": head, "tail": tail})
+    good = texts.filter("code is null").withColumns({"head": F.substring("text", F.lit(1), place), "tail": F.substring("text", place + len(old) + 1, F.length("text"))})
+    direct = F.array(literal(_text("t", F.concat("head", F.lit(new), "tail"))))
+    number = F.count_if(~F.col("inserted")).over(Window.partitionBy("package_id").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    good = good.withColumn("first", F.col("most") + 2 * number - 1)
     tag = lambda name, n: F.concat(F.lit("<"), "prefix", F.lit(f"{name} "), "prefix", F.lit('id="'), n.cast("string"), F.lit('" '), "prefix", F.lit(f'author="{author}" '), "prefix", F.lit(f'date="{date}">'))
     close = lambda name: F.concat(F.lit("</"), "prefix", F.lit(f"{name}>"))
-    keep = F.when(F.col("pr_start").isNotNull(), F.array(copied(F.col("pr_start"), F.col("pr_end")))).otherwise(F.array().cast(PIECES))
+    keep = F.transform("properties", lambda p: copied(p["start"], p["end"]))
     run = lambda name, text: F.concat(F.array(literal(F.concat(F.lit("<"), "prefix", F.lit("r>")))), keep, F.array(literal(F.concat(_text(name, text), close("r")))))
     some = lambda text: F.when(text != "", run("t", text)).otherwise(F.array().cast(PIECES))
     wrapped = lambda name, n, inner: F.concat(F.array(literal(tag(name, n))), inner, F.array(literal(close(name))))
     pieces = F.concat(some(F.col("head")), wrapped("del", F.col("first"), run("delText", F.lit(old))), wrapped("ins", F.col("first") + 1, run("t", F.lit(new))) if new else F.array().cast(PIECES), some(F.col("tail")))
-    tracked = plain.select(*PART, F.col("r_start").alias("start"), F.col("r_end").alias("end"), pieces.alias("pieces"))
-    return tracked.unionByName(direct), texts.filter("code is not null").select(*PART, "idx", "code")
+    either = lambda within, record: F.when(F.col("inserted"), within).otherwise(record)
+    edits = good.select(*PART, either(F.col("start"), F.col("parent_start")).alias("start"), either(F.col("end"), F.col("parent_end")).alias("end"), either(direct, pieces).alias("pieces"))
+    return edits, texts.filter("code is not null").select(*PART, "idx", "code")
 
 
 def _text(name: str, text: Column) -> Column:

@@ -28,16 +28,12 @@ FROM pmember m JOIN (SELECT package_id, {sql.document(changed)} AS document, {co
 
 
 def _spans(packages: DataFrame) -> DataFrame:
-    return written(docx.spans(docx.members(packages), splices.WANTED), "spans")
+    return written(docx.package_spans(packages, splices.WANTED), "spans")
 
 
 def _after(packages: DataFrame, given: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    edits, _ = splices.disjoint(given, kept)
-    edited = written(splices.applied(packages, written(edits, "edits")), "edited")
-    key = ["package_id", "part_path"]
-    before, after = docx.stored_members(packages).withColumnRenamed("stored_sha256", "was"), docx.stored_members(edited)
-    stored = after.join(before, key).select(*key, (F.col("was") == F.col("stored_sha256")).alias("stored"))
-    return docx.members(edited).select(*key, "sha256").join(stored, key)
+    edits, _ = splices.disjoint(written(given, "splices"), kept)
+    return splices.edited_members(packages.filter("package_id is not null"), edits)
 
 
 @query("s1_ranged_members", "SELECT package_id, part_path, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM pmember WHERE part_path IN ('word/document.xml', 'word/comments.xml')")
@@ -127,4 +123,5 @@ FROM (SELECT *, CAST(CASE WHEN c IN (1, 4) THEN {_once("w1")} ELSE {_once("text"
 def d5_written(spark, d):
     """A literal replaced as a tracked change in every text that holds it once; inside an insertion without a record."""
     packages = written(_packages(spark, d), "packages")
-    return _after(packages, splices.track_replacements(_spans(packages), OLD, NEW, AUTHOR, DATE)[0])
+    spans = docx.package_spans(packages, splices.TRACKED)  # looked at once, so not written
+    return _after(packages, splices.track_replacements(spans, OLD, NEW, AUTHOR, DATE)[0])
