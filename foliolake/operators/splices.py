@@ -269,8 +269,10 @@ def track_replacements(spans: DataFrame, old: str, new: str, author: str, date:
     ids are the least numbers above all that the package uses.
     """
     revision = F.col("name").isin(*INSERTED, *DELETED) & F.expr(_WHOLE)
-    # one exchange of what is in runs, what is around them and what has an id; the rest are windows over a package
-    rows = spans.filter((F.col("parent_name") == "r") | F.col("ref").isNotNull() | revision).repartition("package_id")
+    # one exchange of what is in runs, what is around them and what has an id, with the texts that are edited; the rest are windows over a package
+    times = F.floor((F.length("text") - F.length(F.replace("text", F.lit(old), F.lit("")))) / len(old))
+    rows = spans.filter((F.col("parent_name") == "r") | F.col("ref").isNotNull() | revision).withColumn("times", times)
+    rows = rows.withColumn("text", F.when(F.col("times") == 1, F.col("text"))).repartition("package_id")
     so_far = Window.partitionBy(*PART).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = lambda names: F.coalesce(F.max(F.when(F.col("name").isin(*names) & revision, F.col("end"))).over(so_far) > F.col("start"), F.lit(False))
     siblings = Window.partitionBy(*PART, "parent_idx")
@@ -278,9 +280,8 @@ def track_replacements(spans: DataFrame, old: str, new: str, author: str, date:
     rows = rows.withColumns({"deleted": inside(DELETED), "inserted": inside(INSERTED), "most": F.coalesce(used, F.lit(-1))}).filter("parent_name = 'r'")
     properties = F.collect_list(F.when(F.col("name") == "rPr", F.struct("start", "end"))).over(siblings)
     rows = rows.withColumns({"children": F.count_if(F.col("name") != "rPr").over(siblings), "properties": F.sort_array(properties)})
-    times = F.floor((F.length("text") - F.length(F.replace("text", F.lit(old), F.lit("")))) / len(old))
     code = F.when(F.col("deleted"), "in-deletion").when(F.col("times") > 1, "ambiguous").when(F.col("children") > 1, "complex-run")
-    texts = rows.filter("name = 't' and part_path = 'word/document.xml'").withColumn("times", times).filter("times > 0").withColumn("code", code)
+    texts = rows.filter("name = 't' and part_path = 'word/document.xml' and times > 0").withColumn("code", code)
     place = F.instr("text", old) - 1
     good = texts.filter("code is null").withColumns({"head": F.substring("text", F.lit(1), place), "tail": F.substring("text", place + len(old) + 1, F.length("text"))})
     direct = F.array(literal(_text("t", F.concat("head", F.lit(new), "tail"))))
